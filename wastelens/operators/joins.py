@@ -1,0 +1,23 @@
+"""Join helper: broadcast a side only after checking its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a dimension may have to be broadcast by hint. Above it the join is
+# left to the planner (sort-merge or shuffle-hash, AQE may still broadcast
+# from runtime statistics).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``big.join(small)``, with a broadcast hint only when ``small`` is proven small."""
+    right = F.broadcast(small) if fits(small, max_rows) else small
+    return big.join(right, on, how)
