@@ -100,7 +100,7 @@ def period_key(grain: str, c) -> Column:
     d = F.to_date(col_of(c))
     if grain == "Weekly":
         return week_key(d)
-    unit = {"Monthly": "MM", "Quarterly": "Q", "Annual": "YEAR"}.get(grain)
+    unit = {"Monthly": "month", "Quarterly": "quarter", "Annual": "year"}.get(grain)
     if unit is None:
         raise ValueError(f"Unknown period '{grain}'. Valid: ['Weekly', 'Monthly', 'Quarterly', 'Annual']")
     return F.trunc(d, unit)

@@ -1,0 +1,42 @@
+"""Top-k per group that stays parallel when one group is huge.
+
+Level 1 ranks inside (group, salt) sub-groups, salt = hash(item) mod
+``salt_buckets``; level 2 ranks the at most ``salt_buckets * k`` survivors of
+each group. The exact top-k of a group is inside the union of its
+sub-group top-ks, so the result is exact, and no task ever sorts more than
+one sub-group.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def top_k(df: DataFrame, group_cols, item_col: str, order_cols: list[Column], k: int,
+          salt_buckets: int = 16, rank_col: str = "rank") -> DataFrame:
+    """Rows of the top ``k`` items per group by ``order_cols`` (ties broken by them).
+
+    ``df`` must hold one row per (group, item), e.g. an aggregated table.
+    """
+    group_cols = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    d = df
+    if salt_buckets and salt_buckets > 1:
+        salt = F.pmod(F.xxhash64(F.col(item_col)), F.lit(salt_buckets))
+        w1 = Window.partitionBy(*group_cols, salt).orderBy(*order_cols)
+        d = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k) \
+             .drop("_r1")
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return d.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
+
+
+def joined_top_k(df: DataFrame, group_cols, item_col: str, value_col: str, k: int,
+                 out_col: str, sep: str = ", ", salt_buckets: int = 1) -> DataFrame:
+    """One row per group: the top ``k`` items by ``value_col`` descending
+    (ties by item ascending) joined with ``sep`` in rank order."""
+    group_cols = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    order = [F.desc(F.round(F.col(value_col), 6)), F.col(item_col).asc()]
+    t = top_k(df, group_cols, item_col, order, k, salt_buckets, "_rk")
+    items = F.sort_array(F.collect_list(F.struct(F.col("_rk"), F.col(item_col).cast("string").alias("v"))))
+    return t.groupBy(*group_cols).agg(
+        F.array_join(F.transform(items, lambda s: s["v"]), sep).alias(out_col))

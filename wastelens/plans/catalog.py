@@ -1,7 +1,7 @@
 """Imports every query module so that the registry is complete."""
 
 from wastelens.plans import registry
-from wastelens.plans import q_dashboards  # noqa: F401
+from wastelens.plans import q_dashboards, q_reports  # noqa: F401
 
 
 def queries():

@@ -29,6 +29,9 @@ def get_session(master: str | None = None, app: str = "wastelens",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor.
+            b = b.config("spark.driver.memory", conf.pop("driver_memory", "16g"))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
