@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "col_of", "slug", "nonneg_int", "vendor_norm", "round_half_even", "amount_bucket",
     "round4", "parse_number", "parse_timestamp", "floor_days", "week_key", "period_key",
-    "period_label", "money_text", "row_digest", "text_of", "sum0",
+    "period_label", "money_text", "row_digest", "text_of", "float_text", "sum0",
 ]
 
 _NUMBER_TEXT = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
@@ -131,14 +131,30 @@ def money_text(c) -> Column:
     return F.concat(F.lit("$"), F.format_number(col_of(c), 0))
 
 
-def text_of(c) -> Column:
-    """Canonical text of a value for digests: null becomes ""."""
-    return F.coalesce(col_of(c).cast("string"), F.lit(""))
+def float_text(c) -> Column:
+    """Shortest decimal text of a double in plain notation (``65.0``,
+    ``12345678.9``) for 1e-4 <= |x| < 1e16 and 0; other magnitudes keep
+    Spark's text. Digests must not depend on ``1.23456789E7`` style text."""
+    c = col_of(c)
+    plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"),
+                                              "0+$", ""), r"\.$", ".0")
+    inrange = (F.abs(c) < 1e16) & ((F.abs(c) >= 1e-4) | (c == 0))
+    return F.when(inrange, plain).otherwise(c.cast("string"))
+
+
+def text_of(c, dtype: str | None = None) -> Column:
+    """Canonical text of a value for digests: null becomes ""; doubles as
+    :func:`float_text`."""
+    c = col_of(c)
+    t = float_text(c) if dtype in ("double", "float") else c.cast("string")
+    return F.coalesce(t, F.lit(""))
 
 
-def row_digest(cols) -> Column:
+def row_digest(cols, dtypes: dict | None = None) -> Column:
     """SHA-256 hex of the fields joined by ``|``; null fields count as "" (H1)."""
-    return F.sha2(F.concat_ws("|", *[text_of(c) for c in cols]), 256)
+    dtypes = dtypes or {}
+    return F.sha2(F.concat_ws("|", *[text_of(c, dtypes.get(c) if isinstance(c, str) else None)
+                                     for c in cols]), 256)
 
 
 def sum0(c) -> Column:
