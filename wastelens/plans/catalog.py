@@ -1,7 +1,8 @@
 """Imports every query module so that the registry is complete."""
 
 from wastelens.plans import registry
-from wastelens.plans import q_audit, q_dashboards, q_detect, q_entries, q_io, q_models, q_reports  # noqa: F401
+from wastelens.plans import (  # noqa: F401
+    q_audit, q_dashboards, q_detect, q_entries, q_io, q_models, q_reports, q_stream)
 
 
 def queries():
