@@ -107,17 +107,21 @@ def subscription_like(df: DataFrame, key_cols: list[str], chunks: int | None = N
 def duplicates_and_subs(df: DataFrame, key_cols: list[str], chunks: int | None = None) -> DataFrame:
     """Both reference flags on every row: date, vendor, cost, description,
     dup_candidate, subscription_like (plus the key columns)."""
-    a = adjacent_duplicates(df, key_cols, chunks).select(*key_cols, "dup_candidate")
-    s = subscription_like(df, key_cols, chunks).select(*key_cols, "subscription_like")
+    on = ["date", *key_cols]  # the order key: unique per row
+    a = adjacent_duplicates(df, key_cols, chunks).select(*on, "dup_candidate")
+    s = subscription_like(df, key_cols, chunks).select(*on, "subscription_like")
     base = df.select("date", "vendor", "cost", "description", *key_cols)
-    return base.join(a, key_cols).join(s, key_cols)
+    return base.join(a, on, "left").join(s, on, "left").withColumns({
+        "dup_candidate": F.coalesce("dup_candidate", F.lit(False)),
+        "subscription_like": F.coalesce("subscription_like", F.lit(False))})
 
 
 def flags_in_place(df: DataFrame, key_cols: list[str], chunks: int | None = None) -> DataFrame:
     """J2 default: the subscription flag attached to each row by its row key;
     row count unchanged."""
-    s = subscription_like(df, key_cols, chunks).select(*key_cols, "subscription_like")
-    return df.join(s, key_cols, "left").withColumn(
+    on = ["date", *key_cols]  # the order key: unique per row
+    s = subscription_like(df, key_cols, chunks).select(*on, "subscription_like")
+    return df.join(s, on, "left").withColumn(
         "subscription_like", F.coalesce("subscription_like", F.lit(False)))
 
 
