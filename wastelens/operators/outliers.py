@@ -120,46 +120,80 @@ def fit(df: DataFrame, key_cols, feats=("qty", "cost"), n_trees: int = N_TREES,
         return out.astype({"tree": "int32", "node": "int32", "feature": "int32",
                            "left": "int32", "right": "int32", "size": "int32"})
 
+    # One tree per group; the explicit repartition keeps AQE from packing
+    # all trees into one task (the groupBy reuses this partitioning).
+    par = max(1, min(n_trees, df.sparkSession.sparkContext.defaultParallelism))
+    s = s.repartition(par, "tree")
     nodes = s.groupBy("tree").applyInPandas(fit_tree, NODE_SCHEMA).toPandas()
     nodes.attrs["psi"] = psi
     return nodes
 
 
-def _path_lengths(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
-    total = np.zeros(len(x))
-    trees = nodes.groupby("tree")
-    for _, nd in trees:
-        nd = nd.sort_values("node")
-        feat = nd["feature"].to_numpy()
-        thr = nd["threshold"].to_numpy()
-        left = nd["left"].to_numpy()
-        right = nd["right"].to_numpy()
-        size = nd["size"].to_numpy()
-        cur = np.zeros(len(x), dtype=np.int64)
-        depth = np.zeros(len(x))
-        active = feat[cur] >= 0
-        while active.any():
-            f = feat[cur[active]]
-            v = x[np.flatnonzero(active), f]
-            nxt = np.where(v < thr[cur[active]], left[cur[active]], right[cur[active]])
-            cur[active] = nxt
-            depth[active] += 1
-            active = feat[cur] >= 0
-        total += depth + c_factor(size[cur])
-    return total / trees.ngroups
+def _forest_arrays(nodes: pd.DataFrame):
+    """Node table as flat arrays over (tree, node) slots. Leaves (and unused
+    slots) point to themselves, so every row can take the same fixed number
+    of steps; a leaf's value is its depth + c(leaf size)."""
+    trees = sorted(nodes["tree"].unique())
+    width = int(nodes["node"].max()) + 1
+    pos = {t: i for i, t in enumerate(trees)}
+    base = nodes["tree"].map(pos).to_numpy().astype(np.int64) * width
+    flat = base + nodes["node"].to_numpy()
+    size = len(trees) * width
+    f = nodes["feature"].to_numpy()
+    leaf = f < 0
+    feat = np.zeros(size, dtype=np.int32)
+    thr = np.full(size, np.inf)
+    left = np.arange(size, dtype=np.int64)
+    right = np.arange(size, dtype=np.int64)
+    feat[flat] = np.where(leaf, 0, f)
+    thr[flat] = np.where(leaf, np.inf, nodes["threshold"].to_numpy())
+    left[flat[~leaf]] = (base + nodes["left"].to_numpy())[~leaf]
+    right[flat[~leaf]] = (base + nodes["right"].to_numpy())[~leaf]
+    value = np.zeros(size)
+    value[flat] = c_factor(nodes["size"].to_numpy())
+    depth = np.zeros(size)
+    for t in range(len(trees)):  # node depths, walking down from each root
+        stack = [(t * width, 0)]
+        while stack:
+            nd, d = stack.pop()
+            depth[nd] = d
+            if left[nd] != nd:
+                stack.append((left[nd], d + 1))
+                stack.append((right[nd], d + 1))
+    steps = int(depth.max()) if size else 0
+    return len(trees), width, feat, thr, left, right, value + depth, steps
+
+
+def _path_lengths(x: np.ndarray, arrays) -> np.ndarray:
+    """Mean path length of each row over all trees, all trees walked at once."""
+    n_trees, width, feat, thr, left, right, value, steps = arrays
+    n = len(x)
+    idx = np.repeat(np.arange(n_trees, dtype=np.int64) * width, n)
+    xs = [np.tile(x[:, j], n_trees) for j in range(x.shape[1])]
+    for _ in range(steps):
+        f = np.take(feat, idx)
+        v = xs[0] if len(xs) == 1 else np.choose(f, xs) if len(xs) > 2 else np.where(f == 0, xs[0], xs[1])
+        idx = np.where(v < np.take(thr, idx), np.take(left, idx), np.take(right, idx))
+    return np.take(value, idx).reshape(n_trees, n).mean(axis=0)
 
 
 def score(df: DataFrame, nodes: pd.DataFrame, feats=("qty", "cost")) -> DataFrame:
-    """Adds ``_raw`` = -2^(-mean path / c(psi)) (higher is more normal)."""
+    """Adds ``_raw`` = -2^(-mean path / c(psi)) (higher is more normal),
+    scored in vectorised numpy by ``mapInPandas``.
+
+    (Compiling the forest into one CASE expression per tree keeps scoring in
+    the JVM but was measured 4x slower here: 100 trees x 511 nodes overwhelm
+    expression analysis and code generation.)"""
     feats = list(feats)
     psi = nodes.attrs.get("psi", SAMPLE)
     cpsi = float(c_factor([psi])[0]) or 1.0
+    arrays = _forest_arrays(nodes)
     schema = T.StructType(df.schema.fields + [T.StructField("_raw", T.DoubleType())])
 
     def run(batches):
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
-            pdf["_raw"] = -np.power(2.0, -_path_lengths(x, nodes) / cpsi)
+            pdf["_raw"] = -np.power(2.0, -_path_lengths(x, arrays) / cpsi)
             yield pdf
 
     return df.mapInPandas(run, schema)
@@ -180,7 +214,9 @@ def flag_anomalies(df: DataFrame, key_cols, contamination: float = CONTAMINATION
     if n == 0:
         return df, {"message": "No data to analyze"}
     nodes = fit(d, key_cols, feats, n_trees, sample, seed, n)
-    scored = score(d, nodes, feats)
+    # Scored once: written to the shared checkpoint folder, then read twice
+    # (offset, flags) without re-running the Python scorer.
+    scored = score(d, nodes, feats).checkpoint(eager=True)
     q = F.percentile("_raw", F.lit(contamination)) if n <= EXACT_PERCENTILE_ROWS \
         else F.percentile_approx("_raw", F.lit(contamination), F.lit(100_000))
     offset = scored.agg(q.alias("o")).first()["o"]
