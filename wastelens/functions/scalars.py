@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "col_of", "slug", "nonneg_int", "vendor_norm", "round_half_even", "amount_bucket",
     "round4", "parse_number", "parse_timestamp", "floor_days", "week_key", "period_key",
-    "period_label", "money_text", "row_digest", "text_of", "float_text", "sum0",
+    "period_label", "money_text", "row_digest", "text_of", "float_text", "sum0", "safe_sum",
 ]
 
 _NUMBER_TEXT = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
@@ -157,6 +157,11 @@ def row_digest(cols, dtypes: dict | None = None) -> Column:
                                      for c in cols]), 256)
 
 
+def safe_sum(c) -> Column:
+    """Sum of a column coerced to numbers, bad values and nulls as 0."""
+    return F.coalesce(F.sum(F.coalesce(parse_number(c), F.lit(0.0))), F.lit(0.0))
+
+
 def sum0(c) -> Column:
     """Sum that is 0 over only-null input."""
     return F.coalesce(F.sum(col_of(c)), F.lit(0))
