@@ -11,14 +11,13 @@ rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wastelens import schemas
 from wastelens.functions import scalars as S
 from wastelens.operators.filters import report_input
 from wastelens.operators.timeseries import spine
-from wastelens.operators.topk import joined_top_k
 
 GRAINS = schemas.REPORT_GRAINS
 
@@ -78,18 +77,45 @@ def base_tables(df: DataFrame, levels=("Monthly",)):
 
 
 def _grain_table(grain: str, tot: DataFrame, mat, ven, top_k: int) -> DataFrame:
+    """One grain: totals and both top lists from a single stacked table.
+
+    Rows of kind total / material / vendor are rolled up to the grain's key
+    together, ranked by one window over (period, kind) - it runs on the
+    aggregated (period, item) table, so a period holds one row per distinct
+    item, never raw rows - and gathered by one aggregate; the spine is the
+    only join.
+    """
     key = S.period_key(grain, F.col("day"))
-    g = tot.groupBy(key.alias("period")).agg(
-        F.sum("total_cost").alias("total_cost"), F.sum("events").alias("events"),
+    zero = F.lit(0).cast("bigint")
+    parts = [tot.select("day", F.lit("total").alias("kind"), F.lit(None).cast("string").alias("item"),
+                        F.col("total_cost").alias("cost"), "events", "anomalies", "subs")]
+    for kind, tab in (("material", mat), ("vendor", ven)):
+        if tab is not None:
+            parts.append(tab.select("day", F.lit(kind).alias("kind"), F.col(kind).alias("item"),
+                                    "cost", zero.alias("events"), zero.alias("anomalies"),
+                                    zero.alias("subs")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    r = u.groupBy(key.alias("period"), "kind", "item").agg(
+        F.sum("cost").alias("cost"), F.sum("events").alias("events"),
         F.sum("anomalies").alias("anomalies"), F.sum("subs").alias("subs"))
+    w = Window.partitionBy("period", "kind").orderBy(F.desc(F.round("cost", 6)), F.col("item").asc())
+    r = r.withColumn("rn", F.row_number().over(w))
+    r = r.where((F.col("kind") == "total") | (F.col("rn") <= top_k))
+    is_total = F.col("kind") == "total"
+
+    def joined(kind):
+        items = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rn", "item"))))
+        return F.array_join(F.transform(items, lambda x: x["item"]), ", ")
+
+    g = r.groupBy("period").agg(
+        F.sum(F.when(is_total, F.col("cost"))).alias("total_cost"),
+        F.sum(F.when(is_total, F.col("events"))).alias("events"),
+        F.sum(F.when(is_total, F.col("anomalies"))).alias("anomalies"),
+        F.sum(F.when(is_total, F.col("subs"))).alias("subs"),
+        joined("material").alias("top_materials"), joined("vendor").alias("top_vendors"))
     out = spine(g, "period", grain).join(g, "period", "left")
-    for item, tab, name in (("material", mat, "top_materials"), ("vendor", ven, "top_vendors")):
-        if tab is None:
-            out = out.withColumn(name, F.lit(""))
-            continue
-        per = tab.groupBy(key.alias("period"), item).agg(F.sum("cost").alias("cost"))
-        tops = joined_top_k(per, "period", item, "cost", top_k, name)
-        out = out.join(tops, "period", "left")
     return out.select(
         "period",
         F.coalesce("total_cost", F.lit(0.0)).alias("total_cost"),
