@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wastelens.functions import scalars as S
+from wastelens.operators.filters import date_range_cond
 from wastelens.operators.joins import join_small
 
 
@@ -80,9 +81,9 @@ def day_alerts(df: DataFrame, threshold: float = 2000.0, ts_col: str = "timestam
                as_of=None) -> DataFrame:
     """M6 + A12: days whose summed cost reaches ``threshold`` (bad cost counts
     0). ``as_of`` limits the check to that one day, as the entry page does."""
-    d = df.withColumn("day", F.to_date(F.col(ts_col)))
     if as_of is not None:
-        d = d.where(F.col("day") == F.lit(as_of).cast("date"))
+        df = df.where(date_range_cond(ts_col, as_of, as_of, dict(df.dtypes)[ts_col]))
+    d = df.withColumn("day", F.to_date(F.col(ts_col)))
     tot = d.where(F.col("day").isNotNull()).groupBy("day").agg(
         F.sum(F.coalesce(S.parse_number("total_cost"), F.lit(0.0))).alias("day_cost"))
     if not threshold > 0:

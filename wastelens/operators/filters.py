@@ -17,6 +17,22 @@ def _as_date(d):
     return d
 
 
+def date_range_cond(ts_col: str, start, end, dtype: str = "timestamp_ntz"):
+    """``to_date(ts) BETWEEN start AND end`` written on the raw column
+    (``ts >= start AND ts < end + 1 day``) so it reaches the Parquet scan as a
+    pushed filter and prunes row groups; same rows, including the last day."""
+    start, end = _as_date(start), _as_date(end)
+    lo = _dt.datetime.combine(start, _dt.time())
+    hi = _dt.datetime.combine(end + _dt.timedelta(days=1), _dt.time())
+    c = F.col(ts_col)
+    if dtype == "date":
+        return (c >= F.lit(start)) & (c <= F.lit(end))
+    if dtype in ("timestamp_ntz", "timestamp"):
+        return (c >= F.lit(lo).cast(dtype)) & (c < F.lit(hi).cast(dtype))
+    d = F.to_date(c)
+    return (d >= F.lit(start)) & (d <= F.lit(end))
+
+
 def filter_log(df: DataFrame, start, end, materials=None, reasons=None, suites=None,
                ts_col: str = "timestamp_local", keep_date_only: bool = False) -> DataFrame:
     """Dashboard filter (P1): drop null stamps, inclusive local-date range,
@@ -27,7 +43,7 @@ def filter_log(df: DataFrame, start, end, materials=None, reasons=None, suites=N
     """
     start, end = _as_date(start), _as_date(end)
     d = F.to_date(F.col(ts_col))
-    cond = F.col(ts_col).isNotNull() & (d >= F.lit(start)) & (d <= F.lit(end))
+    cond = F.col(ts_col).isNotNull() & date_range_cond(ts_col, start, end, dict(df.dtypes)[ts_col])
     if "log_date" in df.columns:
         cond = cond & F.col("log_date").between(F.lit(start), F.lit(end))
     if materials:
@@ -42,8 +58,8 @@ def filter_log(df: DataFrame, start, end, materials=None, reasons=None, suites=N
 
 def default_range(df: DataFrame, ts_col: str = "timestamp_local") -> DataFrame:
     """Default filter range (P2): first and last local date of the log."""
-    d = F.to_date(F.col(ts_col))
-    return df.agg(F.min(d).alias("start_date"), F.max(d).alias("end_date"))
+    c = F.col(ts_col)
+    return df.agg(F.to_date(F.min(c)).alias("start_date"), F.to_date(F.max(c)).alias("end_date"))
 
 
 def analysis_frame(df: DataFrame) -> DataFrame:
