@@ -76,31 +76,42 @@ def base_tables(df: DataFrame, levels=("Monthly",)):
     return out
 
 
-def _grain_table(grain: str, tot: DataFrame, mat, ven, top_k: int) -> DataFrame:
-    """One grain: totals and both top lists from a single stacked table.
-
-    Rows of kind total / material / vendor are rolled up to the grain's key
-    together, ranked by one window over (period, kind) - it runs on the
-    aggregated (period, item) table, so a period holds one row per distinct
-    item, never raw rows - and gathered by one aggregate; the spine is the
-    only join.
+def _grains_table(levels: dict, bases: dict, top_k: int) -> DataFrame:
+    """Report rows of several grains in one pipeline, with a ``grain`` column.
+
+    ``levels`` maps a base level to the grains rolled up from it; ``bases``
+    maps a level to its (totals, material, vendor) tables. Totals, material
+    rows and vendor rows are stacked, tagged with their grains, rolled up to
+    (grain, period, kind, item), ranked by one window over (grain, period,
+    kind) - it runs on the aggregated table, so a period holds one row per
+    distinct item, never raw rows - and gathered by one aggregate; one spine
+    covers all grains and is the only join.
     """
-    key = S.period_key(grain, F.col("day"))
     zero = F.lit(0).cast("bigint")
-    parts = [tot.select("day", F.lit("total").alias("kind"), F.lit(None).cast("string").alias("item"),
-                        F.col("total_cost").alias("cost"), "events", "anomalies", "subs")]
-    for kind, tab in (("material", mat), ("vendor", ven)):
-        if tab is not None:
-            parts.append(tab.select("day", F.lit(kind).alias("kind"), F.col(kind).alias("item"),
-                                    "cost", zero.alias("events"), zero.alias("anomalies"),
-                                    zero.alias("subs")))
+    parts = []
+    for level, grains in levels.items():
+        tot, mat, ven = bases[level]
+        tag = F.explode(F.array(*[F.lit(g) for g in grains])).alias("grain")
+        parts.append(tot.select("day", tag, F.lit("total").alias("kind"),
+                                F.lit(None).cast("string").alias("item"),
+                                F.col("total_cost").alias("cost"), "events", "anomalies", "subs"))
+        for kind, tab in (("material", mat), ("vendor", ven)):
+            if tab is not None:
+                parts.append(tab.select("day", tag, F.lit(kind).alias("kind"), F.col(kind).alias("item"),
+                                        "cost", zero.alias("events"), zero.alias("anomalies"),
+                                        zero.alias("subs")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    r = u.groupBy(key.alias("period"), "kind", "item").agg(
+    g = F.col("grain")
+    d = F.col("day")
+    key = (F.when(g == "Weekly", S.week_key(d)).when(g == "Monthly", F.trunc(d, "month"))
+           .when(g == "Quarterly", F.trunc(d, "quarter")).otherwise(F.trunc(d, "year")))
+    r = u.groupBy("grain", key.alias("period"), "kind", "item").agg(
         F.sum("cost").alias("cost"), F.sum("events").alias("events"),
         F.sum("anomalies").alias("anomalies"), F.sum("subs").alias("subs"))
-    w = Window.partitionBy("period", "kind").orderBy(F.desc(F.round("cost", 6)), F.col("item").asc())
+    w = Window.partitionBy("grain", "period", "kind").orderBy(F.desc(F.round("cost", 6)),
+                                                              F.col("item").asc())
     r = r.withColumn("rn", F.row_number().over(w))
     r = r.where((F.col("kind") == "total") | (F.col("rn") <= top_k))
     is_total = F.col("kind") == "total"
@@ -109,15 +120,21 @@ def _grain_table(grain: str, tot: DataFrame, mat, ven, top_k: int) -> DataFrame:
         items = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rn", "item"))))
         return F.array_join(F.transform(items, lambda x: x["item"]), ", ")
 
-    g = r.groupBy("period").agg(
+    t = r.groupBy("grain", "period").agg(
         F.sum(F.when(is_total, F.col("cost"))).alias("total_cost"),
         F.sum(F.when(is_total, F.col("events"))).alias("events"),
         F.sum(F.when(is_total, F.col("anomalies"))).alias("anomalies"),
         F.sum(F.when(is_total, F.col("subs"))).alias("subs"),
         joined("material").alias("top_materials"), joined("vendor").alias("top_vendors"))
-    out = spine(g, "period", grain).join(g, "period", "left")
+    # Spine: every period of each grain between its first and last period.
+    b = t.groupBy("grain").agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
+    months = F.when(g == "Monthly", 1).when(g == "Quarterly", 3).otherwise(12)
+    seq = F.when(g == "Weekly", F.sequence("_lo", "_hi", F.expr("INTERVAL 7 DAYS"))) \
+           .otherwise(F.sequence("_lo", "_hi", F.make_ym_interval(F.lit(0), months)))
+    sp = b.select("grain", F.explode(seq).alias("period"))
+    out = sp.join(t, ["grain", "period"], "left")
     return out.select(
-        "period",
+        "grain", "period",
         F.coalesce("total_cost", F.lit(0.0)).alias("total_cost"),
         F.coalesce("events", F.lit(0)).cast("bigint").alias("events"),
         F.coalesce("anomalies", F.lit(0)).cast("bigint").alias("anomalies"),
@@ -131,8 +148,7 @@ def period_table(df: DataFrame, grain: str, top_k: int = 5, prepared: bool = Fal
     from the first to the last period, empty periods with 0 and ""."""
     _check(grain)
     d = df if prepared else report_input(df)
-    tot, mat, ven = base_tables(d, [grain])[grain]
-    return _grain_table(grain, tot, mat, ven, top_k)
+    return _grains_table({grain: [grain]}, base_tables(d, [grain]), top_k).drop("grain")
 
 
 def with_text(table: DataFrame, grain, legacy_week_label: bool = False) -> DataFrame:
@@ -141,7 +157,7 @@ def with_text(table: DataFrame, grain, legacy_week_label: bool = False) -> DataF
     The amount is shown rounded to cents first, so the whole-dollar text
     does not depend on summation order.
     """
-    g = F.lit(grain) if isinstance(grain, str) else F.col(grain)
+    g = F.col(grain) if grain in table.columns else F.lit(grain)
     label = S.period_label(g, F.col("period"), legacy_week_label)
     na = lambda c: F.when(F.col(c) == "", F.lit("n/a")).otherwise(F.col(c))
     text = F.concat(
@@ -178,12 +194,9 @@ def all_reports(df: DataFrame, top_k: int = 5, legacy_week_label: bool = False)
     up from the month table.
     """
     base = base_tables(report_input(df), ["Weekly", "Monthly"])
-    parts = [with_text(_grain_table(g, *base["Weekly" if g == "Weekly" else "Monthly"], top_k),
-                       g, legacy_week_label).withColumn("grain", F.lit(g)) for g in GRAINS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    t = _grains_table({"Weekly": ["Weekly"], "Monthly": ["Monthly", "Quarterly", "Annual"]},
+                      base, top_k)
+    return with_text(t, "grain", legacy_week_label)
 
 
 def recent_periods(table: DataFrame, n: int = 8) -> DataFrame:
