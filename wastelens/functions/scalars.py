@@ -84,10 +84,16 @@ def parse_timestamp(c) -> Column:
 
 
 def floor_days(later, earlier) -> Column:
-    """Whole days of elapsed time, floored (N13); null if either side is null."""
-    a = F.unix_micros(col_of(later).cast("timestamp"))
-    b = F.unix_micros(col_of(earlier).cast("timestamp"))
-    return F.floor((a - b) / F.lit(_DAY_MICROS))
+    """Whole days of elapsed time, floored (N13); null if either side is null.
+
+    Calendar days between the dates, less one when the later stamp's time of
+    day is earlier; exact to the microsecond and independent of the session
+    time zone for TIMESTAMP_NTZ values.
+    """
+    a, b = col_of(later), col_of(earlier)
+    tod = "HH:mm:ss.SSSSSS"
+    days = F.datediff(F.to_date(a), F.to_date(b)).cast("bigint")
+    return days - F.when(F.date_format(a, tod) < F.date_format(b, tod), 1).otherwise(0)
 
 
 def week_key(c) -> Column:

@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from wastelens.session import cut_lineage
 from pyspark.sql import types as T
 
 from wastelens import schemas
@@ -216,7 +218,7 @@ def flag_anomalies(df: DataFrame, key_cols, contamination: float = CONTAMINATION
     nodes = fit(d, key_cols, feats, n_trees, sample, seed, n)
     # Scored once: written to the shared checkpoint folder, then read twice
     # (offset, flags) without re-running the Python scorer.
-    scored = score(d, nodes, feats).checkpoint(eager=True)
+    scored = cut_lineage(score(d, nodes, feats))
     q = F.percentile("_raw", F.lit(contamination)) if n <= EXACT_PERCENTILE_ROWS \
         else F.percentile_approx("_raw", F.lit(contamination), F.lit(100_000))
     offset = scored.agg(q.alias("o")).first()["o"]

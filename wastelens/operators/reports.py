@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wastelens.session import cut_lineage
+
 from wastelens import schemas
 from wastelens.functions import scalars as S
 from wastelens.operators.filters import report_input
@@ -56,7 +58,7 @@ def base_tables(df: DataFrame, levels=("Monthly",)):
     # consumer. It holds one row per (period[, item]), far fewer than log
     # rows, and is written once to the shared checkpoint folder (lineage
     # cut, safe against lost executors).
-    g = g.checkpoint(eager=True)
+    g = cut_lineage(g)
 
     def only(*present):
         cond = F.lit(True)
