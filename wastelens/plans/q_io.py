@@ -71,3 +71,26 @@ def q_log_round_trip(spark, sf_dir):
     ok = AU.digest(text) == F.col("hash")
     typed = RD.type_log(text.withColumn("digest_ok", ok))
     return typed.select("id", "timestamp_local", "material", "quantity", "total_cost", "digest_ok")
+
+
+@query("safe_totals", with_(WASTE_CTE) + """
+SELECT reason, round(coalesce(sum(coalesce(TRY_CAST(CAST(total_cost AS VARCHAR) AS DOUBLE), 0)), 0), 2) AS total_cost
+FROM waste GROUP BY reason""")
+def q_safe_totals(spark, sf_dir):
+    """Totals over a text-typed cost column (bad values count 0)."""
+    from wastelens.functions.scalars import safe_sum
+    w = waste_view(spark, sf_dir, ["reason", "total_cost"])
+    t = w.withColumn("total_cost", F.col("total_cost").cast("string"))
+    return t.groupBy("reason").agg(F.round(safe_sum("total_cost"), 2).alias("total_cost"))
+
+
+@query("report_text_export")
+def q_report_text_export(spark, sf_dir):
+    """Write the monthly report blocks as text into the shared
+    checkpoint folder and read them back (one line per text line)."""
+    from wastelens.operators import reports as R
+    from wastelens.plans.q_reports import report_source
+    t = R.with_text(R.period_table(report_source(spark, sf_dir), "Monthly"), "Monthly")
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/report-{uuid.uuid4().hex}"
+    SK.write_text(t.orderBy("period").coalesce(1), root)
+    return spark.read.text(root)
