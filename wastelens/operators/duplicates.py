@@ -104,25 +104,25 @@ def subscription_like(df: DataFrame, key_cols: list[str], chunks: int | None = N
     return out
 
 
+_HELPERS = ["vendor_norm", "amount_bucket", "gap"]
+
+
 def duplicates_and_subs(df: DataFrame, key_cols: list[str], chunks: int | None = None) -> DataFrame:
     """Both reference flags on every row: date, vendor, cost, description,
-    dup_candidate, subscription_like (plus the key columns)."""
-    on = ["date", *key_cols]  # the order key: unique per row
-    a = adjacent_duplicates(df, key_cols, chunks).select(*on, "dup_candidate")
-    s = subscription_like(df, key_cols, chunks).select(*on, "subscription_like")
-    base = df.select("date", "vendor", "cost", "description", *key_cols)
-    return base.join(a, on, "left").join(s, on, "left").withColumns({
-        "dup_candidate": F.coalesce("dup_candidate", F.lit(False)),
-        "subscription_like": F.coalesce("subscription_like", F.lit(False))})
+    dup_candidate, subscription_like (plus the key columns).
+
+    Both detectors keep every row and column, so they are chained; no join
+    back is needed.
+    """
+    s = subscription_like(df, key_cols, chunks).drop(*_HELPERS)
+    a = adjacent_duplicates(s, key_cols, chunks)
+    return a.select("date", "vendor", "cost", "description", *key_cols, "dup_candidate",
+                    "subscription_like")
 
 
 def flags_in_place(df: DataFrame, key_cols: list[str], chunks: int | None = None) -> DataFrame:
-    """J2 default: the subscription flag attached to each row by its row key;
-    row count unchanged."""
-    on = ["date", *key_cols]  # the order key: unique per row
-    s = subscription_like(df, key_cols, chunks).select(*on, "subscription_like")
-    return df.join(s, on, "left").withColumn(
-        "subscription_like", F.coalesce("subscription_like", F.lit(False)))
+    """J2 default: the subscription flag on each row; row count unchanged."""
+    return subscription_like(df, key_cols, chunks).drop(*_HELPERS)
 
 
 def flags_fanout(df: DataFrame, key_cols: list[str], chunks: int | None = None) -> DataFrame:

@@ -41,12 +41,7 @@ FROM waste WHERE CAST(timestamp_local AS DATE) BETWEEN DATE '{s}' AND DATE '{e}'
     for name, (s, e) in SK.presets(AS_OF).items()))
 def q_export_presets(spark, sf_dir):
     w = waste_view(spark, sf_dir, ["timestamp_local", "material", "quantity", "total_cost"] + ROW_KEY)
-    parts = [SK.export_range(w, s, e)[0].withColumn("preset", F.lit(name))
-             for name, (s, e) in SK.presets(AS_OF).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return SK.export_presets(w, AS_OF)
 
 
 @query("export_range", with_(WASTE_CTE) + """
