@@ -181,7 +181,7 @@ def _path_lengths(x: np.ndarray, arrays) -> np.ndarray:
 
 def score(df: DataFrame, nodes: pd.DataFrame, feats=("qty", "cost")) -> DataFrame:
     """Adds ``_raw`` = -2^(-mean path / c(psi)) (higher is more normal),
-    scored in vectorised numpy by ``mapInPandas``.
+    scored in vectorised numpy by ``mapInArrow``.
 
     (Compiling the forest into one CASE expression per tree keeps scoring in
     the JVM but was measured 4x slower here: 100 trees x 511 nodes overwhelm
@@ -193,12 +193,17 @@ def score(df: DataFrame, nodes: pd.DataFrame, feats=("qty", "cost")) -> DataFram
     schema = T.StructType(df.schema.fields + [T.StructField("_raw", T.DoubleType())])
 
     def run(batches):
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=float)
-            pdf["_raw"] = -np.power(2.0, -_path_lengths(x, arrays) / cpsi)
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+        import pyarrow as pa
+        for rb in batches:
+            x = np.column_stack([rb.column(rb.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                                 .astype(float) for c in feats])
+            raw = -np.power(2.0, -_path_lengths(x, arrays) / cpsi)
+            yield pa.RecordBatch.from_arrays(list(rb.columns) + [pa.array(raw, pa.float64())],
+                                             names=list(rb.schema.names) + ["_raw"])
+
+    # Arrow batches: the features are read as numpy, every other column
+    # passes through untouched.
+    return df.mapInArrow(run, schema)
 
 
 def flag_anomalies(df: DataFrame, key_cols, contamination: float = CONTAMINATION,
