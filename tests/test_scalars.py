@@ -55,3 +55,30 @@ def test_floor_days_n13(spark):
                    "timestamp_ntz'2024-01-05 00:00:00' c")
     r = df.select(S.floor_days("a", "b"), S.floor_days("c", "b")).first()
     assert tuple(r) == (3, 4)
+
+
+def test_parse_number_matches_pandas_coercion(spark):
+    """Differential check against pandas' coercion on generated text.
+
+    pandas' fast parser is not always correctly rounded for large
+    exponents; finite values are compared with a relative tolerance."""
+    import pandas as pd
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    alphabet = st.sampled_from(list("0123456789.e+- ,xdfEinINFa_"))
+
+    @settings(max_examples=30, deadline=None)
+    @given(st.lists(st.text(alphabet, max_size=7), min_size=1, max_size=60))
+    def check(vals):
+        exp = pd.to_numeric(pd.Series(vals, dtype=object), errors="coerce")
+        exp = [None if v != v else float(v) for v in exp]
+        got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "x string")
+               .select(S.parse_number("x")).collect()]
+        for v, e, g in zip(vals, exp, got):
+            if e is None or g is None or math.isinf(e):
+                assert e == g, (v, e, g)
+            else:
+                assert math.isclose(e, g, rel_tol=1e-15, abs_tol=0.0), (v, e, g)
+
+    check()

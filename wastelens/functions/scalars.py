@@ -68,12 +68,15 @@ def parse_number(c) -> Column:
 
     Accepts what a strict decimal reader accepts: optional sign, digits with an
     optional point, optional exponent, ``inf``/``infinity``; surrounding
-    blanks are ignored. Rejects ``1,000``, ``1_000``, ``0x10``, ``1d``, ``True``.
+    blanks are ignored. Rejects ``1,000``, ``1_000``, ``0x10``, ``1d``, ``True``;
+    out-of-range values are missing. Values are correctly rounded.
     """
     c = col_of(c)
     t = c.cast("string")
     v = F.when(t.rlike(_NUMBER_TEXT), F.trim(t).try_cast("double"))
-    return F.when(~F.isnan(v), v)
+    # Out-of-range text (1e632) is missing, not infinity; only an inf literal is.
+    overflow = (F.abs(v) == F.lit(float("inf"))) & ~t.rlike(r"(?i)^\s*[+-]?inf(inity)?\s*$")
+    return F.when(~F.isnan(v) & ~overflow, v)
 
 
 def parse_timestamp(c) -> Column:
