@@ -25,7 +25,8 @@ def col_of(c) -> Column:
 
 def slug(c) -> Column:
     """File-safe name: strip, lower, space to ``_``, keep ``[a-z0-9_.-]``."""
-    s = F.regexp_replace(col_of(c), r"^\s+|\s+$", "")
+    # Unicode white space (as str.strip), incl. the separators U+001C..U+001F.
+    s = F.regexp_replace(col_of(c), r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
     s = F.replace(F.lower(s), F.lit(" "), F.lit("_"))
     return F.regexp_replace(s, r"[^a-z0-9_\-\.]", "")
 
