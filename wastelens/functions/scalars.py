@@ -142,14 +142,27 @@ def money_text(c) -> Column:
 
 
 def float_text(c) -> Column:
-    """Shortest decimal text of a double in plain notation (``65.0``,
-    ``12345678.9``) for 1e-4 <= |x| < 1e16 and 0; other magnitudes keep
-    Spark's text. Digests must not depend on ``1.23456789E7`` style text."""
+    """Text of a double as Python writes it: plain notation (``65.0``,
+    ``12345678.9``) for 1e-4 <= |x| < 1e16 and 0, else ``1e+16`` style.
+    Digests must not depend on ``1.23456789E7`` style text. Digits come from
+    the JVM's conversion, which on Java 17 can add a 17th digit for some
+    values of 1e16 and above."""
     c = col_of(c)
-    plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"),
+    plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"),
                                               "0+$", ""), r"\.$", ".0")
     inrange = (F.abs(c) < 1e16) & ((F.abs(c) >= 1e-4) | (c == 0))
-    return F.when(inrange, plain).otherwise(c.cast("string"))
+    # Outside that range: Spark's 1.25E20 / 1.0E-5 as 1.25e+20 / 1e-05.
+    t = c.cast("string")
+    sci = r"^(-?[0-9]+(?:\.[0-9]+)?)E(-?)([0-9]+)$"
+    mant = F.regexp_replace(F.regexp_replace(F.regexp_extract(t, sci, 1), r"(\.[0-9]*?)0+$", "$1"),
+                            r"\.$", "")
+    sign = F.when(F.regexp_extract(t, sci, 2) == "-", F.lit("-")).otherwise(F.lit("+"))
+    e = F.regexp_extract(t, sci, 3)
+    expo = F.when(F.length(e) < 2, F.lpad(e, 2, "0")).otherwise(e)
+    special = (F.when(t == "Infinity", F.lit("inf")).when(t == "-Infinity", F.lit("-inf"))
+               .when(t == "NaN", F.lit("nan")).otherwise(t))
+    pyexp = F.when(t.rlike(sci), F.concat(mant, F.lit("e"), sign, expo)).otherwise(special)
+    return F.when(inrange, plain).otherwise(pyexp)
 
 
 def text_of(c, dtype: str | None = None) -> Column:
