@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from wastelens.llm.packing import op6_packing
 from wastelens.llm.sharding import op5_sharding
+from wastelens.llm.simhash import op4_simhash
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
 }
