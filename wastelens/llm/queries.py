@@ -5,11 +5,13 @@ from __future__ import annotations
 from wastelens.llm.packing import op6_packing
 from wastelens.llm.sharding import op5_sharding
 from wastelens.llm.simhash import op4_simhash
+from wastelens.llm.suffixes import op9_suffix_dedup
 
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {}

@@ -68,7 +68,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.size(words_of(text)).cast("long").alias("n_words"),
         F.lit(1).cast("long").alias("n_rows"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("group_key"),
         F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().alias("row")))

@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     prepare(docs.sparkSession)
     text = text_of(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
-                       F.encode(text, "UTF-8").alias("text")) \
+                       text.cast("binary").alias("text")) \
         .mapInArrow(_fingerprint_batches(width), "doc_id long, text_key long, fp long")
 
 
