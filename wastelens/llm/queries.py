@@ -6,8 +6,10 @@ from wastelens.llm.packing import op6_packing
 from wastelens.llm.sharding import op5_sharding
 from wastelens.llm.simhash import op4_simhash
 from wastelens.llm.suffixes import op9_suffix_dedup
+from wastelens.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
