@@ -44,10 +44,10 @@ GRAM = 16
 SPREAD = RUN - GRAM  # an anchor lies 0..SPREAD bytes into its string
 WIDTH = RUN + SPREAD  # bytes that an anchor's strings can reach over
 ROW = WIDTH + 8 - WIDTH % 8
-BUCKET_BYTES = 8 << 20
-SEGMENT = 2 << 20  # bytes of text looked at together
+BUCKET_BYTES = 6 << 20
+SEGMENT = 1 << 20  # bytes of text looked at together
 FLUSH = 16 << 20  # bytes of text packed together
-WINDOWS = 1 << 20  # strings compared together
+WINDOWS = 1 << 18  # strings compared together
 SAMPLE_DOCS = 2000
 KEYS_A_DOC = 64
 
@@ -132,6 +132,18 @@ class Suffixes:
         parts += [np.ascontiguousarray(getattr(self, k), t).tobytes() for k, t in self.FIELDS]
         return zip_.compress(b"".join([*parts, self.mat[used].tobytes()]))
 
+    def slim(self) -> "Suffixes":
+        """With the used bytes only, one suffix after the other, as ``mat``."""
+        used = np.arange(ROW) < (self.m.astype(np.int64) + RUN - 1)[:, None]
+        return Suffixes(self.doc, self.size, self.pos, self.m, self.g, self.mat[used])
+
+    def part(self, a: int, b: int, at: np.ndarray) -> "Suffixes":
+        """Suffixes a..b of slim ones whose bytes start at ``at``."""
+        m = self.m[a:b]
+        mat = np.zeros((b - a, ROW), np.uint8)
+        mat[np.arange(ROW) < (m.astype(np.int64) + RUN - 1)[:, None]] = self.mat[at[a]:at[b]]
+        return Suffixes(self.doc[a:b], self.size[a:b], self.pos[a:b], m, self.g[a:b], mat)
+
     @staticmethod
     def unpack(blob: bytes, unzip) -> "Suffixes":
         raw = unzip.decompress(blob)
@@ -145,35 +157,39 @@ class Suffixes:
         return Suffixes(*cols, mat)
 
 
-def suffixes_of(docs: list[tuple[int, bytes]]) -> Suffixes:
-    """Suffixes of whole documents; long ones are looked at in overlapping segments."""
-    out, some, held = [], [], 0
-
-    def look():
-        nonlocal some, held
-        buf = b"".join(t for _, _, _, t in some)
-        ends = np.cumsum([len(t) for _, _, _, t in some])
-        first, m, g = anchors(buf, ends)
-        if len(first):
-            raw = np.zeros(len(buf) + ROW, np.uint8)
-            raw[:len(buf)] = np.frombuffer(buf, np.uint8)
-            mat = np.lib.stride_tricks.sliding_window_view(raw, ROW)[first]
-            mat = np.where(np.arange(ROW) < (m + RUN - 1)[:, None], mat, 0)
-            k = np.searchsorted(ends, first, side="right")
-            starts = ends - [len(t) for _, _, _, t in some]
-            ids, sizes, offsets = (np.array([x[i] for x in some], np.int64) for i in range(3))
-            out.append(Suffixes(ids[k], sizes[k], first - starts[k] + offsets[k],
-                                m.astype(np.uint8), g.astype(np.uint8), mat))
-        some, held = [], 0
-
+def _look(some: list[tuple[int, int, int, bytes]]) -> Suffixes:
+    """Suffixes of parts of texts: (id, text's length, part's offset, part)."""
+    buf = b"".join(x[3] for x in some)
+    ends = np.cumsum([len(x[3]) for x in some])
+    first, m, g = anchors(buf, ends)
+    raw = np.zeros(len(buf) + ROW, np.uint8)
+    raw[:len(buf)] = np.frombuffer(buf, np.uint8)
+    mat = np.lib.stride_tricks.sliding_window_view(raw, ROW)[first]
+    mat[np.arange(ROW) >= (m + RUN - 1)[:, None]] = 0
+    k = np.searchsorted(ends, first, side="right")
+    starts = ends - [len(x[3]) for x in some]
+    ids, sizes, offsets = (np.array([x[i] for x in some], np.int64) for i in range(3))
+    return Suffixes(ids[k], sizes[k], first - starts[k] + offsets[k], m.astype(np.uint8), g.astype(np.uint8), mat)
+
+
+def segments_of(docs):
+    """Suffixes of whole documents, about SEGMENT bytes of text at a time; long
+    texts in parts that overlap by a string."""
+    some, held = [], 0
     for doc, text in docs:
         for at in range(0, max(len(text) - RUN + 1, 0), SEGMENT):
             some.append((doc, len(text), at, text[at:at + SEGMENT + RUN - 1]))
             held += len(some[-1][3])
             if held >= SEGMENT:
-                look()
+                yield _look(some), held
+                some, held = [], 0
     if some:
-        look()
+        yield _look(some), held
+
+
+def suffixes_of(docs) -> Suffixes:
+    """All suffixes of a few documents."""
+    out = [s for s, _ in segments_of(docs)]
     return Suffixes.join(out) if out else Suffixes(
         *[np.zeros(0, t) for _, t in Suffixes.FIELDS], np.zeros((0, ROW), np.uint8))
 
@@ -361,30 +377,35 @@ def _packer(splitters: np.ndarray):
 
         zip_ = zstandard.ZstdCompressor(level=3)
 
-        def flush(docs):
-            s, runs = fold(suffixes_of(docs))
-            if len(runs[0]):
-                yield _run_rows(runs)
+        def flush(held):
+            # Per bucket, so that only the slim form is held for all of them.
+            for key in sorted({k for _, _, cuts in held for k in cuts}):
+                parts = [s.part(*cuts[key], at) for s, at, cuts in held if key in cuts]
+                s, runs = fold(Suffixes.join(parts))
+                if len(runs[0]):
+                    yield _run_rows(runs)
+                yield _blob_rows([(key // 2, bool(key % 2), s.pack(zip_))])
+
+        def texts():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    yield from zip(*(c.slice(at, 256).to_pylist() for c in batch.columns))
+
+        held, size = [], 0
+        for s, seen in segments_of(texts()):
             bucket, dealt = bucket_of(leading(s), splitters, s.doc)
-            by = np.lexsort((dealt, bucket))
-            key = bucket[by] * 2 + dealt[by]
-            cuts = np.flatnonzero(np.append(len(by) > 0, key[1:] != key[:-1]))
-            rows = [(int(bucket[by[a]]), bool(dealt[by[a]]), s.take(by[a:b]).pack(zip_))
-                    for a, b in zip(cuts, [*cuts[1:], len(by)])]
-            if rows:
-                yield _blob_rows(rows)
-
-        docs, held = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for doc, text in zip(*(c.slice(at, 256).to_pylist() for c in batch.columns)):
-                    docs.append((doc, text))
-                    held += len(text)
-                    if held >= FLUSH:
-                        yield from flush(docs)
-                        docs, held = [], 0
-        if docs:
-            yield from flush(docs)
+            key = bucket * 2 + dealt
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            s = s.take(by).slim()
+            at = np.append(0, np.cumsum(s.m.astype(np.int64) + RUN - 1))
+            first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1])).tolist()
+            held.append((s, at, {int(key[a]): (a, b) for a, b in zip(first, [*first[1:], len(key)])}))
+            size += seen
+            if size >= FLUSH:
+                yield from flush(held)
+                held, size = [], 0
+        yield from flush(held)
     return run
 
 
