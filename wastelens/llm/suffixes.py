@@ -10,14 +10,21 @@ strings have the same anchor, and one anchor serves about 18 strings in a
 row. The sparse suffix array holds the suffixes that start at anchors, each
 with the few bytes before it that its strings need.
 
-1. Splitters are taken from a bounded sample of anchors' leading bytes and cut the
+Documents are dealt into chunks of about ``CHUNK_BYTES`` by a hash of id and
+length; all steps that need texts read them from that one exchange.
+
+1. Only grams that occur in two documents can matter. Each chunk sends 32 bits of
+   each of its grams' hashes to the place that the rest of the hash names and
+   gets a bit back: seen in another chunk or not. Strings whose anchor
+   occurs once are dropped, so most unique text is not sent anywhere.
+2. Splitters are taken from a bounded sample of anchors' leading bytes and cut the
    order of suffixes into buckets of about ``BUCKET_BYTES`` of text each.
-2. A task sends its suffixes to their buckets, packed and compressed; of
+3. A chunk sends its suffixes to their buckets, packed and compressed; of
    equal ones only those of the smallest id travel, the others are done.
-3. A bucket sorts its suffixes by multikey quicksort (eight bytes at a time, only
+4. A bucket sorts its suffixes by multikey quicksort (eight bytes at a time, only
    ties go on) and compares neighbours; the longest common prefix tells which
    strings can be repeated at all. These are compared exactly.
-4. Equal strings share their anchor's gram, so they meet in one bucket. A gram so
+5. Equal strings share their anchor's gram, so they meet in one bucket. A gram so
    frequent that it fills several buckets is dealt out among them; each then
    passes on the smallest-id suffixes that are left, and these are compared
    across the buckets' boundaries in a second round.
@@ -34,6 +41,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +52,13 @@ GRAM = 16
 SPREAD = RUN - GRAM  # an anchor lies 0..SPREAD bytes into its string
 WIDTH = RUN + SPREAD  # bytes that an anchor's strings can reach over
 ROW = WIDTH + 8 - WIDTH % 8
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 SEGMENT = 1 << 20  # bytes of text looked at together
-FLUSH = 16 << 20  # bytes of text packed together
 WINDOWS = 1 << 18  # strings compared together
 SAMPLE_DOCS = 2000
 KEYS_A_DOC = 64
+ROWS_A_CHUNK = 50_000
 
 _U = np.uint64
 _C = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -67,17 +76,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def _words(buf) -> np.ndarray:
     """The eight bytes from every offset on, as little-endian numbers."""
     raw = np.frombuffer(buf, np.uint8) if not isinstance(buf, np.ndarray) else buf.reshape(-1)
-    return np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    return np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)) if len(raw) > 7 else np.zeros(0, "<u8")
 
 
 # ----------------------------------------------------------------- anchors
-def anchors(buf: bytes, ends: np.ndarray):
-    """Strings of the texts that end at ``ends`` in ``buf``, by anchor: (first
-    string's offset, number of strings, anchor's distance from the first)."""
+def anchors(buf: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the texts that end at ``ends`` in ``buf``: where each string starts, and its anchor."""
     n = len(buf) - RUN + 1
-    none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     w = _words(buf)
     grams = n + SPREAD
     h = w[:grams] * _C[0]
@@ -99,11 +106,21 @@ def anchors(buf: bytes, ends: np.ndarray):
     which = np.searchsorted(ends, q, side="right")
     ok = q + RUN <= ends[np.minimum(which, len(ends) - 1)]
     ok &= which < len(ends)
-    q, at = q[ok], at[ok]
-    if not len(q):
-        return none, none, none
-    new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (q[1:] != q[:-1] + 1)))
-    return q[new], np.diff(np.append(new, len(q))), at[new] - q[new]
+    return q[ok], at[ok]
+
+
+def distinct(at: np.ndarray) -> np.ndarray:
+    """Anchors in the order of the text, each once (``at`` never falls)."""
+    return at[np.append(len(at) > 0, at[1:] != at[:-1])]
+
+
+def gram_hash(buf: bytes, at: np.ndarray) -> np.ndarray:
+    """Hash of the gram at each anchor, unlike the one that chose it."""
+    w = _words(buf)
+    h = w[at] * _C[4]
+    h ^= h >> _U(31)
+    h += w[at + 8] * _C[5]
+    return _mix(h)
 
 
 class Suffixes:
@@ -157,39 +174,56 @@ class Suffixes:
         return Suffixes(*cols, mat)
 
 
-def _look(some: list[tuple[int, int, int, bytes]]) -> Suffixes:
-    """Suffixes of parts of texts: (id, text's length, part's offset, part)."""
-    buf = b"".join(x[3] for x in some)
-    ends = np.cumsum([len(x[3]) for x in some])
-    first, m, g = anchors(buf, ends)
-    raw = np.zeros(len(buf) + ROW, np.uint8)
-    raw[:len(buf)] = np.frombuffer(buf, np.uint8)
-    mat = np.lib.stride_tricks.sliding_window_view(raw, ROW)[first]
-    mat[np.arange(ROW) >= (m + RUN - 1)[:, None]] = 0
-    k = np.searchsorted(ends, first, side="right")
-    starts = ends - [len(x[3]) for x in some]
-    ids, sizes, offsets = (np.array([x[i] for x in some], np.int64) for i in range(3))
-    return Suffixes(ids[k], sizes[k], first - starts[k] + offsets[k], m.astype(np.uint8), g.astype(np.uint8), mat)
+class Segment:
+    """Parts of texts looked at together: (id, text's length, part's offset, part)."""
+
+    def __init__(self, parts: list[tuple[int, int, int, bytes]]):
+        self.buf = b"".join(x[3] for x in parts)
+        size = np.array([len(x[3]) for x in parts], np.int64)
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        self.ids, self.sizes, self.offsets = (np.array([x[i] for x in parts], np.int64) for i in range(3))
+        self.q, self.at = anchors(self.buf, self.ends)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each anchor's gram, and its document's id."""
+        at = distinct(self.at)
+        return gram_hash(self.buf, at), self.ids[np.searchsorted(self.ends, at, side="right")]
+
+    def suffixes(self, shared: np.ndarray | None = None) -> Suffixes:
+        """The suffixes; ``shared`` tells of each anchor whether its gram occurs in two documents."""
+        q, at = self.q, self.at
+        if shared is not None:
+            ok = shared[np.cumsum(np.append(False, at[1:] != at[:-1]))] if len(at) else np.zeros(0, bool)
+            q, at = q[ok], at[ok]
+        new = np.flatnonzero(np.append(len(q) > 0, (at[1:] != at[:-1]) | (q[1:] != q[:-1] + 1)))
+        first, m, g = q[new], np.diff(np.append(new, len(q))), at[new] - q[new]
+        raw = np.zeros(len(self.buf) + ROW, np.uint8)
+        raw[:len(self.buf)] = np.frombuffer(self.buf, np.uint8)
+        mat = np.lib.stride_tricks.sliding_window_view(raw, ROW)[first]
+        mat[np.arange(ROW) >= (m + RUN - 1)[:, None]] = 0
+        k = np.searchsorted(self.ends, first, side="right")
+        return Suffixes(self.ids[k], self.sizes[k], first - self.starts[k] + self.offsets[k],
+                        m.astype(np.uint8), g.astype(np.uint8), mat)
 
 
 def segments_of(docs):
-    """Suffixes of whole documents, about SEGMENT bytes of text at a time; long
-    texts in parts that overlap by a string."""
+    """About SEGMENT bytes of text at a time; long texts in parts that overlap by a string."""
     some, held = [], 0
     for doc, text in docs:
-        for at in range(0, max(len(text) - RUN + 1, 0), SEGMENT):
+        for at in range(0, max(len(text) - RUN + 1, 0) if doc is not None else 0, SEGMENT):
             some.append((doc, len(text), at, text[at:at + SEGMENT + RUN - 1]))
             held += len(some[-1][3])
             if held >= SEGMENT:
-                yield _look(some), held
+                yield Segment(some)
                 some, held = [], 0
     if some:
-        yield _look(some), held
+        yield Segment(some)
 
 
 def suffixes_of(docs) -> Suffixes:
     """All suffixes of a few documents."""
-    out = [s for s, _ in segments_of(docs)]
+    out = [s.suffixes() for s in segments_of(docs)]
     return Suffixes.join(out) if out else Suffixes(
         *[np.zeros(0, t) for _, t in Suffixes.FIELDS], np.zeros((0, ROW), np.uint8))
 
@@ -371,41 +405,103 @@ def _blob_rows(rows) -> pa.RecordBatch:
          pa.array([r[2] for r in rows], pa.binary()), *[pa.nulls(n, pa.int64())] * 3], schema=_SCHEMA)
 
 
-def _packer(splitters: np.ndarray):
-    def run(batches):
-        import zstandard
+def _texts(table: pa.Table):
+    """(id, bytes) of a chunk's documents, in an order that their content fixes."""
+    ids, texts = table.column("_id"), table.column("_bytes")
+    rank = pc.sort_indices(pa.table({"i": ids, "n": pc.binary_length(texts), "t": texts}),
+                           sort_keys=[("i", "ascending"), ("n", "ascending"), ("t", "ascending")]).to_numpy()
+    for at in range(0, len(rank), 256):
+        some = pa.array(rank[at:at + 256])
+        yield from zip(ids.take(some).to_pylist(), texts.take(some).to_pylist())
 
-        zip_ = zstandard.ZstdCompressor(level=3)
 
-        def flush(held):
-            # Per bucket, so that only the slim form is held for all of them.
-            for key in sorted({k for _, _, cuts in held for k in cuts}):
-                parts = [s.part(*cuts[key], at) for s, at, cuts in held if key in cuts]
-                s, runs = fold(Suffixes.join(parts))
-                if len(runs[0]):
-                    yield _run_rows(runs)
-                yield _blob_rows([(key // 2, bool(key % 2), s.pack(zip_))])
+class Grams:
+    """The different grams of a chunk by place: sorted 32-bit values, and which
+    of them two of the chunk's own documents hold."""
 
-        def texts():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    yield from zip(*(c.slice(at, 256).to_pylist() for c in batch.columns))
+    def __init__(self, hashes: np.ndarray, docs: np.ndarray, places: int):
+        place = (hashes >> _U(32)) % _U(places)
+        key = (place << _U(32)) | (hashes & _U(0xFFFFFFFF))
+        order = np.argsort(key, kind="stable")
+        key, docs = key[order], docs[order]
+        first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1]))
+        self.key = key[first]
+        self.twice = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first) if len(first) else \
+            np.zeros(0, bool)
+        self.index = np.zeros(len(key), np.int64)
+        self.index[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        at = (self.key >> _U(32)).astype(np.int64)
+        cut = np.flatnonzero(np.append(len(at) > 0, at[1:] != at[:-1]))
+        self.runs = {int(at[a]): (int(a), int(b)) for a, b in zip(cut, [*cut[1:], len(at)])}
+
+
+def _chunk_grams(table: pa.Table, places: int) -> tuple[list[Segment], Grams]:
+    segments = list(segments_of(_texts(table)))
+    both = [s.grams() for s in segments]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    hashes, docs = (np.concatenate(x) for x in zip(*(both or [none])))
+    return segments, Grams(hashes, docs, places)
+
+
+def _asker(places: int):
+    """A chunk's grams, packed for each place."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grams = _chunk_grams(table, places)[1]
+        chunk = table.column("_chunk")[0].as_py()
+        rows = [(k, grams.key[a:b].astype("<u4").tobytes()) for k, (a, b) in grams.runs.items()]
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()),
+                         pa.array([r[1] for r in rows], pa.binary())], ["place", "_chunk", "values"])
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Of each chunk's grams at a place: a bit, whether another chunk has it too."""
+    lists = [np.frombuffer(x.as_py(), "<u4") for x in table.column("values")]
+    values = np.sort(np.concatenate(lists))
+    many = np.unique(values[1:][values[1:] == values[:-1]])
+    bits = []
+    for x in lists:
+        i = np.searchsorted(many, x)
+        bits.append(np.packbits((many[np.minimum(i, len(many) - 1)] == x) if len(many) else np.zeros(len(x), bool)).tobytes())
+    return pa.table([table.column("_chunk"), table.column("place"), pa.array(bits, pa.binary())], ["_chunk", "place", "bits"])
+
+
+def _packer(splitters: np.ndarray, places: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
 
-        held, size = [], 0
-        for s, seen in segments_of(texts()):
+        if not table.num_rows:
+            return _SCHEMA.empty_table()
+        zip_ = zstandard.ZstdCompressor(level=3)
+        segments, grams = _chunk_grams(table, places)
+        shared = grams.twice.copy()
+        for place, bits in zip(answers.column("place").to_pylist(), answers.column("bits").to_pylist()):
+            a, b = grams.runs[place]
+            shared[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        shared = shared[grams.index]
+        held, at = [], 0
+        for segment in segments:
+            n = len(distinct(segment.at))
+            s = segment.suffixes(shared[at:at + n])
+            at += n
             bucket, dealt = bucket_of(leading(s), splitters, s.doc)
             key = bucket * 2 + dealt
             by = np.argsort(key, kind="stable")
             key = key[by]
             s = s.take(by).slim()
-            at = np.append(0, np.cumsum(s.m.astype(np.int64) + RUN - 1))
+            where = np.append(0, np.cumsum(s.m.astype(np.int64) + RUN - 1))
             first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1])).tolist()
-            held.append((s, at, {int(key[a]): (a, b) for a, b in zip(first, [*first[1:], len(key)])}))
-            size += seen
-            if size >= FLUSH:
-                yield from flush(held)
-                held, size = [], 0
-        yield from flush(held)
+            held.append((s, where, {int(key[a]): (a, b) for a, b in zip(first, [*first[1:], len(key)])}))
+        del segments
+        # Per bucket, so that only the slim form is held for all of them.
+        out = []
+        for key in sorted({k for _, _, cuts in held for k in cuts}):
+            s, runs = fold(Suffixes.join([s.part(*cuts[key], w) for s, w, cuts in held if key in cuts]))
+            if len(runs[0]):
+                out.append(_run_rows(runs))
+            out.append(_blob_rows([(key // 2, bool(key % 2), s.pack(zip_))]))
+        return pa.Table.from_batches(out, schema=_SCHEMA)
     return run
 
 
@@ -438,16 +534,15 @@ def _sample_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["keys"])
 
 
-def choose_splitters(source: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> np.ndarray:
-    """Sorted grams that cut the suffixes into buckets of about ``bucket_bytes``
-    of text; a gram that fills several buckets appears that many times. From at
-    most KEYS_A_DOC grams of each of about 2000 or 4 * buckets documents."""
-    n, size = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = max(1, -(-size // bucket_bytes))
+def choose_splitters(source: DataFrame, n: int, buckets: int) -> np.ndarray:
+    """Sorted grams that cut the suffixes into ``buckets``; a gram that fills
+    several buckets appears that many times. From at most KEYS_A_DOC grams of
+    each of about 2000 or 4 * buckets documents."""
     rate = min(1.0, max(SAMPLE_DOCS, 4 * buckets) / max(n, 1))
     if buckets == 1:
         return np.zeros((0, 2), np.uint64)
-    rows = source.where(hash_share(F.col("doc_id"), "splitters") < rate).mapInArrow(_sample_keys, "keys binary").collect()
+    rows = source.where(hash_share(F.col("_id"), "splitters") < rate).select("_id", "_bytes") \
+        .mapInArrow(_sample_keys, "keys binary").collect()
     keys = sorted(r[0][i:i + GRAM] for r in rows for i in range(0, len(r[0]), GRAM))
     if not keys:
         return np.zeros((0, 2), np.uint64)
@@ -455,29 +550,40 @@ def choose_splitters(source: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> np.
     return np.frombuffer(b"".join(picked), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, size, spans): for documents with repeated strings, the removed
-    runs as numbers (first byte << 32 | byte after the last), not merged."""
-    prepare(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text")) \
-        .where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= RUN))
-    splitters = choose_splitters(source, bucket_bytes)
-    packed = source.mapInArrow(_packer(splitters), PACKED)
-    # Runs that a task has already settled travel as rows of their own group.
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int, int, int]:
+    """``docs`` with ``_id``, ``_bytes`` and ``_chunk``; number of rows; bytes of text; chunks."""
+    text = text_of(text_col).cast("binary")
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    chunks = max(1, -(-size // chunk_bytes), -(-n // ROWS_A_CHUNK))
+    base = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_bytes", text).drop(text_col)
+    return base.withColumn("_chunk", _chunk_of("_id", F.octet_length("_bytes"), chunks)), n, size, chunks
+
+
+def _chunk_of(id_col: str, size, chunks: int):
+    return F.pmod(F.xxhash64(F.col(id_col), size.cast("long")), F.lit(chunks)).cast("long")
+
+
+def repeated_runs(base: DataFrame, n: int, size: int, chunks: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(_chunk, doc_id, size, span): removed runs (first byte << 32 | byte after
+    the last) of ``chunked`` documents, not merged."""
+    prepare(base.sparkSession)
+    buckets = max(1, -(-size // bucket_bytes))
+    splitters = choose_splitters(base, n, buckets)
+    asked = base.groupBy("_chunk").applyInArrow(_asker(buckets), "place long, _chunk long, values binary")
+    answers = asked.groupBy("place").applyInArrow(_answer, "_chunk long, place long, bits binary")
+    packed = base.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_packer(splitters, buckets), PACKED)
+    # Runs that a chunk has already settled travel as rows of their own groups.
     key = F.when(F.col("bucket") >= 0, F.col("bucket") * 2 + F.col("dealt").cast("long")) \
-        .otherwise(-1 - F.pmod(F.col("doc_id"), F.lit(1009)))
+        .otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     found = packed.withColumn("key", key).groupBy("key").applyInArrow(_bucket_or_runs(False), PACKED)
-    repeats = len(splitters) > 1 and bool((splitters[1:] == splitters[:-1]).all(axis=1).any())
-    if repeats:
+    if len(splitters) > 1 and bool((splitters[1:] == splitters[:-1]).all(axis=1).any()):
         found = stored(found)
-        first = _first_slot(splitters)
-        again = found.where(F.col("bucket") >= 0).join(
-            F.broadcast(docs.sparkSession.createDataFrame(first, "slot long, home long")),
-            F.col("bucket") == F.col("slot")).withColumn("key", F.col("home")).drop("slot", "home")
-        again = again.groupBy("key").applyInArrow(_bucket_or_runs(True), PACKED)
-        found = found.where(F.col("bucket") < 0).unionByName(again)
-    return found.where(F.col("bucket") < 0).groupBy("doc_id", "size").agg(F.collect_list("span").alias("spans"))
+        first = base.sparkSession.createDataFrame(_first_slot(splitters), "slot long, home long")
+        again = found.where(F.col("bucket") >= 0).join(F.broadcast(first), F.col("bucket") == F.col("slot"))
+        again = again.withColumn("key", F.col("home")).drop("slot", "home")
+        found = found.unionByName(again.groupBy("key").applyInArrow(_bucket_or_runs(True), PACKED))
+    return found.where(F.col("bucket") < 0).select(
+        _chunk_of("doc_id", F.col("size"), chunks).alias("_chunk"), "doc_id", "size", "span")
 
 
 def _bucket_or_runs(last: bool):
@@ -537,55 +643,69 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def with_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``_spans`` (null: nothing repeated)."""
-    runs = repeated_runs(docs, id_col, text_col).select(
-        F.col("doc_id").alias("_run_id"), F.col("size").alias("_run_size"), F.col("spans").alias("_spans"))
-    return docs.join(runs, (F.col(id_col).cast("long") == F.col("_run_id"))
-                     & (F.octet_length(text_of(text_col)).cast("long") == F.col("_run_size")), "left") \
-        .drop("_run_id", "_run_size")
+def _finisher(write):
+    """Cogroups a chunk's documents with their runs; ``write(table, texts, runs)``
+    makes the result."""
 
+    def run(table: pa.Table, runs: pa.Table) -> pa.Table:
+        doc, size, span = (runs.column(c).to_numpy() for c in ("doc_id", "size", "span"))
+        by = np.lexsort((span, size, doc))
+        doc, size, span = doc[by], size[by], span[by]
+        cut = np.flatnonzero(np.append(len(doc) > 0, (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])))
+        own = {(int(doc[a]), int(size[a])): (a, b) for a, b in zip(cut, [*cut[1:], len(doc)])}
 
-def _digest_batches(batches):
-    for b in batches:
-        cols = [[], [], [], []]
-        for at in range(0, b.num_rows, 256):
-            for text, spans in zip(b.column(1).slice(at, 256).to_pylist(), b.column(2).slice(at, 256).to_pylist()):
-                runs = merge(spans or ())
-                for c, v in zip(cols, (len(text), sum(y - x for x, y in runs), len(runs),
-                                       hashlib.sha256(kept_pieces(text, runs)).hexdigest())):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())],
-                                         ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _cut_batches(batches):
-    for b in batches:
-        texts, removed = [], []
-        for at in range(0, b.num_rows, 256):
-            for text, spans in zip(b.column("_bytes").slice(at, 256).to_pylist(), b.column("_spans").slice(at, 256).to_pylist()):
-                runs = whole_characters(text, merge(spans or ()))
-                texts.append(kept_pieces(text, runs).decode("utf-8", "replace"))
-                removed.append(sum(y - x for x, y in runs))
-        rest = b.drop_columns(["_bytes", "_spans"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(texts, pa.string()), pa.array(removed, pa.int64())],
-                                         [*rest.schema.names, "_kept", "_removed"])
+        def texts():
+            for at in range(0, table.num_rows, 256):
+                some = table.slice(at, 256)
+                for i, t in zip(some.column("_id").to_pylist(), some.column("_bytes").to_pylist()):
+                    a, b = own.get((i, len(t)), (0, 0))
+                    yield t, merge(span[a:b].tolist())
+        return write(table, texts())
+    return run
+
+
+def _digests(table: pa.Table, texts) -> pa.Table:
+    rows = [(len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_pieces(t, runs)).hexdigest())
+            for t, runs in texts]
+    cols = list(zip(*rows)) or [(), (), (), ()]
+    return pa.table([table.column("_id").cast(pa.int64()), *[pa.array(c, pa.int64()) for c in cols[:3]],
+                     pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _remover(names: list[str], text_col: str):
+    def write(table: pa.Table, texts) -> pa.Table:
+        kept, removed = [], []
+        for t, runs in texts:
+            runs = whole_characters(t, runs)
+            kept.append(kept_pieces(t, runs).decode("utf-8", "replace"))
+            removed.append(sum(b - a for a, b in runs))
+        cols = [pa.array(kept, pa.string()) if c == text_col else table.column(c) for c in names]
+        return pa.table([*cols, pa.array(removed, pa.int64())], [*names, "removed_bytes"])
+    return write
+
+
+def _finish(docs: DataFrame, id_col: str, text_col: str, write, schema, chunk_bytes=None, bucket_bytes=None) -> DataFrame:
+    base, n, size, chunks = chunked(docs, id_col, text_col, chunk_bytes or CHUNK_BYTES)
+    runs = repeated_runs(base, n, size, chunks, bucket_bytes or BUCKET_BYTES)
+    return base.groupBy("_chunk").cogroup(runs.groupBy("_chunk")).applyInArrow(_finisher(write), schema)
+
+
+def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None,
+                   bucket_bytes: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
+    return _finish(docs.select(id_col, text_col), id_col, text_col, _digests,
+                   "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", chunk_bytes, bucket_bytes)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text that is left and, beside the other columns,
-    ``removed_bytes``. Runs are cut to whole characters."""
-    schema = docs.schema
-    df = with_runs(docs, id_col, text_col).withColumn("_bytes", text_of(text_col).cast("binary")).drop(text_col)
-    others = [f for f in schema.fields if f.name != text_col]
-    out_schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "_kept string", "_removed long"])
-    done = df.select(*[f"`{f.name}`" for f in others], "_bytes", "_spans").mapInArrow(_cut_batches, out_schema)
-    return done.select(*[F.col("_kept").alias(f.name) if f.name == text_col else F.col(f"`{f.name}`") for f in schema.fields],
-                       F.col("_removed").alias("removed_bytes"))
+    """``docs`` with the text that is left and a column ``removed_bytes``
+    (which a column of that name gives way to). Runs are cut to whole characters."""
+    docs = docs.drop("removed_bytes")
+    schema = ", ".join([f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}"
+                        for f in docs.schema.fields] + ["removed_bytes long"])
+    return _finish(docs, id_col, text_col, _remover(docs.columns, text_col), schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Bytes of every document covered by 50-byte strings of smaller ids."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_runs(docs).select("doc_id", text_of().cast("binary").alias("text"), "_spans").mapInArrow(
-        _digest_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeat_digests(read(spark, sf_dir, "documents"))
