@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from wastelens.llm.decontaminate import op7_decontaminate
 from wastelens.llm.packing import op6_packing
+from wastelens.llm.quality_rules import op8_quality_rules
 from wastelens.llm.sharding import op5_sharding
 from wastelens.llm.simhash import op4_simhash
 from wastelens.llm.suffixes import op9_suffix_dedup
@@ -13,6 +15,8 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 
