@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wastelens.llm.decontaminate import op7_decontaminate
 from wastelens.llm.packing import op6_packing
+from wastelens.llm.quality_model import op2_quality
 from wastelens.llm.quality_rules import op8_quality_rules
 from wastelens.llm.sharding import op5_sharding
 from wastelens.llm.simhash import op4_simhash
@@ -12,6 +13,7 @@ from wastelens.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
