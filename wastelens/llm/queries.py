@@ -9,17 +9,21 @@ from wastelens.llm.quality_rules import op8_quality_rules
 from wastelens.llm.sharding import op5_sharding
 from wastelens.llm.simhash import op4_simhash
 from wastelens.llm.suffixes import op9_suffix_dedup
+from wastelens.llm.tool_calls import OP10_SQL, op10_tool_calls
 from wastelens.llm.toxicity import op1_toxicity
+from wastelens.llm.url_templates import op3_url_templates
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_url_templates": op3_url_templates,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_tool_calls": op10_tool_calls,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op10_tool_calls": OP10_SQL}
