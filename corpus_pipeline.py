@@ -13,8 +13,8 @@ again as the next stage's ``docs``. All but the last return the columns of docum
 4. decontamination: documents that hold a benchmark item go.
 5. packing: the rest as pieces in sequences of at most 2048 tokens.
 
-Nulls in any column are kept as they are (a null text counts as empty); extra
-columns pass through all stages but the last.
+Nulls in any column are kept as they are (a null text counts as empty and is
+empty after stage 3); extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from wastelens.session import ensure_checkpoint_dir
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classifier = toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, classifier, docs.columns).where(~F.col("_toxic")).select(*_columns(docs))
+    scored = toxicity.score(docs.select(_row(docs), "text", "lang"), classifier, ["row"])
+    return scored.where(~F.col("_toxic")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,38 +40,45 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # The first of each component by (id, hash of the text); rows without an id come last.
     first = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("lone")) \
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"),
-             F.count(F.lit(1)).alias("n")).select("first.doc_id", "first.text_key", "n")
-    keep = first.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n") > 1).alias("_many"))
-    kept = docs.withColumn("_text_key", F.xxhash64(text_of())).join(
-        keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+             F.count(F.lit(1)).alias("n"))
+    keep = first.select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"),
+                        (F.col("n") > 1).alias("many"))
+    kept = _keyed(docs).join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")))
     # Only a component of several rows can hold a row twice.
-    once = kept.where("_many").dropDuplicates(["doc_id", "_text_key"])
-    return kept.where("not _many").unionByName(once).select(*_columns(docs))
+    once = kept.where("many").dropDuplicates(["id", "key"])
+    return kept.where("not many").unionByName(once).select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.remove_repeats(docs)
-    changed = F.col("removed_bytes") > 0
-    out = cut.where(~changed | (F.col("text") != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(
-            docs.schema["n_chars"].dataType))
-    return out.select(*_columns(docs))
+    cut = suffixes.remove_repeats(docs).where((F.col("removed") == 0) | (F.col("kept") != ""))
+    length = F.when(F.col("removed") > 0, F.char_length("kept"))
+
+    def value(name: str):
+        if name == "text":
+            return F.col("kept")
+        old = F.col("row")[name]
+        return F.coalesce(length, old).cast(docs.schema[name].dataType) if name == "n_chars" else old
+    return cut.select(*[value(c).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64(text_of()) == F.col("_key")), "left_anti").select(*_columns(docs))
+        F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct()
+    return _keyed(docs).join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")),
+                             "left_anti").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _row(docs: DataFrame):
+    """All columns as one struct, so that no name of theirs can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("key"))
 
 
 STAGES = [

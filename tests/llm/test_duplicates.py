@@ -179,7 +179,8 @@ def test_long_texts_in_segments(monkeypatch):
 def test_removal_keeps_whole_characters_and_columns(spark, make_docs):
     text = "é" * 25 + "ü" * 40
     df = make_docs([(1, text), (2, "x" + text), (3, None), (4, "plain")], extra=7)
-    got = {r.doc_id: r for r in X.remove_repeats(df).collect()}
-    assert got[1].text == text and got[2].text == "x" and got[2].removed_bytes == len(text.encode())
-    assert got[3].text == "" and got[4].text == "plain" and got[4].extra == 7
+    got = {r.row.doc_id: r for r in X.remove_repeats(df).collect()}
+    assert got[1].kept == text and got[2].kept == "x" and got[2].removed == len(text.encode())
+    assert got[3].kept == "" and got[4].kept == "plain" and got[4].row.extra == 7
     assert X.remove_repeats(make_docs([])).count() == 0
+    assert X.remove_repeats(df.select("doc_id", "text")).count() == 4

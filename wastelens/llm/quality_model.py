@@ -202,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(learn)
     n = known.agg(F.count("_y").alias("n"), F.sum("_y").alias("ones")).first()
     share = min(max((n["ones"] or 0) / n["n"], 1e-4), 1 - 1e-4) if n["n"] else 0.5
-    rows = labelled_sample(docs, labels, label, learn, per_class, "quality", id_col).select(
-        F.col(id_col).alias("_id"), text_of(text_col).alias("text"), "_y").toArrow().sort_by("_id")
+    plain = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = labelled_sample(plain, labels.select(F.col(id_col).alias("id"), label), label, learn, per_class, "quality", "id").select(
+        F.col("id").alias("_id"), "text", "_y").toArrow().sort_by("_id")
     texts = rows.column("text").combine_chunks()
     y = rows.column("_y").to_numpy().astype(np.int64)
     held = np.arange(len(y)) % 5 == 0

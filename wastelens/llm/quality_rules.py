@@ -132,6 +132,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_
     """The base statistics, ``base_failed``, ``score`` and ``kept`` of each document."""
     trust = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(
         F.col(id_col).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_y"))
+    docs = docs.select(*dict.fromkeys([*(keep or [id_col]), id_col, text_col]))
     table = stored(scored(docs, weights(docs, trust, id_col, text_col), keep or [id_col], text_col))
     place = F.coalesce(F.floor(F.col("total") * GRID / (F.col("n_grams") * MICRO)), F.lit(0))
     place = F.when(F.col("n_grams") > 0, place).otherwise(F.lit(0)).cast("long")

@@ -551,11 +551,13 @@ def choose_splitters(source: DataFrame, n: int, buckets: int) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """``docs`` with ``_id``, ``_bytes`` and ``_chunk``; number of rows; bytes of text; chunks."""
+    """(_id, _bytes, _chunk, and the other columns as _row) of ``docs``; number of rows; bytes of text; chunks."""
     text = text_of(text_col).cast("binary")
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     chunks = max(1, -(-size // chunk_bytes), -(-n // ROWS_A_CHUNK))
-    base = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_bytes", text).drop(text_col)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    base = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_bytes"), *(
+        [F.struct(F.col(id_col), *others).alias("_row")] if others else []))
     return base.withColumn("_chunk", _chunk_of("_id", F.octet_length("_bytes"), chunks)), n, size, chunks
 
 
@@ -672,16 +674,13 @@ def _digests(table: pa.Table, texts) -> pa.Table:
                      pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _remover(names: list[str], text_col: str):
-    def write(table: pa.Table, texts) -> pa.Table:
-        kept, removed = [], []
-        for t, runs in texts:
-            runs = whole_characters(t, runs)
-            kept.append(kept_pieces(t, runs).decode("utf-8", "replace"))
-            removed.append(sum(b - a for a, b in runs))
-        cols = [pa.array(kept, pa.string()) if c == text_col else table.column(c) for c in names]
-        return pa.table([*cols, pa.array(removed, pa.int64())], [*names, "removed_bytes"])
-    return write
+def _removed(table: pa.Table, texts) -> pa.Table:
+    kept, removed = [], []
+    for t, runs in texts:
+        runs = whole_characters(t, runs)
+        kept.append(kept_pieces(t, runs).decode("utf-8", "replace"))
+        removed.append(sum(b - a for a, b in runs))
+    return pa.table([table.column("_row"), pa.array(kept, pa.string()), pa.array(removed, pa.int64())], ["row", "kept", "removed"])
 
 
 def _finish(docs: DataFrame, id_col: str, text_col: str, write, schema, chunk_bytes=None, bucket_bytes=None) -> DataFrame:
@@ -698,12 +697,13 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text that is left and a column ``removed_bytes``
-    (which a column of that name gives way to). Runs are cut to whole characters."""
-    docs = docs.drop("removed_bytes")
-    schema = ", ".join([f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}"
-                        for f in docs.schema.fields] + ["removed_bytes long"])
-    return _finish(docs, id_col, text_col, _remover(docs.columns, text_col), schema)
+    """(row, kept, removed): all columns of ``docs`` but the text as a struct, the text
+    that is left, and the number of bytes that went. Runs are cut to whole characters."""
+    if set(docs.columns) == {id_col, text_col}:
+        docs = docs.withColumn("_none", F.lit(None).cast("int"))
+    fields = [docs.schema[id_col], *[f for f in docs.schema.fields if f.name not in (id_col, text_col)]]
+    row = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields)
+    return _finish(docs, id_col, text_col, _removed, f"row struct<{row}>, kept string, removed long")
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
