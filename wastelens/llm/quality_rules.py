@@ -86,7 +86,8 @@ def base_columns(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
 def weights(docs: DataFrame, trust: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, weight): log(target / raw) in millionths, counted over all documents.
     ``trust``: (_id, _y), y 1 for trusted ids."""
-    target = trust.where("_y = 1")
+    # The trusted ids grow with the input: the same join by shuffle at every size.
+    target = trust.where("_y = 1").hint("merge")
     text = text_of(text_col)
     df = docs.join(target, F.col(id_col) == F.col("_id"), "left").select(
         F.transform(words_of(text), lambda w: F.xxhash64(w)).alias("_codes"), F.coalesce("_y", F.lit(0)).alias("_y"))
