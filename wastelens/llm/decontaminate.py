@@ -67,7 +67,8 @@ def _shingle_batches(shared):
                 h, text = h[known], text[known]
             order = np.lexsort((h, text))
             h, text = h[order], text[order]
-            new = np.append(len(h) > 0, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
             h, text = h[new], pa.array(text[new])
             yield pa.RecordBatch.from_arrays([*[c.take(text) for c in b.columns[:-1]], pa.array(h)],
                                              [*b.schema.names[:-1], "h"])

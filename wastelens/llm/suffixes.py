@@ -111,7 +111,9 @@ def anchors(buf: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct(at: np.ndarray) -> np.ndarray:
     """Anchors in the order of the text, each once (``at`` never falls)."""
-    return at[np.append(len(at) > 0, at[1:] != at[:-1])]
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    return at[new]
 
 
 def gram_hash(buf: bytes, at: np.ndarray) -> np.ndarray:
