@@ -6,6 +6,7 @@ counts as an empty one everywhere.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +78,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
              .withColumn("_y", F.lit(y)) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).groupBy("_id").agg(F.max("_y").alias("_y"))
     return docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "inner").drop("_id")
+
+
+def every_fifth(y: np.ndarray) -> np.ndarray:
+    """Every fifth case of each class: what calibration keeps out of training."""
+    held = np.zeros(len(y), bool)
+    for label in np.unique(y):
+        held[np.flatnonzero(y == label)[::5]] = True
+    return held

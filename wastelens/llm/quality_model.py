@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wastelens.llm.common import labelled_sample, prepare, read, text_of
+from wastelens.llm.common import every_fifth, labelled_sample, prepare, read, text_of
 
 BUCKETS = 1 << 18
 AGAIN = BUCKETS  # the vector of a repeated word
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
         F.col("id").alias("_id"), "text", "_y").toArrow().sort_by("_id")
     texts = rows.column("text").combine_chunks()
     y = rows.column("_y").to_numpy().astype(np.int64)
-    held = np.arange(len(y)) % 5 == 0
+    held = every_fifth(y)
     if not len(y) or len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return Model(np.zeros((BUCKETS + 1, 2), np.float32), np.zeros(2), 0.0, float(np.log(share / (1 - share))))
     model = Model(*train(texts.filter(pa.array(~held)), y[~held]))
