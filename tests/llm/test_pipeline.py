@@ -24,7 +24,7 @@ def corpus(spark, make_docs, tmp_path_factory):
         labels.append((i, 1, int(i % 5 == 0)))
         rows.append((i, text))
     clean = [i for i in range(200) if i % 5]
-    rows += [(300, rows[clean[0]][1]), (301, rows[clean[1]][1] + " tail"), (302, prose(50) + " " + passage), (303, prose(50) + " " + passage),
+    rows += [(300, rows[clean[0]][1]), (301, rows[clean[1]][1].replace(" ", "\n").upper()), (302, prose(50) + " " + passage), (303, prose(50) + " " + passage),
              (304, prose(40) + " " + item + " " + prose(40)), (305, None), (306, ""), (307, rows[clean[2]][1]), (307, rows[clean[2]][1])]
     folder = tmp_path_factory.mktemp("corpus")
     docs = make_docs(rows, id=1, key="k", row=2, kept="x", _score=3).withColumn("lang", F.when(F.col("doc_id") != 7, F.col("lang")))
