@@ -6,12 +6,16 @@ counts as an empty one everywhere.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wastelens.session import cut_lineage, ship_package
 
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000,
+           "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -40,8 +44,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable in the Python workers."""
+    """Make the package importable in the Python workers, and bound the Arrow batches
+    they get: whole texts make long rows, so fewer of them go into one batch than by
+    default (settings of fewer rows or bytes stay)."""
     ship_package(spark)
+    for key, most in BATCHES.items():
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def hash_share(key: Column, salt: str) -> Column:

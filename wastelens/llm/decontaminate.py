@@ -32,6 +32,7 @@ from wastelens.llm.common import prepare, read, stored, text_of, word_codes
 WIDTH = 5
 THRESHOLD = 0.8
 SPLIT = r"[^\p{L}\p{N}]+"
+DOCS_AT_ONCE = 200
 BITS = 22  # the bit table has 2 ** BITS entries
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                  0x85EBCA77C2B2AE63], np.uint64)
@@ -61,10 +62,14 @@ def _shingle_batches(shared):
         for b in batches:
             codes = b.column(b.num_columns - 1)
             off = codes.offsets.to_numpy().astype(np.int64)
-            h, text = shingles(codes.values.to_numpy(), off)
-            if table is not None:
-                known = table[h & ((1 << BITS) - 1)]
-                h, text = h[known], text[known]
+            values, found = codes.values.to_numpy(), []
+            for at in range(0, b.num_rows, DOCS_AT_ONCE):
+                h, text = shingles(values, off[at:at + DOCS_AT_ONCE + 1])
+                if table is not None:
+                    known = table[h & ((1 << BITS) - 1)]
+                    h, text = h[known], text[known]
+                found.append((h, text + at))
+            h, text = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
             order = np.lexsort((h, text))
             h, text = h[order], text[order]
             new = np.ones(len(h), bool)

@@ -52,8 +52,8 @@ GRAM = 16
 SPREAD = RUN - GRAM  # an anchor lies 0..SPREAD bytes into its string
 WIDTH = RUN + SPREAD  # bytes that an anchor's strings can reach over
 ROW = WIDTH + 8 - WIDTH % 8
-BUCKET_BYTES = 16 << 20
-CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SEGMENT = 1 << 20  # bytes of text looked at together
 WINDOWS = 1 << 18  # strings compared together
 SAMPLE_DOCS = 2000
@@ -84,7 +84,7 @@ def anchors(buf: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the texts that end at ``ends`` in ``buf``: where each string starts, and its anchor."""
     n = len(buf) - RUN + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     w = _words(buf)
     grams = n + SPREAD
     h = w[:grams] * _C[0]
@@ -100,9 +100,9 @@ def anchors(buf: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size *= 2
     rest = SPREAD + 1 - size
     least = np.minimum(h[:n], h[rest:rest + n]) if rest else h[:n]
-    at = (least & low).astype(np.int64)
+    at = (least & low).astype(np.int32)
     # Strings that cross a text's end are none.
-    q = np.arange(n)
+    q = np.arange(n, dtype=np.int32)
     which = np.searchsorted(ends, q, side="right")
     ok = q + RUN <= ends[np.minimum(which, len(ends) - 1)]
     ok &= which < len(ends)
