@@ -44,6 +44,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wastelens.llm.common import hash_share, prepare, read, stored, text_of
 
@@ -552,14 +553,18 @@ def choose_splitters(source: DataFrame, n: int, buckets: int) -> np.ndarray:
     return np.frombuffer(b"".join(picked), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """(_id, _bytes, _chunk, and the other columns as _row) of ``docs``; number of rows; bytes of text; chunks."""
-    text = text_of(text_col).cast("binary")
-    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    chunks = max(1, -(-size // chunk_bytes), -(-n // ROWS_A_CHUNK))
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _bytes, and the id with the other columns as _row if there are others) of ``docs``."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_bytes"), *(
+    return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).cast("binary").alias("_bytes"), *(
         [F.struct(F.col(id_col), *others).alias("_row")] if others else []))
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int, int, int]:
+    """``_plain`` rows with ``_chunk``; number of rows; bytes of text; number of chunks."""
+    base = _plain(docs, id_col, text_col)
+    n, size = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_bytes")), F.lit(0))).first()
+    chunks = max(1, -(-size // chunk_bytes), -(-n // ROWS_A_CHUNK))
     return base.withColumn("_chunk", _chunk_of("_id", F.octet_length("_bytes"), chunks)), n, size, chunks
 
 
@@ -703,9 +708,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that is left, and the number of bytes that went. Runs are cut to whole characters."""
     if set(docs.columns) == {id_col, text_col}:
         docs = docs.withColumn("_none", F.lit(None).cast("int"))
-    fields = [docs.schema[id_col], *[f for f in docs.schema.fields if f.name not in (id_col, text_col)]]
-    row = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields)
-    return _finish(docs, id_col, text_col, _removed, f"row struct<{row}>, kept string, removed long")
+    row = _plain(docs, id_col, text_col).schema["_row"]
+    schema = T.StructType([T.StructField("row", row.dataType, row.nullable), T.StructField("kept", T.StringType()),
+                           T.StructField("removed", T.LongType())])
+    return _finish(docs, id_col, text_col, _removed, schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
