@@ -45,5 +45,5 @@ def test_isolation_forest(spark):
     out2, _ = OU.flag_anomalies(d, ["k"])
     a = {r.k: r.ai_score for r in got}
     assert all(abs(a[r.k] - r.ai_score) < 1e-12 for r in out2.collect())
-    assert OU.flag_anomalies(d.drop("qty", "cost"), ["k"])[1]["message"] == "No numeric columns found"
+    assert OU.flag_anomalies(d.drop("qty", "cost"), ["k"])[1]["message"] == "neither qty nor cost is a column"
     assert OU.anomaly_metadata(out).first().n_records == 2005

@@ -60,3 +60,25 @@ def test_canonicalize_f13(spark):
     assert r.suite is None and r.category is None and r.lot is None
     d2 = spark.createDataFrame([("2024-01-02", "abc")], "date string, qty string")
     assert RD.canonicalize(d2).first().qty is None
+
+
+def test_no_amount_is_shown_to_operators(spark):
+    from wastelens.operators import dashboards as D
+    from wastelens.operators import filters as FL
+
+    df = spark.createDataFrame([("A", 2, 10.0), ("B", 1, 99.0)], "material string, quantity long, total_cost double")
+    shown = D.overall_material(df, "total_cost", role="Operator")
+    assert {r.material: r.value for r in shown.collect()} == {"A": 2, "B": 1}
+    assert "value" not in FL.cost_view(D.overall_material(df, "total_cost"), "Operator").columns
+    assert "value" in FL.cost_view(shown, "Operator", metric="quantity").columns
+    wide = df.selectExpr("material", *[f"total_cost AS {c}" for c in FL.COST_COLUMNS])
+    assert FL.cost_view(wide, "Operator").columns == ["material"] and FL.cost_view(wide, "Manager").columns == wide.columns
+
+
+def test_enrichment_strips_all_white_space(spark):
+    e = spark.sql("""select 'x' id, date'2024-01-01' log_date, '10:00:00' log_time, '\tQC\n' suite, 's' shift, ' e\n' employee_id,
+                     'A' material, 2L quantity, 'r' reason, '\u00a0L ' batch_lot, 'n\n' notes""")
+    m = spark.createDataFrame([("A", "ea", 1.5)], "name string, unit string, cost_per_unit double")
+    sop = spark.createDataFrame([("r", "u")], "reason string, sop_url string")
+    r = EN.enrich_entries(e, m, None, sop, use_mock=False).first()
+    assert (r.suite, r.employee_id, r.batch_lot, r.notes, r.total_cost) == ("QC", "e", "L", "n", 3.0)

@@ -2,6 +2,8 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -57,17 +59,71 @@ def test_stream_equals_batch_on_closed_days(spark):
     assert got == exp and len(got) > 0
 
 
+def _days(spark, path, rows):
+    spark.createDataFrame([(dt.datetime(2024, 1, d, 12), c) for d, c in rows], "ts timestamp, total_cost double") \
+        .coalesce(1).write.mode("append").parquet(path)
+
+
 def test_late_rows_dropped(spark):
     root = tempfile.mkdtemp(prefix="wl-late-")
-    src = root + "/in"
-    schema = "ts timestamp, total_cost double"
-    spark.createDataFrame([(dt.datetime(2024, 1, d, 12), 10.0) for d in range(1, 6)], schema) \
-        .write.parquet(src + "/a")
-    s = J.file_stream(spark, src + "/a")
-    first = J.run_available_now(J.day_totals(s), root=root + "/q")
-    assert first.count() == 3  # days 1..3 closed by the 1-day watermark at Jan 5 12:00
-    totals = {r.day.day: r.day_cost for r in first.collect()}
-    assert totals == {1: 10.0, 2: 10.0, 3: 10.0}
+    _days(spark, root + "/in", [(d, 10.0) for d in range(1, 6)])
+    first = J.run_available_now(J.day_totals(J.file_stream(spark, root + "/in")), root=root + "/q")
+    assert {r.day.day: r.day_cost for r in first.collect()} == {1: 10.0, 2: 10.0, 3: 10.0}  # closed at Jan 5 less a day
+    # A row of a closed day comes after the watermark and counts no more; one of an open day does.
+    _days(spark, root + "/in", [(2, 99.0), (4, 5.0), (9, 1.0)])
+    again = J.run_available_now(J.day_totals(J.file_stream(spark, root + "/in")), root=root + "/q")
+    assert {r.day.day: r.day_cost for r in again.collect()} == {1: 10.0, 2: 10.0, 3: 10.0, 4: 15.0, 5: 10.0}
+
+
+def test_update_mode_keeps_days_of_earlier_batches(spark):
+    root = tempfile.mkdtemp(prefix="wl-update-")
+    _days(spark, root + "/in", [(1, 10.0)])
+    _days(spark, root + "/in", [(2, 7.0), (2, 1.0)])
+
+    def run():
+        s = J.file_stream(spark, root + "/in", max_files_per_trigger=1)
+        out = J.run_available_now(J.day_totals(s), mode="update", root=root + "/q", keys=["day"])
+        return {r.day.day: r.day_cost for r in out.collect()}
+    assert run() == {1: 10.0, 2: 8.0}
+    _days(spark, root + "/in", [(2, 2.0)])
+    assert run() == {1: 10.0, 2: 10.0}
+    with pytest.raises(ValueError):
+        J.run_available_now(J.day_totals(J.file_stream(spark, root + "/in")), mode="update")
+
+
+def test_csv_log_round_trips_odd_text(spark):
+    root = tempfile.mkdtemp(prefix="wl-log-")
+    notes = ['said "ok", then left', " leads", "ends ", "a\\b", "line\nbreak\r\n", "\\n", "", '"', "é,\t"]
+    rows = [(f"{i:08d}", dt.datetime(2024, 1, 1 + i % 2), n) for i, n in enumerate(notes)]
+    df = spark.createDataFrame(rows, "id string, timestamp_local timestamp, notes string").withColumn("material", F.lit(" Lovo Kit"))
+    SK.append_log(df, root + "/log", fmt="csv")
+    back = RD.load_master(spark, root + "/log", typed=False).collect()
+    assert {r.id: r.notes or "" for r in back} == {r[0]: r[2] for r in rows}
+    assert {r.material for r in back} == {" Lovo Kit"}
+
+
+def test_dimensions_keep_one_row_a_name(spark):
+    root = tempfile.mkdtemp(prefix="wl-dims-")
+    for name, text in (("m", "name,unit,cost_per_unit\nA,ea,1\nA,box,2\nB,ea,bad\n"), ("p", "name,mock_price\nA,5\nA,6\n"),
+                       ("s", "reason\nr\nr\n")):
+        with open(f"{root}/{name}.csv", "w") as f:
+            f.write(text)
+    m = RD.load_materials(spark, root + "/m.csv")
+    assert {tuple(r) for r in m.select("name", "unit", "cost_per_unit").collect()} == {("A", "ea", 1.0), ("B", "ea", 0.0)}
+    p = RD.load_mock_prices(spark, root + "/p.csv", m)
+    assert [tuple(r) for r in p.select("name", "mock_price").collect()] == [("A", 6.0)]
+    assert RD.load_sop(spark, root + "/s.csv").count() == 1
+    seeded = RD.load_mock_prices(spark, root + "/new", m)
+    assert seeded.count() == 2 and RD.read_text_csv(spark, root + "/new").count() == 2
+
+
+def test_parquet_errors_are_not_an_empty_log(spark):
+    root = tempfile.mkdtemp(prefix="wl-bad-")
+    with open(root + "/x.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        RD.load_master(spark, root, fmt="parquet").count()
+    assert RD.load_master(spark, root + "/none", fmt="parquet").count() == 0
 
 
 def test_stream_chain_links_per_key(spark):

@@ -23,11 +23,14 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Without white space at either end: all of Unicode's, and U+001C..U+001F."""
+    return F.regexp_replace(col_of(c), r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
+
+
 def slug(c) -> Column:
     """File-safe name: strip, lower, space to ``_``, keep ``[a-z0-9_.-]``."""
-    # Unicode white space (as str.strip), incl. the separators U+001C..U+001F.
-    s = F.regexp_replace(col_of(c), r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
-    s = F.replace(F.lower(s), F.lit(" "), F.lit("_"))
+    s = F.replace(F.lower(strip(c)), F.lit(" "), F.lit("_"))
     return F.regexp_replace(s, r"[^a-z0-9_\-\.]", "")
 
 
@@ -80,24 +83,38 @@ def parse_number(c) -> Column:
     return F.when(~F.isnan(v) & ~overflow, v)
 
 
+def number_of(df, name: str) -> Column:
+    """``df``'s column as double, NaN and bad values as null: a cast for
+    numeric columns, :func:`parse_number` for text."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        v = F.col(name).cast("double")
+        return F.when(~F.isnan(v), v)
+    return parse_number(name)
+
+
+#: Forms of dates besides ISO, month before day where both could be meant.
+DATE_FORMS = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yyyy/M/d H:mm",
+              "yyyy/M/d H:mm:ss", "M-d-yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd"]
+
+
 def parse_timestamp(c) -> Column:
-    """Per-value timestamp parse; bad text becomes null."""
-    c = col_of(c)
-    return F.coalesce(F.try_to_timestamp(c.cast("string")),
-                      F.try_to_timestamp(c.cast("string"), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
+    """Per-value timestamp parse of ISO text and of ``DATE_FORMS``; bad text becomes null."""
+    t = F.trim(col_of(c).cast("string"))
+    iso = F.when(~t.rlike("^[0-9]{5,}$"), F.try_to_timestamp(t))  # bare digits are yyyyMMdd, not a year
+    return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMS])
 
 
 def floor_days(later, earlier) -> Column:
     """Whole days of elapsed time, floored (N13); null if either side is null.
 
-    Calendar days between the dates, less one when the later stamp's time of
-    day is earlier; exact to the microsecond and independent of the session
-    time zone for TIMESTAMP_NTZ values.
+    The stamps' difference in microseconds over a day's, independent of the
+    session time zone for TIMESTAMP_NTZ values.
     """
-    a, b = col_of(later), col_of(earlier)
-    tod = "HH:mm:ss.SSSSSS"
-    days = F.datediff(F.to_date(a), F.to_date(b)).cast("bigint")
-    return days - F.when(F.date_format(a, tod) < F.date_format(b, tod), 1).otherwise(0)
+    day = F.expr("INTERVAL '1' DAY")
+    gap = col_of(later) - col_of(earlier)
+    days = F.call_function("div", gap, day)
+    return days - F.when(gap < day * days, 1).otherwise(0)
 
 
 def week_key(c) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wastelens.functions.scalars import sum0
-from wastelens.operators.joins import join_small
 
 
 def _grouped(df: DataFrame, keys, sums: dict, order_by: str) -> DataFrame:
@@ -81,13 +80,6 @@ def suite_material_topn(df: DataFrame, top_n: int = 8) -> DataFrame:
             .where(F.col("rank") <= top_n))
 
 
-def top_materials(df: DataFrame, top_n: int = 8, metric: str = "quantity") -> DataFrame:
-    """Overall top ``top_n`` materials by summed metric (TakeOrdered)."""
-    agg = (df.where(F.col("material").isNotNull()).groupBy("material")
-           .agg(F.sum(F.coalesce(F.col(metric).cast("double"), F.lit(0.0))).alias("value")))
-    return agg.orderBy(F.desc("value"), "material").limit(top_n)
-
-
 def material_suite_topn(df: DataFrame, top_n: int = 8) -> DataFrame:
     """A9 + W2 + J6: quantity per (material, suite), kept only for the overall
     top ``top_n`` materials (left-semi join with a list of ``top_n`` rows)."""
@@ -100,14 +92,17 @@ def material_suite_topn(df: DataFrame, top_n: int = 8) -> DataFrame:
     return agg.join(F.broadcast(tops), "material", "left_semi")
 
 
-def overall_material(df: DataFrame, metric: str = "quantity") -> DataFrame:
-    """A10: per material the sum of ``quantity`` or ``total_cost`` as ``value``."""
+def overall_material(df: DataFrame, metric: str = "quantity", role: str = "Manager") -> DataFrame:
+    """A10: per material the sum of ``quantity`` or ``total_cost`` as ``value``;
+    roles other than Manager always get the quantity (P5)."""
     if metric not in ("quantity", "total_cost"):
         raise ValueError("metric must be 'quantity' or 'total_cost'")
+    if role != "Manager":
+        metric = "quantity"
     return _grouped(df, "material", {"value": metric}, "value")
 
 
 def sop_coverage(df: DataFrame, sop: DataFrame) -> DataFrame:
     """A4 + J1: per-reason totals with the reason's SOP link (null if none)."""
-    return join_small(by_reason(df), sop.select("reason", "sop_url"), "reason", "left") \
+    return by_reason(df).join(sop.select("reason", "sop_url"), "reason", "left") \
         .orderBy(F.desc("quantity"), "reason")

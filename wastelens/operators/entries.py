@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from wastelens.functions import scalars as S
 from wastelens.operators.filters import date_range_cond
-from wastelens.operators.joins import join_small
 
 
 def resolve_price(entries: DataFrame, materials: DataFrame, prices: DataFrame | None = None,
@@ -21,11 +20,11 @@ def resolve_price(entries: DataFrame, materials: DataFrame, prices: DataFrame |
     the catalog price. Dimensions must hold one row per name (see dims)."""
     cat = materials.select(F.col("name").alias("material"), F.col("unit"),
                            F.col("cost_per_unit").alias("_catalog_price"))
-    d = join_small(entries.drop("unit", "cost_per_unit"), cat, "material", "left")
+    d = entries.drop("unit", "cost_per_unit").join(cat, "material", "left")
     if use_mock and prices is not None:
         ovr = prices.select(F.col("name").alias("material"), F.col("mock_price").alias("_mock"),
                             F.lit(True).alias("_has_mock"))
-        d = join_small(d, ovr, "material", "left")
+        d = d.join(ovr, "material", "left")
         price = F.when(F.col("_has_mock"), F.col("_mock")).otherwise(F.col("_catalog_price"))
     else:
         price = F.col("_catalog_price")
@@ -36,7 +35,7 @@ def resolve_price(entries: DataFrame, materials: DataFrame, prices: DataFrame |
 def sop_for_reason(entries: DataFrame, sop: DataFrame) -> DataFrame:
     """The reason's SOP URL, "" when none."""
     s = sop.select("reason", F.col("sop_url").alias("_sop"))
-    d = join_small(entries.drop("sop_url"), s, "reason", "left")
+    d = entries.drop("sop_url").join(s, "reason", "left")
     return d.withColumn("sop_url", F.coalesce("_sop", F.lit(""))).drop("_sop")
 
 
@@ -61,12 +60,12 @@ def enrich_entries(entries: DataFrame, materials: DataFrame, prices: DataFrame |
         F.col("id").cast("string").alias("id"),
         F.concat(date_txt, F.lit("T"), time_txt).alias("timestamp_local"),
         date_txt.alias("date"), time_txt.alias("time"),
-        blank.alias("site"), F.trim(F.col("suite")).alias("suite"), blank.alias("line"),
-        blank.alias("room"), F.col("shift"), F.trim(F.coalesce("employee_id", blank)).alias("employee_id"),
+        blank.alias("site"), S.strip(F.col("suite")).alias("suite"), blank.alias("line"),
+        blank.alias("room"), F.col("shift"), S.strip(F.coalesce("employee_id", blank)).alias("employee_id"),
         F.col("material"), F.col("unit"), qty.alias("quantity"), F.col("reason"),
-        F.trim(F.coalesce("batch_lot", blank)).alias("batch_lot"),
+        S.strip(F.coalesce("batch_lot", blank)).alias("batch_lot"),
         F.col("cost_per_unit"), S.round4(qty * F.col("cost_per_unit")).alias("total_cost"),
-        F.trim(F.coalesce("notes", blank)).alias("notes"),
+        S.strip(F.coalesce("notes", blank)).alias("notes"),
         F.coalesce("photo_filename", blank).alias("photo_filename"), F.col("sop_url"))
 
 
@@ -85,7 +84,7 @@ def day_alerts(df: DataFrame, threshold: float = 2000.0, ts_col: str = "timestam
         df = df.where(date_range_cond(ts_col, as_of, as_of, dict(df.dtypes)[ts_col]))
     d = df.withColumn("day", F.to_date(F.col(ts_col)))
     tot = d.where(F.col("day").isNotNull()).groupBy("day").agg(
-        F.sum(F.coalesce(S.parse_number("total_cost"), F.lit(0.0))).alias("day_cost"))
+        F.sum(F.coalesce(S.number_of(df, "total_cost"), F.lit(0.0))).alias("day_cost"))
     if not threshold > 0:
         return tot.where(F.lit(False))
     return tot.where(F.col("day_cost") >= F.lit(threshold))

@@ -75,20 +75,27 @@ def analysis_frame(df: DataFrame) -> DataFrame:
         F.col("suite"),
         F.col("material"),
         F.col("material").cast("string").alias("vendor"),
-        F.coalesce(S.parse_number("quantity"), F.lit(0.0)).alias("qty"),
-        F.coalesce(S.parse_number("total_cost"), F.lit(0.0)).alias("cost"),
+        F.coalesce(S.number_of(df, "quantity"), F.lit(0.0)).alias("qty"),
+        F.coalesce(S.number_of(df, "total_cost"), F.lit(0.0)).alias("cost"),
         F.coalesce(F.col("reason"), F.lit("")).alias("description"))
         .where(F.col("date").isNotNull()))
 
 
-COST_COLUMNS = ("total_cost", "cost_per_unit", "cost", "value_cost", "ai_score_cost")
+#: Every column of the library's tables that holds an amount of money, or text with one.
+COST_COLUMNS = ("total_cost", "cost_per_unit", "cost", "mock_price", "day_cost", "cost_ma3", "cost_fcst", "amount_bucket",
+                "report_text", "top_materials", "top_vendors")
 
 
-def cost_view(df: DataFrame, role: str) -> DataFrame:
-    """Role gate (P5): cost columns are visible to Managers only, everywhere."""
+def cost_view(df: DataFrame, role: str, metric: str | None = None) -> DataFrame:
+    """Role gate (P5): amounts are visible to Managers only, everywhere.
+
+    ``metric`` names what a table's ``value`` column measures; for other roles a
+    ``value`` goes unless it is known to be no amount.
+    """
     if role == "Manager":
         return df
-    return df.drop(*[c for c in df.columns if c in COST_COLUMNS])
+    hidden = set(COST_COLUMNS) | ({"value"} if metric is None or metric in COST_COLUMNS else set())
+    return df.drop(*[c for c in df.columns if c in hidden])
 
 
 def domain_check(df: DataFrame, suites=None, shifts=None, reasons=None,
@@ -113,13 +120,6 @@ def domain_check(df: DataFrame, suites=None, shifts=None, reasons=None,
     return df.withColumn("violations", F.filter(arr, lambda x: x.isNotNull()))
 
 
-def split_by_domain(df: DataFrame, **lists):
-    """(accepted, quarantined) by :func:`domain_check`."""
-    chk = domain_check(df, **lists)
-    ok = F.size("violations") == 0
-    return chk.where(ok).drop("violations"), chk.where(~ok)
-
-
 def with_vendor_bucket(df: DataFrame, vendor: str = "vendor", cost: str = "cost") -> DataFrame:
     """P9 + P10: ``vendor_norm`` and ``amount_bucket`` columns."""
     return df.withColumns({"vendor_norm": S.vendor_norm(vendor),
@@ -130,12 +130,12 @@ def report_input(df: DataFrame) -> DataFrame:
     """Report input (P11): parse date and drop bad, cost coerced (0 if absent or bad),
     absent flags false. A frame without ``date`` is an error."""
     if "date" not in df.columns:
-        raise ValueError("Expected a 'date' column in dataframe.")
+        raise ValueError("a report needs a column named date")
     cols = set(df.columns)
     dtype = dict(df.dtypes)["date"]
     date = F.col("date") if dtype in ("timestamp", "timestamp_ntz") else S.parse_timestamp("date")
     out = df.withColumn("date", date)
-    out = out.withColumn("cost", F.coalesce(S.parse_number("cost"), F.lit(0.0))
+    out = out.withColumn("cost", F.coalesce(S.number_of(df, "cost"), F.lit(0.0))
                          if "cost" in cols else F.lit(0.0))
     for flag in ("ai_anomaly", "subscription_like"):
         out = out.withColumn(flag, F.coalesce(F.col(flag).cast("boolean"), F.lit(False))

@@ -32,7 +32,7 @@ N_TREES = 100
 SAMPLE = 256
 CONTAMINATION = 0.05
 SEED = 42
-EXACT_PERCENTILE_ROWS = 5_000_000
+PERCENTILE_ACCURACY = 100_000
 _P = 1 << 30
 
 NODE_SCHEMA = T.StructType([
@@ -83,22 +83,18 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
 
 
 def _sample(df: DataFrame, key_cols, feats, n: int, n_trees: int, sample: int, seed: int):
-    key = F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed))
-    if n <= n_trees * sample * 4:
-        # Small input: every tree draws from all rows by its own hash.
-        t = df.select(*feats, key.alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-        t = t.withColumn("_h", F.xxhash64("_k", "tree"))
-        if n > sample:
-            keep = min(1.0, 4.0 * sample / n)
-            t = t.where(F.pmod("_h", F.lit(_P)) < F.lit(int(keep * _P)))
-    else:
-        # Large input: one hash keeps about 1.5 x trees x sample rows, a second
-        # hash deals them to trees (disjoint samples, no fan-out of the table).
-        keep = 1.5 * n_trees * sample / n
-        t = df.select(*feats, key.alias("_k")).where(F.pmod("_k", F.lit(_P)) < F.lit(int(keep * _P)))
-        t = t.withColumn("tree", F.pmod(F.xxhash64("_k", F.lit(seed + 1)), F.lit(n_trees)).cast("int"))
-        t = t.withColumn("_h", F.xxhash64("_k", F.lit(seed + 2)))
+    """At most ``sample`` rows for each tree, the same on every run and at every
+    size by one rule: a row belongs to a tree with probability 1.5 * sample / n (at
+    most 1). A first hash keeps the rows that can belong to any tree, about
+    1.5 * trees * sample, so only these are spread over the trees."""
     from pyspark.sql import Window
+
+    pair = min(1.0, 1.5 * sample / max(n, 1))
+    some = min(1.0, n_trees * pair)
+    key = F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed))
+    t = df.select(*feats, key.alias("_k")).where(F.pmod("_k", F.lit(_P)) < F.lit(int(some * _P)))
+    t = t.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    t = t.withColumn("_h", F.xxhash64("_k", "tree")).where(F.pmod("_h", F.lit(_P)) < F.lit(int(pair / some * _P)))
     w = Window.partitionBy("tree").orderBy("_h", "_k")
     return t.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).select("tree", *feats)
 
@@ -210,22 +206,21 @@ def flag_anomalies(df: DataFrame, key_cols, contamination: float = CONTAMINATION
                    n_trees: int = N_TREES, sample: int = SAMPLE, seed: int = SEED):
     """M1: adds ``ai_score``, ``ai_anomaly``, ``ai_waste_flag``; returns (frame, meta).
 
-    Missing qty/cost count as 0. Without qty and cost columns the frame is
+    Missing and NaN qty/cost count as 0. Without qty and cost columns the frame is
     returned unchanged, as is an empty frame.
     """
     feats = [c for c in ("qty", "cost") if c in df.columns]
     if not feats:
-        return df, {"message": "No numeric columns found"}
-    d = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feats})
+        return df, {"message": "neither qty nor cost is a column"}
+    d = df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in feats})
     n = d.count()
     if n == 0:
-        return df, {"message": "No data to analyze"}
+        return df, {"message": "the frame has no rows"}
     nodes = fit(d, key_cols, feats, n_trees, sample, seed, n)
     # Scored once: written to the shared checkpoint folder, then read twice
     # (offset, flags) without re-running the Python scorer.
     scored = cut_lineage(score(d, nodes, feats))
-    q = F.percentile("_raw", F.lit(contamination)) if n <= EXACT_PERCENTILE_ROWS \
-        else F.percentile_approx("_raw", F.lit(contamination), F.lit(100_000))
+    q = F.percentile_approx("_raw", F.lit(contamination), F.lit(PERCENTILE_ACCURACY))
     offset = scored.agg(q.alias("o")).first()["o"]
     out = (scored.withColumn("ai_score", F.col("_raw") - F.lit(offset)).drop("_raw")
            .withColumn("ai_anomaly", F.col("ai_score") < 0)

@@ -90,8 +90,7 @@ def entries_source(spark, sf_dir):
     w = waste_view(spark, sf_dir, ["timestamp_local", "suite", "shift", "material", "quantity",
                                    "reason"] + ROW_KEY)
     return w.select(
-        F.substring(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in ROW_KEY]), 256),
-                    1, 8).alias("id"),
+        F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in ROW_KEY]), 256).alias("id"),
         F.to_date("timestamp_local").alias("log_date"),
         F.concat(F.lpad((F.col("l_linenumber") + 6).cast("string"), 2, "0"),
                  F.lit(":15:00")).alias("log_time"),
@@ -102,7 +101,7 @@ def entries_source(spark, sf_dir):
 
 
 ENTRIES_SQL = """entries AS (
-  SELECT substr(sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8) AS id,
+  SELECT sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS id,
          CAST(timestamp_local AS DATE) AS log_date,
          lpad(CAST(l_linenumber + 6 AS VARCHAR), 2, '0') || ':15:00' AS log_time,
          suite, shift, 'EMP-' || CAST(l_suppkey AS VARCHAR) AS employee_id, material, quantity, reason,

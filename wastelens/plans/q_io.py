@@ -38,7 +38,9 @@ AS_OF = "1998-06-17"
 @query("export_presets", with_(WASTE_CTE) + " UNION ALL ".join(
     f"""SELECT '{name}' AS preset, {', '.join(['timestamp_local', 'material', 'quantity', 'total_cost'] + ROW_KEY)}
 FROM waste WHERE CAST(timestamp_local AS DATE) BETWEEN DATE '{s}' AND DATE '{e}'"""
-    for name, (s, e) in SK.presets(AS_OF).items()))
+    for name, s, e in (("day", "1998-06-17", "1998-06-17"), ("week", "1998-06-15", "1998-06-21"),
+                       ("month", "1998-06-01", "1998-06-30"), ("quarter", "1998-04-01", "1998-06-30"),
+                       ("year", "1998-01-01", "1998-12-31"))))
 def q_export_presets(spark, sf_dir):
     w = waste_view(spark, sf_dir, ["timestamp_local", "material", "quantity", "total_cost"] + ROW_KEY)
     return SK.export_presets(w, AS_OF)
@@ -55,17 +57,20 @@ def q_export_range(spark, sf_dir):
 
 @query("log_round_trip", with_(WASTE_CTE, DIMS_SQL, ENTRIES_SQL, SOP_SQL, ENRICHED_SQL) + """
 SELECT id, CAST(timestamp_local AS TIMESTAMP) AS timestamp_local, material,
-       CAST(quantity AS DOUBLE) AS quantity, total_cost, true AS digest_ok
+       CAST(quantity AS DOUBLE) AS quantity, total_cost,
+       ' said "' || material || '", then\\left' || chr(10) || 'x ' || id || chr(9) AS notes, true AS digest_ok
 FROM enriched""")
 def q_log_round_trip(spark, sf_dir):
-    """Write the enriched entries with digests as a partitioned CSV log in the
-    shared checkpoint folder, read it back as text, check every digest."""
+    """Write the enriched entries, with quotes, commas, backslashes, line breaks and outer
+    blanks in the notes, and their digests as a partitioned CSV log in the shared
+    checkpoint folder, read it back as text, check every digest."""
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/log-{uuid.uuid4().hex}"
-    SK.append_log(AU.with_digest(enriched(spark, sf_dir)), root, fmt="csv", partitioned=False)
+    odd = F.concat(F.lit(' said "'), "material", F.lit('", then\\left\nx '), "id", F.lit("\t"))
+    SK.append_log(AU.with_digest(enriched(spark, sf_dir).withColumn("notes", odd)), root, fmt="csv")
     text = RD.load_master(spark, root, typed=False)
     ok = AU.digest(text) == F.col("hash")
     typed = RD.type_log(text.withColumn("digest_ok", ok))
-    return typed.select("id", "timestamp_local", "material", "quantity", "total_cost", "digest_ok")
+    return typed.select("id", "timestamp_local", "material", "quantity", "total_cost", "notes", "digest_ok")
 
 
 @query("safe_totals", with_(WASTE_CTE) + """

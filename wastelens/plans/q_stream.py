@@ -44,6 +44,14 @@ def q_stream_day_alerts(spark, sf_dir):
     return out.withColumn("day_cost", F.round("day_cost", 2))
 
 
+@query("stream_day_update", """
+SELECT CAST(ts AS DATE) AS day, round(sum(value), 2) AS day_cost, count(*) AS entries FROM events GROUP BY 1""")
+def q_stream_day_update(spark, sf_dir):
+    """T5: the running day dashboard, every day so far."""
+    out = J.run_available_now(J.day_totals(_events(spark, sf_dir)), mode="update", keys=["day"])
+    return out.withColumn("day_cost", F.round("day_cost", 2))
+
+
 @query("stream_enrich")
 def q_stream_enrich(spark, sf_dir):
     ev = table(spark, sf_dir, "events")

@@ -13,13 +13,6 @@ WASTE_CTE = """waste AS (
   JOIN supplier s ON l.l_suppkey = s.s_suppkey
   JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
 
-ANALYSIS_CTE = WASTE_CTE + """,
-analysis AS (
-  SELECT timestamp_local AS date, suite, material, vendor, CAST(quantity AS DOUBLE) AS qty,
-         total_cost AS cost, reason AS description,
-         l_orderkey, l_linenumber, l_partkey, l_suppkey
-  FROM waste)"""
-
 FLAG_DENSE_CTE = """flagdense AS (
   SELECT l_shipdate AS date, l_returnflag AS vendor, l_quantity AS cost,
          l_linestatus AS description, l_orderkey, l_linenumber, l_partkey, l_suppkey

@@ -10,11 +10,11 @@ The view maps TPC-H-like tables onto the waste-log layout (see FIXTURES.md):
 
 Row key / tiebreak: (timestamp_local, l_orderkey, l_linenumber, l_partkey, l_suppkey).
 
-Only the dimension joins that provide requested columns are planned. With
-foreign-key integrity (every lineitem key exists in its dimension, checked
-for the driver data) an unneeded inner join neither adds nor drops rows, so
-skipping it changes no result and saves a full shuffle of the fact table
-(lineitem x orders is the big one).
+Only the dimension joins that provide requested columns are planned. They are
+left joins on the dimensions' unique keys, so a fact row without its dimension
+row stays (with nulls), and which columns are asked for never changes the rows.
+Skipping an unneeded one saves a full shuffle of the fact table (lineitem x
+orders is the big one).
 """
 
 from __future__ import annotations
@@ -36,21 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows of a scan that yields fewer input partitions than
-    the cluster has cores (e.g. one file with one row group, which Spark
-    cannot split). A large input has far more splits than cores and is
-    returned untouched, so this never adds a shuffle at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def fact(spark: SparkSession, sf_dir: str, name: str, columns) -> DataFrame:
-    """Pruned scan of a fact table, spread over the cores if it is one split."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    """Pruned scan of a fact table."""
+    return table(spark, sf_dir, name).select(*columns)
 
 
 def waste_view(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
@@ -73,34 +61,24 @@ def waste_view(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
         exprs[k] = F.col(k)
     if "orders" in need:
         o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-        df = df.join(o, df.l_orderkey == o.o_orderkey)
+        df = df.join(o, df.l_orderkey == o.o_orderkey, "left")
         exprs["reason"] = F.col("o_orderpriority")
     if "part" in need:
         p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-        df = df.join(p, df.l_partkey == p.p_partkey)
+        df = df.join(p, df.l_partkey == p.p_partkey, "left")
         exprs["material"] = F.col("p_name")
         exprs["cost_per_unit"] = F.col("p_retailprice")
     if "supplier" in need:
         s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
         if "nation" in need:
             n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-            s = s.join(n, s.s_nationkey == n.n_nationkey)
+            s = s.join(n, s.s_nationkey == n.n_nationkey, "left")
             exprs["suite"] = F.col("n_name")
-        df = df.join(s, df.l_suppkey == s.s_suppkey)
+        df = df.join(s, df.l_suppkey == s.s_suppkey, "left")
         exprs["vendor"] = F.col("s_name")
     return df.select(*[exprs[c].alias(c) for c in columns])
 
 
-def analysis_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waste view in the analysis layout with real vendors (s_name)."""
-    w = waste_view(spark, sf_dir, ["timestamp_local", "suite", "material", "vendor",
-                                   "quantity", "total_cost", "reason"] + ROW_KEY)
-    return w.select(F.col("timestamp_local").alias("date"), "suite", "material", "vendor",
-                    F.col("quantity").cast("double").alias("qty"),
-                    F.col("total_cost").alias("cost"),
-                    F.col("reason").alias("description"), *ROW_KEY)
-
-
 def flag_dense_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vendor = l_returnflag, cost = l_quantity, date = l_shipdate (adjacent duplicates)."""
     li = table(spark, sf_dir, "lineitem")

@@ -87,7 +87,9 @@ CHAIN_STATE = T.StructType([T.StructField("last_hash", T.StringType())])
 def chain_stream(df: DataFrame, chain_col: str, id_col: str, ts_col: str,
                  payload_cols) -> DataFrame:
     """T4: running hash chain per key; the last digest of each key is the
-    only state. Within a micro-batch rows are linked in (ts, id) order."""
+    only state. A key's rows of one micro-batch are linked in (ts, id) order and
+    held together, so the key should be fine enough (a place and a day, say) and
+    ``max_files_per_trigger`` bounds the batch."""
     payload = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload_cols])
     d = event_time(df, ts_col).select(F.col(chain_col).cast("string").alias("chain"),
                                       F.col(id_col).cast("string").alias("id"),
@@ -95,8 +97,9 @@ def chain_stream(df: DataFrame, chain_col: str, id_col: str, ts_col: str,
 
     def link(key, pdfs, state):
         prev = state.get[0] if state.exists else ""
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "id"], kind="mergesort").reset_index(drop=True)
+        whole = list(pdfs)  # the key's rows of this micro-batch, in Arrow batches
+        if whole:
+            pdf = pd.concat(whole).sort_values(["ts", "id"], kind="mergesort").reset_index(drop=True)
             prevs, hashes = [], []
             for p in pdf["payload"]:
                 h = hashlib.sha256((p + "|" + prev).encode("utf-8")).hexdigest()
@@ -112,23 +115,42 @@ def chain_stream(df: DataFrame, chain_col: str, id_col: str, ts_col: str,
 
 
 def run_available_now(sdf: DataFrame, mode: str = "append", root: str | None = None,
-                      fmt: str = "parquet") -> DataFrame:
+                      fmt: str = "parquet", keys: list[str] | None = None) -> DataFrame:
     """Run a streaming frame over everything available into a file sink in
     the shared checkpoint folder; return the sink's rows as a batch frame.
-    The checkpoint makes the file output exactly-once across restarts."""
+    The checkpoint makes the file output exactly-once across restarts.
+
+    In update mode each micro-batch holds the changed rows only: they replace the
+    stored rows of the same ``keys``. Every batch writes a new version folder
+    named by its id, from the version before, so a repeated batch gives the same.
+    """
     spark = sdf.sparkSession
     root = root or ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     out, chk = root + "/out", root + "/chk"
     if mode == "append":
         q = (sdf.writeStream.format(fmt).option("path", out).option("checkpointLocation", chk)
              .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def sink(batch, _epoch):
-            batch.write.mode("overwrite").format(fmt).save(out)
-        q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", chk)
-             .outputMode(mode).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return spark.read.format(fmt).load(out)
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys that a changed row replaces")
+
+    def versions() -> list[int]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(out + "/v*/_SUCCESS")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+
+    def sink(batch, epoch):
+        old = [v for v in versions() if v < epoch] if mode == "update" else []
+        if old:
+            kept = batch.sparkSession.read.format(fmt).load(f"{out}/v{old[-1]}")
+            batch = kept.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
+        batch.write.mode("overwrite").format(fmt).save(f"{out}/v{epoch}")
+    q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", chk)
+         .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.format(fmt).load(out)
+    return spark.read.schema(sdf.schema).format(fmt).load(f"{out}/v{versions()[-1]}") if versions() \
+        else spark.createDataFrame([], sdf.schema)
 
 
 __all__ = ["file_stream", "event_time", "enrich_stream", "entry_alert_stream", "day_totals",
