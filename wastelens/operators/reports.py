@@ -1,12 +1,12 @@
 """Period reports: week / month / quarter / year tables, labels and text
 (A13, A14, R1-R7, W7, W8).
 
-Plan shape: raw rows are aggregated once (one GROUPING SETS aggregate) to
-(period), (period, material) and (period, vendor) tables, and coarser grains
-roll up from them. All later steps (spine,
-top-5 ranking, label, text) run on tables with one row per period or per
-(period, item), so a hot period or item never lands in one task with raw
-rows.
+Plan shape: raw rows are aggregated once to (day, material, vendor); all grains
+and kinds of sums roll up from that table, in one pass and without storing it. All
+later steps (top-5 ranking, gap filling, label, text) run on tables with one row
+per period or per (period, item), so a hot period or item never lands in one
+task with raw rows; the ranking keeps the first rows of each group before it
+shuffles.
 """
 
 from __future__ import annotations
@@ -14,12 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wastelens.session import cut_lineage
-
 from wastelens import schemas
 from wastelens.functions import scalars as S
 from wastelens.operators.filters import report_input
-from wastelens.operators.timeseries import spine
 
 GRAINS = schemas.REPORT_GRAINS
 
@@ -29,120 +26,60 @@ def _check(grain: str):
         raise ValueError(f"Unknown period '{grain}'. Valid: {GRAINS}")
 
 
-def base_tables(df: DataFrame, levels=("Monthly",)):
-    """Per level: (totals per period, cost per (period, material), cost per
-    (period, vendor)), with the period key in column ``day``.
-
-    Input must already be prepared by :func:`report_input`. One scan and one
-    shuffle for all levels: a single GROUPING SETS aggregate over
-    (key), (key, material), (key, vendor) for every level key, with map-side
-    partial aggregation; the tables are slices of it by ``grouping()``.
-    Coarser grains roll up from a finer level whose periods nest in theirs
-    (months into quarters and years). Item tables are None when the column
-    is absent.
-    """
-    items = [c for c in ("material", "vendor") if c in df.columns]
-    keys = {lv: f"_k{i}" for i, lv in enumerate(levels)}
-    d = df.select(*[S.period_key(lv, F.col("date")).alias(k) for lv, k in keys.items()],
-                  "cost", "ai_anomaly", "subscription_like",
-                  *[F.col(c).cast("string").alias(c) for c in items])
-    sets = [[k] + extra for k in keys.values() for extra in [[]] + [[c] for c in items]]
-    allcols = list(keys.values()) + items
-    g = d.groupingSets(sets, *allcols).agg(
-        *[F.grouping(c).alias(f"_g{c}") for c in allcols],
-        F.sum("cost").alias("total_cost"), F.count("cost").alias("events"),
+def day_table(df: DataFrame) -> DataFrame:
+    """Sums per (day, material, vendor) of a frame prepared by :func:`report_input`;
+    absent item columns are left out."""
+    items = [F.col(c).cast("string").alias(c) for c in ("material", "vendor") if c in df.columns]
+    return df.groupBy(F.to_date("date").alias("day"), *items).agg(
+        F.sum("cost").alias("cost"), F.count("cost").alias("events"),
         F.sum(F.col("ai_anomaly").cast("bigint")).alias("anomalies"),
         F.sum(F.col("subscription_like").cast("bigint")).alias("subs"))
-    # Several consumers read this table; pushed-down filters make their plans
-    # differ, so it would otherwise be scanned, joined and shuffled once per
-    # consumer. It holds one row per (period[, item]), far fewer than log
-    # rows, and is written once to the shared checkpoint folder (lineage
-    # cut, safe against lost executors).
-    g = cut_lineage(g)
-
-    def only(*present):
-        cond = F.lit(True)
-        for c in allcols:
-            cond = cond & (F.col(f"_g{c}") == (0 if c in present else 1))
-        return cond
-
-    out = {}
-    for lv, k in keys.items():
-        tot = g.where(only(k)).select(F.col(k).alias("day"), "total_cost", "events",
-                                      "anomalies", "subs")
-        per = {}
-        for c in items:
-            per[c] = (g.where(only(k, c) & F.col(c).isNotNull())
-                      .select(F.col(k).alias("day"), c, F.col("total_cost").alias("cost")))
-        out[lv] = (tot, per.get("material"), per.get("vendor"))
-    return out
-
-
-def _grains_table(levels: dict, bases: dict, top_k: int) -> DataFrame:
+
+
+def _grains_table(days: DataFrame, grains, top_k: int) -> DataFrame:
     """Report rows of several grains in one pipeline, with a ``grain`` column.
 
-    ``levels`` maps a base level to the grains rolled up from it; ``bases``
-    maps a level to its (totals, material, vendor) tables. Totals, material
-    rows and vendor rows are stacked, tagged with their grains, rolled up to
-    (grain, period, kind, item), ranked by one window over (grain, period,
-    kind) - it runs on the aggregated table, so a period holds one row per
-    distinct item, never raw rows - and gathered by one aggregate; one spine
-    covers all grains and is the only join.
+    Each row of ``days`` counts once for the total and once for each item, in
+    each grain; these are summed to (grain, period, kind, item), ranked within
+    (grain, period, kind), gathered by one aggregate, and gaps are filled from each
+    period to the next one.
     """
-    zero = F.lit(0).cast("bigint")
-    parts = []
-    for level, grains in levels.items():
-        tot, mat, ven = bases[level]
-        tag = F.explode(F.array(*[F.lit(g) for g in grains])).alias("grain")
-        parts.append(tot.select("day", tag, F.lit("total").alias("kind"),
-                                F.lit(None).cast("string").alias("item"),
-                                F.col("total_cost").alias("cost"), "events", "anomalies", "subs"))
-        for kind, tab in (("material", mat), ("vendor", ven)):
-            if tab is not None:
-                parts.append(tab.select("day", tag, F.lit(kind).alias("kind"), F.col(kind).alias("item"),
-                                        "cost", zero.alias("events"), zero.alias("anomalies"),
-                                        zero.alias("subs")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    g = F.col("grain")
-    d = F.col("day")
-    key = (F.when(g == "Weekly", S.week_key(d)).when(g == "Monthly", F.trunc(d, "month"))
-           .when(g == "Quarterly", F.trunc(d, "quarter")).otherwise(F.trunc(d, "year")))
-    r = u.groupBy("grain", key.alias("period"), "kind", "item").agg(
-        F.sum("cost").alias("cost"), F.sum("events").alias("events"),
-        F.sum("anomalies").alias("anomalies"), F.sum("subs").alias("subs"))
-    w = Window.partitionBy("grain", "period", "kind").orderBy(F.desc(F.round("cost", 6)),
-                                                              F.col("item").asc())
-    r = r.withColumn("rn", F.row_number().over(w))
-    r = r.where((F.col("kind") == "total") | (F.col("rn") <= top_k))
+    kinds = [F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("item"))]
+    kinds += [F.struct(F.lit(c).alias("kind"), F.col(c).alias("item")) for c in ("material", "vendor") if c in days.columns]
+    d = days.withColumn("k", F.explode(F.array(*kinds))).where((F.col("k.kind") == "total") | F.col("k.item").isNotNull())
+    d = d.withColumn("grain", F.explode(F.array(*[F.lit(g) for g in grains])))
+    g, day = F.col("grain"), F.col("day")
+    key = (F.when(g == "Weekly", S.week_key(day)).when(g == "Monthly", F.trunc(day, "month"))
+           .when(g == "Quarterly", F.trunc(day, "quarter")).otherwise(F.trunc(day, "year")))
+    r = d.groupBy("grain", key.alias("period"), F.col("k.kind").alias("kind"), F.col("k.item").alias("item")).agg(
+        *[F.sum(c).alias(c) for c in ("cost", "events", "anomalies", "subs")])
+    # A total is the only row of its group, so it always has rank 1.
+    w = Window.partitionBy("grain", "period", "kind").orderBy(F.desc(F.round("cost", 6)), F.col("item").asc())
+    r = r.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(top_k, 1))
     is_total = F.col("kind") == "total"
 
     def joined(kind):
-        items = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rn", "item"))))
-        return F.array_join(F.transform(items, lambda x: x["item"]), ", ")
+        chosen = F.when((F.col("kind") == kind) & (F.col("rn") <= top_k), F.struct("rn", "item"))
+        return F.array_join(F.transform(F.sort_array(F.collect_list(chosen)), lambda x: x["item"]), ", ")
 
     t = r.groupBy("grain", "period").agg(
-        F.sum(F.when(is_total, F.col("cost"))).alias("total_cost"),
-        F.sum(F.when(is_total, F.col("events"))).alias("events"),
-        F.sum(F.when(is_total, F.col("anomalies"))).alias("anomalies"),
-        F.sum(F.when(is_total, F.col("subs"))).alias("subs"),
+        *[F.sum(F.when(is_total, F.col(c))).alias(a) for c, a in (
+            ("cost", "total_cost"), ("events", "events"), ("anomalies", "anomalies"), ("subs", "subs"))],
         joined("material").alias("top_materials"), joined("vendor").alias("top_vendors"))
-    # Spine: every period of each grain between its first and last period.
-    b = t.groupBy("grain").agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
+    # Gaps: from each period up to the one before the next (one row per period in this window).
+    after = F.lead("period").over(Window.partitionBy("grain").orderBy("period"))
     months = F.when(g == "Monthly", 1).when(g == "Quarterly", 3).otherwise(12)
-    seq = F.when(g == "Weekly", F.sequence("_lo", "_hi", F.expr("INTERVAL 7 DAYS"))) \
-           .otherwise(F.sequence("_lo", "_hi", F.make_ym_interval(F.lit(0), months)))
-    sp = b.select("grain", F.explode(seq).alias("period"))
-    out = sp.join(t, ["grain", "period"], "left")
-    return out.select(
-        "grain", "period",
-        F.coalesce("total_cost", F.lit(0.0)).alias("total_cost"),
-        F.coalesce("events", F.lit(0)).cast("bigint").alias("events"),
-        F.coalesce("anomalies", F.lit(0)).cast("bigint").alias("anomalies"),
-        F.coalesce("subs", F.lit(0)).cast("bigint").alias("subs"),
-        F.coalesce("top_materials", F.lit("")).alias("top_materials"),
-        F.coalesce("top_vendors", F.lit("")).alias("top_vendors"))
+    t = t.withColumn("_next", after)
+    weeks = F.sequence("period", F.date_sub("_next", 7), F.expr("INTERVAL 7 DAYS"))
+    others = F.sequence("period", F.add_months("_next", -months), F.make_ym_interval(F.lit(0), months))
+    run = F.when(F.col("_next").isNull(), F.array("period")).when(g == "Weekly", weeks).otherwise(others)
+    t = t.select("*", F.posexplode(run).alias("_gap", "_period"))
+
+    def here(c, empty):
+        return F.when(F.col("_gap") == 0, F.coalesce(c, empty)).otherwise(empty).alias(c)
+    none = F.lit(0).cast("bigint")
+    return t.select("grain", F.col("_period").alias("period"), here("total_cost", F.lit(0.0)), here("events", none),
+                    here("anomalies", none), here("subs", none), here("top_materials", F.lit("")), here("top_vendors", F.lit("")))
 
 
 def period_table(df: DataFrame, grain: str, top_k: int = 5, prepared: bool = False) -> DataFrame:
@@ -150,7 +87,7 @@ def period_table(df: DataFrame, grain: str, top_k: int = 5, prepared: bool = Fal
     from the first to the last period, empty periods with 0 and ""."""
     _check(grain)
     d = df if prepared else report_input(df)
-    return _grains_table({grain: [grain]}, base_tables(d, [grain]), top_k).drop("grain")
+    return _grains_table(day_table(d), [grain], top_k).drop("grain")
 
 
 def with_text(table: DataFrame, grain, legacy_week_label: bool = False) -> DataFrame:
@@ -192,12 +129,9 @@ def summarize_period(df: DataFrame, grain: str, top_k: int = 5,
 def all_reports(df: DataFrame, top_k: int = 5, legacy_week_label: bool = False) -> DataFrame:
     """The four grains in one table with a ``grain`` column.
 
-    One scan aggregates at week and month level; quarters and years roll
-    up from the month table.
+    One scan and one aggregate by day serve all grains.
     """
-    base = base_tables(report_input(df), ["Weekly", "Monthly"])
-    t = _grains_table({"Weekly": ["Weekly"], "Monthly": ["Monthly", "Quarterly", "Annual"]},
-                      base, top_k)
+    t = _grains_table(day_table(report_input(df)), GRAINS, top_k)
     return with_text(t, "grain", legacy_week_label)
 
 
