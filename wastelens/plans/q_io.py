@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wastelens.operators import audit as AU
 from wastelens.plans.q_dashboards import SOP_SQL
 from wastelens.plans.q_entries import DIMS_SQL, ENRICHED_SQL, ENTRIES_SQL, enriched
+from wastelens.plans.q_reports import BASE_CTE, grain_sql
 from wastelens.plans.registry import query
 from wastelens.plans.sqlviews import WASTE_CTE, with_
 from wastelens.session import ensure_checkpoint_dir
@@ -84,7 +85,8 @@ def q_safe_totals(spark, sf_dir):
     return t.groupBy("reason").agg(F.round(safe_sum("total_cost"), 2).alias("total_cost"))
 
 
-@query("report_text_export")
+@query("report_text_export", with_(WASTE_CTE, BASE_CTE) + f"""
+SELECT unnest(string_split(report_text, chr(10))) AS value FROM ({grain_sql('Monthly', True)})""")
 def q_report_text_export(spark, sf_dir):
     """Write the monthly report blocks as text into the shared
     checkpoint folder and read them back (one line per text line)."""
