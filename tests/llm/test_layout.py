@@ -125,3 +125,18 @@ def test_pieces_fill_sequences_without_gaps(spark, make_docs, tokenizer):
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 2048
     assert len(by) <= -(-sum(g.length for g in got) // 2048) + 1
     assert K.pack(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("n", [60, 20_000])
+def test_few_lengths_without_an_exact_fill(n):
+    # 1054 + 542 + 451 and 2 * 572 + 2 * 451 leave one and two tokens; best fit alone needs 1.83 n.
+    counts = {1054: n, 572: n, 542: n, 451: 2 * n}
+    plan = K.solve(counts)
+    check_plan(counts, plan, 2048)
+    assert sum(m for _, m in plan) <= 1.5 * n + 3
+
+
+def test_best_configurations_keep_what_fits_beside_waste():
+    lengths = np.array([451, 542, 1054])
+    taken = K.knapsack(lengths, lengths.astype(float), 2048)[1].tolist()
+    assert K.column(2, lengths.tolist(), taken, 2048) == ({2: 1, 1: 1, 0: 1}, 1)

@@ -9,9 +9,10 @@ On it the driver solves the configuration program
 
 where a configuration c is a multiset of lengths that fits into a sequence.
 Multiplicative weights price each length, a knapsack dynamic program finds the
-best configurations at these prices, a share of them is taken (rounded down to
-whole sequences at once) and the prices of covered lengths fall. What the last
-steps leave is placed by best fit, longest first. Configurations with their
+best configurations at these prices, with or without waste, they are added
+fractionally and the prices of covered lengths fall. The sum is rounded down;
+what is left, and where few pieces share a length that is most, is taken in whole
+steps and by best fit, longest first. Configurations with their
 multiplicities, not sequences, are what the driver holds: their number does
 not grow with the input.
 
@@ -39,6 +40,10 @@ from wastelens.llm.common import prepare, read, stored, text_of
 CAPACITY = 2048
 DOCS_AT_ONCE = 4000
 DEFAULT_TOKENIZER = "byte_bpe_50k"
+NEAR = 0.005  # configurations this near to the best price count as best
+RATE = 0.5
+ROUND = 60  # steps of a round
+MET = 1.0005  # a plan this near to the volume bound is not improved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -131,12 +136,12 @@ def piece_batches(name: str, capacity: int):
 # --------------------------------------------------- configuration program
 def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """For each room up to ``capacity``: the highest price of a multiset of
-    lengths that fits, and the length (index) it took last (-1: none)."""
+    lengths that fits, and the length (index) to take first for it (-1: none)."""
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1, np.int64)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
+        best[c], taken[c] = best[c - 1], taken[c - 1]
         if k := fits[c]:
             value = best[c - lengths[:k]] + price[:k]
             j = int(value.argmax())
@@ -154,49 +159,138 @@ def column(j: int, lengths: list[int], taken: list[int], capacity: int) -> tuple
     return out, c
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 200, part: float = 0.3,
-          small: int = 5_000) -> list[tuple[dict[int, int], int]]:
-    """Configurations {length: count} with multiplicities that hold every piece once.
+def fractional(lengths: np.ndarray, total: np.ndarray, capacity: int, steps: int):
+    """Configurations (as sorted (index, count) pairs) with whole multiplicities that hold
+    no length more often than ``total``; the last prices; and a lower bound on sequences.
 
-    Each step prices the lengths (length times a weight that falls
-    multiplicatively with the share already covered; long lengths, which are
-    hard to place late, cost a little more), runs the knapsack program, takes
-    from it the best configuration through each length and adds the ones
-    without waste by ``part`` of what their scarcest length has left, rounded
-    down. What remains when the steps add no more goes to ``best_fit``.
+    A step runs the knapsack program at the prices, takes of the best configuration through
+    each length those within ``NEAR`` of the best price, and adds them up to each
+    length's number, waste or not. The price of a length then falls by exp(-rate * share
+    added). The sum of a round's steps, scaled so that no length is held too often, is
+    rounded down; the next round does the same with what is left.
     """
-    left = {ln: n for ln, n in counts.items() if n > 0}
-    plan: dict[tuple, int] = {}
-    if left.get(capacity):
-        plan[(capacity, 1),] = left.pop(capacity)
-    lengths = np.array(sorted(left), np.int64)
-    total = np.array([left[ln] for ln in lengths], np.int64)
-    rest, as_list = total.copy(), lengths.tolist()
-    for _ in range(steps if len(lengths) else 0):
+    as_list, plan, rest = lengths.tolist(), {}, total.copy()
+    log_price, bound = np.log(lengths), float((lengths * total).sum() / capacity)
+    while True:
+        x: dict[tuple, float] = {}
+        covered = np.zeros(len(lengths))
+        for t in range(steps):
+            if t == steps // 3:  # prices have settled; what was added before is left out
+                x, covered = {}, np.zeros(len(lengths))
+            log_price -= log_price.max(initial=-np.inf, where=rest > 0)
+            price = np.where(rest > 0, np.exp(np.maximum(log_price, -40)), 0.0)
+            best, taken = knapsack(lengths, price, capacity)
+            # Prices over the best configuration's price are feasible for the dual program.
+            if not plan:
+                bound = max(bound, float((total * price).sum() / best[capacity]))
+            near = (rest > 0) & (best[capacity - lengths] + price >= (1 - NEAR) * best[capacity])
+            open_, taken = rest.astype(float), taken.tolist()
+            for j in np.flatnonzero(near)[::-1].tolist():
+                config = column(j, as_list, taken, capacity)[0]
+                m = min(open_[i] / k for i, k in config.items())
+                if m > 0:
+                    key = tuple(sorted(config.items()))
+                    x[key] = x.get(key, 0.0) + m
+                    for i, k in config.items():
+                        open_[i] = max(open_[i] - k * m, 0.0)
+            share = np.where(rest > 0, 1 - open_ / np.maximum(rest, 1), 0.0)
+            covered += share
+            log_price -= RATE / (1 + t) ** 0.5 * share
+        most, took = covered.max(initial=0.0), False
+        for key, v in x.items():
+            if (m := int(v / most + 1e-9)) > 0:
+                m = min([m, *(int(rest[i]) // k for i, k in key)])
+            if m > 0:
+                plan[key], took = plan.get(key, 0) + m, True
+                for i, k in key:
+                    rest[i] -= k * m
+        if not took:
+            price = np.exp(np.maximum(log_price, -40))
+            return plan, rest, price, bound
+
+
+def whole_steps(lengths, total, rest, base, capacity, steps, part, small):
+    """(configurations, what is left) from which best fit needs the fewest sequences.
+
+    Each step prices the lengths (``base`` times a weight that falls with the share
+    already covered) and adds the best configuration through each length by
+    ``part`` of what its scarcest length has left, at least one. Configurations
+    without waste come first; when they add little, those within a share of the best
+    price that doubles each time, until it spans all.
+    """
+    as_list, plan, rest = lengths.tolist(), {}, rest.copy()
+    kept, slack, n = None, 0.0, 0
+
+    def weigh():
+        nonlocal kept
+        tail = best_fit({ln: int(r) for ln, r in zip(as_list, rest) if r}, capacity)
+        used = n + sum(m for _, m in tail)
+        if kept is None or used < kept[0]:
+            kept = used, dict(plan), tail
+
+    weigh()
+    for _ in range(steps):
         if rest.sum() <= small:
             break
         weight = np.where(rest > 0, (rest / total) ** 0.5, 0.0)
-        price = lengths * (1 + 0.1 * lengths / capacity) * weight
-        taken = knapsack(lengths, price, capacity)[1].tolist()
-        added = 0
+        price = base * weight
+        best, taken = knapsack(lengths, price, capacity)
+        value = best[capacity - lengths] + price
+        taken, added = taken.tolist(), 0
         for j in range(len(as_list) - 1, -1, -1):
             if rest[j] == 0:
                 continue
             config, waste = column(j, as_list, taken, capacity)
-            if waste:
+            if waste and (not slack or value[j] < (1 - slack) * best[capacity]):
                 continue
             m = min(rest[i] // k for i, k in config.items())
             m = int(m if m <= 1 else max(1, m * part))
             if m > 0:
-                key = tuple(sorted((as_list[i], k) for i, k in config.items()))
+                key = tuple(sorted(config.items()))
                 plan[key] = plan.get(key, 0) + m
+                n += m
                 for i, k in config.items():
                     rest[i] -= k * m
                     added += k * m
         if added <= 0.002 * rest.sum():
-            break
-    left = {ln: int(n) for ln, n in zip(as_list, rest) if n}
-    return [(dict(c), m) for c, m in plan.items()] + best_fit(left, capacity)
+            weigh()
+            if slack >= 1:
+                break
+            slack = 2 * slack or 0.001
+    weigh()
+    return kept
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 200, part: float = 0.3,
+          small: int = 0) -> list[tuple[dict[int, int], int]]:
+    """Configurations {length: count} with multiplicities that hold every piece once.
+
+    Two ways at every size, and the one with fewer sequences counts: whole steps from the
+    start, priced by length (many lengths with few pieces each, where a fractional
+    solution has no whole part), and ``fractional`` first, whose rounding remainder the
+    whole steps take at its prices. The second is left out if the first meets the
+    volume bound. Whole steps end at ``small`` pieces; ``best_fit`` places what they leave.
+    """
+    left = {ln: n for ln, n in counts.items() if n > 0}
+    plan: list[tuple[dict[int, int], int]] = []
+    if left.get(capacity):
+        plan.append(({capacity: 1}, left.pop(capacity)))
+    if not left:
+        return plan
+    lengths = np.array(sorted(left), np.int64)
+    total = np.array([left[ln] for ln in lengths], np.int64)
+    as_list = lengths.tolist()
+    # Long lengths, which are hard to place late, cost a little more.
+    by_length = lengths * (1 + 0.1 * lengths / capacity)
+    used, own, tail = whole_steps(lengths, total, total, by_length, capacity, steps, part, small)
+    if used > MET * (lengths * total).sum() / capacity + 1:
+        first, rest, price, _ = fractional(lengths, total, capacity, ROUND)
+        more, second, end = whole_steps(lengths, np.maximum(rest, 1), rest, price, capacity, steps, part, small)
+        if more + sum(first.values()) < used:
+            own, tail = second, end
+            for key, m in first.items():
+                own[key] = own.get(key, 0) + m
+    return plan + [({as_list[i]: k for i, k in c}, m) for c, m in own.items()] + tail
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
