@@ -184,3 +184,12 @@ def test_removal_keeps_whole_characters_and_columns(spark, make_docs):
     assert got[3].kept == "" and got[4].kept == "plain" and got[4].row.extra == 7
     assert X.remove_repeats(make_docs([])).count() == 0
     assert X.remove_repeats(df.select("doc_id", "text")).count() == 4
+
+
+def test_rows_of_one_id_with_equally_long_texts_keep_their_own_runs(spark, make_docs):
+    r = random.Random(8)
+    shared, own, other = ("".join(r.choice("abcdefgh") for _ in range(80)) for _ in range(3))
+    docs = [(1, shared), (5, shared + own), (5, other + shared), (5, own + other)]
+    got = sorted(tuple(x) for x in X.repeat_digests(make_docs(docs)).collect())
+    digest = [hashlib.sha256(t.encode()).hexdigest() for t in (shared, own, other, own + other)]
+    assert got == sorted([(1, 80, 0, 0, digest[0]), (5, 160, 80, 1, digest[1]), (5, 160, 80, 1, digest[2]), (5, 160, 0, 0, digest[3])])

@@ -11,7 +11,7 @@ row. The sparse suffix array holds the suffixes that start at anchors, each
 with the few bytes before it that its strings need.
 
 Documents are dealt into chunks of about ``CHUNK_BYTES`` by a hash of id and
-length; all steps that need texts read them from that one exchange.
+text; all steps that need texts read them from that one exchange.
 
 1. Only grams that occur in two documents can matter. Each chunk sends 32 bits of
    each of its grams' hashes to the place that the rest of the hash names and
@@ -30,8 +30,8 @@ length; all steps that need texts read them from that one exchange.
    across the buckets' boundaries in a second round.
 
 Rows with a null id are left whole and are no source; null texts are empty; rows
-that share id and length are taken for one document; an empty table gives
-an empty result.
+of one id with different texts (told apart by a 64-bit hash, the text's key) have runs
+of their own and are no source for each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,24 +127,24 @@ def gram_hash(buf: bytes, at: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """Suffixes at anchors: id and length of the document, offset of the first
+    """Suffixes at anchors: id and text's key of the document, offset of the first
     string, number of strings, anchor's distance from the first, and their bytes."""
 
-    FIELDS = (("doc", "<i8"), ("size", "<i8"), ("pos", "<i8"), ("m", "<u1"), ("g", "<u1"))
+    FIELDS = (("doc", "<i8"), ("key", "<i8"), ("pos", "<i8"), ("m", "<u1"), ("g", "<u1"))
 
-    def __init__(self, doc, size, pos, m, g, mat):
-        self.doc, self.size, self.pos, self.m, self.g, self.mat = doc, size, pos, m, g, mat
+    def __init__(self, doc, key, pos, m, g, mat):
+        self.doc, self.key, self.pos, self.m, self.g, self.mat = doc, key, pos, m, g, mat
 
     def __len__(self):
         return len(self.doc)
 
     def take(self, idx) -> "Suffixes":
-        return Suffixes(self.doc[idx], self.size[idx], self.pos[idx], self.m[idx], self.g[idx], self.mat[idx])
+        return Suffixes(self.doc[idx], self.key[idx], self.pos[idx], self.m[idx], self.g[idx], self.mat[idx])
 
     @staticmethod
     def join(parts: list["Suffixes"]) -> "Suffixes":
         return Suffixes(*[np.concatenate([getattr(p, k) for p in parts])
-                          for k in ("doc", "size", "pos", "m", "g", "mat")])
+                          for k in ("doc", "key", "pos", "m", "g", "mat")])
 
     def pack(self, zip_) -> bytes:
         used = np.arange(ROW) < (self.m.astype(np.int64) + RUN - 1)[:, None]
@@ -155,14 +155,14 @@ class Suffixes:
     def slim(self) -> "Suffixes":
         """With the used bytes only, one suffix after the other, as ``mat``."""
         used = np.arange(ROW) < (self.m.astype(np.int64) + RUN - 1)[:, None]
-        return Suffixes(self.doc, self.size, self.pos, self.m, self.g, self.mat[used])
+        return Suffixes(self.doc, self.key, self.pos, self.m, self.g, self.mat[used])
 
     def part(self, a: int, b: int, at: np.ndarray) -> "Suffixes":
         """Suffixes a..b of slim ones whose bytes start at ``at``."""
         m = self.m[a:b]
         mat = np.zeros((b - a, ROW), np.uint8)
         mat[np.arange(ROW) < (m.astype(np.int64) + RUN - 1)[:, None]] = self.mat[at[a]:at[b]]
-        return Suffixes(self.doc[a:b], self.size[a:b], self.pos[a:b], m, self.g[a:b], mat)
+        return Suffixes(self.doc[a:b], self.key[a:b], self.pos[a:b], m, self.g[a:b], mat)
 
     @staticmethod
     def unpack(blob: bytes, unzip) -> "Suffixes":
@@ -178,14 +178,14 @@ class Suffixes:
 
 
 class Segment:
-    """Parts of texts looked at together: (id, text's length, part's offset, part)."""
+    """Parts of texts looked at together: (id, text's key, part's offset, part)."""
 
     def __init__(self, parts: list[tuple[int, int, int, bytes]]):
         self.buf = b"".join(x[3] for x in parts)
         size = np.array([len(x[3]) for x in parts], np.int64)
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
-        self.ids, self.sizes, self.offsets = (np.array([x[i] for x in parts], np.int64) for i in range(3))
+        self.ids, self.keys, self.offsets = (np.array([x[i] for x in parts], np.int64) for i in range(3))
         self.q, self.at = anchors(self.buf, self.ends)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -206,16 +206,17 @@ class Segment:
         mat = np.lib.stride_tricks.sliding_window_view(raw, ROW)[first]
         mat[np.arange(ROW) >= (m + RUN - 1)[:, None]] = 0
         k = np.searchsorted(self.ends, first, side="right")
-        return Suffixes(self.ids[k], self.sizes[k], first - self.starts[k] + self.offsets[k],
+        return Suffixes(self.ids[k], self.keys[k], first - self.starts[k] + self.offsets[k],
                         m.astype(np.uint8), g.astype(np.uint8), mat)
 
 
 def segments_of(docs):
-    """About SEGMENT bytes of text at a time; long texts in parts that overlap by a string."""
+    """About SEGMENT bytes of text at a time; long texts in parts that overlap by a string.
+    ``docs``: (id, text) or (id, text, text's key)."""
     some, held = [], 0
-    for doc, text in docs:
+    for doc, text, *key in docs:
         for at in range(0, max(len(text) - RUN + 1, 0) if doc is not None else 0, SEGMENT):
-            some.append((doc, len(text), at, text[at:at + SEGMENT + RUN - 1]))
+            some.append((doc, key[0] if key else 0, at, text[at:at + SEGMENT + RUN - 1]))
             held += len(some[-1][3])
             if held >= SEGMENT:
                 yield Segment(some)
@@ -281,7 +282,7 @@ def suffix_order(words: list[np.ndarray]) -> np.ndarray:
 
 
 def compare(s: Suffixes):
-    """Repeated strings: (document, length, first byte, byte after the last)
+    """Repeated strings: (document, text's key, first byte, byte after the last)
     of runs of strings that also start in a document of a smaller id, and a
     mask of the suffixes with a string for which no smaller id is here."""
     n = len(s)
@@ -358,7 +359,7 @@ def compare(s: Suffixes):
             start = np.flatnonzero(np.append(True, (a[1:] != a[:-1] + 1) | (rec[a[1:]] != rec[a[:-1]])))
             stop = np.append(start[1:], len(a)) - 1
             i = rec[a[start]]
-            for x, v in zip(out, (s.doc[i], s.size[i], s.pos[i] + off[a[start]], s.pos[i] + off[a[stop]] + RUN)):
+            for x, v in zip(out, (s.doc[i], s.key[i], s.pos[i] + off[a[start]], s.pos[i] + off[a[stop]] + RUN)):
                 x.append(v)
     return ([np.concatenate(x) for x in out] if out[0] else empty), leads
 
@@ -382,22 +383,22 @@ def fold(s: Suffixes):
     i = by[gone]
     keep = np.ones(n, bool)
     keep[i] = False
-    return s.take(np.flatnonzero(keep)), [s.doc[i], s.size[i], s.pos[i], s.pos[i] + s.m[i] + RUN - 1]
+    return s.take(np.flatnonzero(keep)), [s.doc[i], s.key[i], s.pos[i], s.pos[i] + s.m[i] + RUN - 1]
 
 
 # -------------------------------------------------------------- Spark tasks
 # One row is a packed set of suffixes for a bucket, or a removed run (bucket -1).
-PACKED = "bucket long, dealt boolean, blob binary, doc_id long, size long, span long"
+PACKED = "bucket long, dealt boolean, blob binary, doc_id long, text_key long, span long"
 _SCHEMA = pa.schema([("bucket", pa.int64()), ("dealt", pa.bool_()), ("blob", pa.binary()),
-                     ("doc_id", pa.int64()), ("size", pa.int64()), ("span", pa.int64())])
+                     ("doc_id", pa.int64()), ("text_key", pa.int64()), ("span", pa.int64())])
 
 
 def _run_rows(runs) -> pa.RecordBatch:
-    doc, size, start, stop = runs
+    doc, key, start, stop = runs
     n = len(doc)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, -1)), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.binary()),
-         pa.array(doc.astype(np.int64)), pa.array(size.astype(np.int64)),
+         pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int64)),
          pa.array((start.astype(np.int64) << 32) | stop.astype(np.int64))], schema=_SCHEMA)
 
 
@@ -409,13 +410,13 @@ def _blob_rows(rows) -> pa.RecordBatch:
 
 
 def _texts(table: pa.Table):
-    """(id, bytes) of a chunk's documents, in an order that their content fixes."""
-    ids, texts = table.column("_id"), table.column("_bytes")
+    """(id, bytes, text's key) of a chunk's documents, in an order that their content fixes."""
+    ids, texts, keys = table.column("_id"), table.column("_bytes"), table.column("_key")
     rank = pc.sort_indices(pa.table({"i": ids, "n": pc.binary_length(texts), "t": texts}),
                            sort_keys=[("i", "ascending"), ("n", "ascending"), ("t", "ascending")]).to_numpy()
     for at in range(0, len(rank), 256):
         some = pa.array(rank[at:at + 256])
-        yield from zip(ids.take(some).to_pylist(), texts.take(some).to_pylist())
+        yield from zip(ids.take(some).to_pylist(), texts.take(some).to_pylist(), keys.take(some).to_pylist())
 
 
 class Grams:
@@ -488,7 +489,7 @@ def _packer(splitters: np.ndarray, places: int):
             n = len(distinct(segment.at))
             s = segment.suffixes(shared[at:at + n])
             at += n
-            bucket, dealt = bucket_of(leading(s), splitters, s.doc)
+            bucket, dealt = bucket_of(leading(s), splitters, s.doc ^ (s.key >> 1))
             key = bucket * 2 + dealt
             by = np.argsort(key, kind="stable")
             key = key[by]
@@ -544,7 +545,8 @@ def choose_splitters(source: DataFrame, n: int, buckets: int) -> np.ndarray:
     rate = min(1.0, max(SAMPLE_DOCS, 4 * buckets) / max(n, 1))
     if buckets == 1:
         return np.zeros((0, 2), np.uint64)
-    rows = source.where(hash_share(F.col("_id"), "splitters") < rate).select("_id", "_bytes") \
+    # By id and text: an id with many rows passes no more of them than others do.
+    rows = source.where(hash_share(F.xxhash64("_id", "_key"), "splitters") < rate).select("_id", "_bytes") \
         .mapInArrow(_sample_keys, "keys binary").collect()
     keys = sorted(r[0][i:i + GRAM] for r in rows for i in range(0, len(r[0]), GRAM))
     if not keys:
@@ -554,9 +556,10 @@ def choose_splitters(source: DataFrame, n: int, buckets: int) -> np.ndarray:
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _bytes, and the id with the other columns as _row if there are others) of ``docs``."""
+    """(_id, _bytes, _key of the text, and the id with the other columns as _row if there are others) of ``docs``."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).cast("binary").alias("_bytes"), *(
+    return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).cast("binary").alias("_bytes"),
+                       F.xxhash64(text_of(text_col)).alias("_key"), *(
         [F.struct(F.col(id_col), *others).alias("_row")] if others else []))
 
 
@@ -565,15 +568,15 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tu
     base = _plain(docs, id_col, text_col)
     n, size = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_bytes")), F.lit(0))).first()
     chunks = max(1, -(-size // chunk_bytes), -(-n // ROWS_A_CHUNK))
-    return base.withColumn("_chunk", _chunk_of("_id", F.octet_length("_bytes"), chunks)), n, size, chunks
+    return base.withColumn("_chunk", _chunk_of("_id", "_key", chunks)), n, size, chunks
 
 
-def _chunk_of(id_col: str, size, chunks: int):
-    return F.pmod(F.xxhash64(F.col(id_col), size.cast("long")), F.lit(chunks)).cast("long")
+def _chunk_of(id_col: str, key_col: str, chunks: int):
+    return F.pmod(F.xxhash64(id_col, key_col), F.lit(chunks)).cast("long")
 
 
 def repeated_runs(base: DataFrame, n: int, size: int, chunks: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(_chunk, doc_id, size, span): removed runs (first byte << 32 | byte after
+    """(_chunk, doc_id, text_key, span): removed runs (first byte << 32 | byte after
     the last) of ``chunked`` documents, not merged."""
     prepare(base.sparkSession)
     buckets = max(1, -(-size // bucket_bytes))
@@ -583,7 +586,7 @@ def repeated_runs(base: DataFrame, n: int, size: int, chunks: int, bucket_bytes:
     packed = base.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_packer(splitters, buckets), PACKED)
     # Runs that a chunk has already settled travel as rows of their own groups.
     key = F.when(F.col("bucket") >= 0, F.col("bucket") * 2 + F.col("dealt").cast("long")) \
-        .otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+        .otherwise(-1 - F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)))
     found = packed.withColumn("key", key).groupBy("key").applyInArrow(_bucket_or_runs(False), PACKED)
     if len(splitters) > 1 and bool((splitters[1:] == splitters[:-1]).all(axis=1).any()):
         found = stored(found)
@@ -592,7 +595,7 @@ def repeated_runs(base: DataFrame, n: int, size: int, chunks: int, bucket_bytes:
         again = again.withColumn("key", F.col("home")).drop("slot", "home")
         found = found.unionByName(again.groupBy("key").applyInArrow(_bucket_or_runs(True), PACKED))
     return found.where(F.col("bucket") < 0).select(
-        _chunk_of("doc_id", F.col("size"), chunks).alias("_chunk"), "doc_id", "size", "span")
+        _chunk_of("doc_id", "text_key", chunks).alias("_chunk"), "doc_id", "text_key", "span")
 
 
 def _bucket_or_runs(last: bool):
@@ -657,17 +660,17 @@ def _finisher(write):
     makes the result."""
 
     def run(table: pa.Table, runs: pa.Table) -> pa.Table:
-        doc, size, span = (runs.column(c).to_numpy() for c in ("doc_id", "size", "span"))
-        by = np.lexsort((span, size, doc))
-        doc, size, span = doc[by], size[by], span[by]
-        cut = np.flatnonzero(np.append(len(doc) > 0, (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])))
-        own = {(int(doc[a]), int(size[a])): (a, b) for a, b in zip(cut, [*cut[1:], len(doc)])}
+        doc, key, span = (runs.column(c).to_numpy() for c in ("doc_id", "text_key", "span"))
+        by = np.lexsort((span, key, doc))
+        doc, key, span = doc[by], key[by], span[by]
+        cut = np.flatnonzero(np.append(len(doc) > 0, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
+        own = {(int(doc[a]), int(key[a])): (a, b) for a, b in zip(cut, [*cut[1:], len(doc)])}
 
         def texts():
             for at in range(0, table.num_rows, 256):
                 some = table.slice(at, 256)
-                for i, t in zip(some.column("_id").to_pylist(), some.column("_bytes").to_pylist()):
-                    a, b = own.get((i, len(t)), (0, 0))
+                for i, t, k in zip(*(some.column(c).to_pylist() for c in ("_id", "_bytes", "_key"))):
+                    a, b = own.get((i, k), (0, 0))
                     yield t, merge(span[a:b].tolist())
         return write(table, texts())
     return run
