@@ -193,3 +193,31 @@ def test_rows_of_one_id_with_equally_long_texts_keep_their_own_runs(spark, make_
     got = sorted(tuple(x) for x in X.repeat_digests(make_docs(docs)).collect())
     digest = [hashlib.sha256(t.encode()).hexdigest() for t in (shared, own, other, own + other)]
     assert got == sorted([(1, 80, 0, 0, digest[0]), (5, 160, 80, 1, digest[1]), (5, 160, 80, 1, digest[2]), (5, 160, 0, 0, digest[3])])
+
+
+def test_strings_of_a_dealt_gram_are_spread_in_the_second_round():
+    import pyarrow as pa
+    import zstandard
+
+    r = random.Random(6)
+    docs = [(i, ("".join(r.choice("ab") for _ in range(50)) + "-" * 16 + "".join(r.choice("ab") for _ in range(50))).encode())
+            for i in range(60)]
+    docs += [(100 + i, t) for i, (_, t) in enumerate(docs)]
+    s = X.suffixes_of(docs)
+    spans, again = {}, {}
+
+    def add(table):
+        for x in table.to_pylist():
+            if x["bucket"] < 0:
+                spans.setdefault(x["doc_id"], []).append(x["span"])
+            else:
+                again.setdefault(x["bucket"], []).append((x["bucket"], True, x["blob"]))
+    for slot in range(3):  # copies lie in slots of their own
+        part = s.take(np.flatnonzero((s.doc // 7) % 3 == slot))
+        add(X._sorter(16)(pa.Table.from_batches([X._blob_rows([(9, True, part.pack(zstandard.ZstdCompressor()))])])))
+    places = dict(again)
+    assert len(places) == 16
+    for rows in places.values():
+        add(X._sorter(0)(pa.Table.from_batches([X._blob_rows(rows)])))
+    want = brute(docs)
+    assert {d: sum(b - a for a, b in X.merge(spans.get(d, ()))) for d, _ in docs} == {d: w[1] for d, w in want.items()}

@@ -26,8 +26,10 @@ text; all steps that need texts read them from that one exchange.
    strings can be repeated at all. These are compared exactly.
 5. Equal strings share their anchor's gram, so they meet in one bucket. A gram so
    frequent that it fills several buckets is dealt out among them; each then
-   passes on the smallest-id suffixes that are left, and these are compared
-   across the buckets' boundaries in a second round.
+   passes on the single strings it found no smaller id for, by a hash of the
+   string's bytes, and equal ones from several buckets are compared in a second
+   round. No place of it grows with the gram: of a string that many documents
+   share each bucket has settled all but those of its smallest id.
 
 Rows with a null id are left whole and are no source; null texts are empty; rows
 of one id with different texts (told apart by a 64-bit hash, the text's key) have runs
@@ -60,6 +62,7 @@ WINDOWS = 1 << 18  # strings compared together
 SAMPLE_DOCS = 2000
 KEYS_A_DOC = 64
 ROWS_A_CHUNK = 50_000
+PLACES = 4  # places of the second round for each bucket of the first
 
 _U = np.uint64
 _C = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -285,11 +288,17 @@ def compare(s: Suffixes):
     """Repeated strings: (document, text's key, first byte, byte after the last)
     of runs of strings that also start in a document of a smaller id, and a
     mask of the suffixes with a string for which no smaller id is here."""
+    runs, met = matches(s)
+    return runs, met.sum(axis=1) < s.m
+
+
+def matches(s: Suffixes):
+    """The runs of ``compare``; for each suffix which of its strings are in them."""
     n = len(s)
-    leads = np.zeros(n, bool)
+    met = np.zeros((n, SPREAD + 1), bool)
     empty = [np.zeros(0, np.int64)] * 4
     if not n:
-        return empty, leads
+        return empty, met
     m, g = s.m.astype(np.int64), s.g.astype(np.int64)
     reach = m + RUN - 1 - g  # bytes known from the anchor on
     w = _words(np.append(s.mat.reshape(-1), np.zeros(64, np.uint8)))
@@ -318,7 +327,6 @@ def compare(s: Suffixes):
     best[full] = np.minimum(np.maximum(np.append(lcp, 0), np.append(0, lcp)), reach[full])
     # Strings of suffix i start 0 .. m-1 bytes after its first; string o needs RUN - (g - o) bytes after the anchor.
     count = np.clip(np.minimum(m, best - RUN + g + 1), 0, None)
-    leads |= count < m  # no other suffix here has these strings
     cuts = np.flatnonzero(np.append(True, lcp < GRAM))  # between different grams
     running = np.cumsum(count[full])
     out = [[], [], [], []]
@@ -353,7 +361,7 @@ def compare(s: Suffixes):
             gone &= x[by] == x[head]
         hit = np.zeros(len(rec), bool)
         hit[by] = gone
-        leads[rec[~hit]] = True
+        met[rec[hit], off[hit]] = True
         a = np.flatnonzero(hit)
         if len(a):
             start = np.flatnonzero(np.append(True, (a[1:] != a[:-1] + 1) | (rec[a[1:]] != rec[a[:-1]])))
@@ -361,7 +369,28 @@ def compare(s: Suffixes):
             i = rec[a[start]]
             for x, v in zip(out, (s.doc[i], s.key[i], s.pos[i] + off[a[start]], s.pos[i] + off[a[stop]] + RUN)):
                 x.append(v)
-    return ([np.concatenate(x) for x in out] if out[0] else empty), leads
+    return ([np.concatenate(x) for x in out] if out[0] else empty), met
+
+
+def singles(s: Suffixes, met: np.ndarray, places: int):
+    """Strings that are not in ``met`` as suffixes of one string each: (place by
+    a hash of the string, suffixes), from about WINDOWS strings at a time."""
+    rec, off = np.nonzero(~met & (np.arange(SPREAD + 1) < s.m[:, None]))
+    strings = np.lib.stride_tricks.sliding_window_view(s.mat, RUN, axis=1)
+    for at in range(0, len(rec), WINDOWS):
+        i, o = rec[at:at + WINDOWS], off[at:at + WINDOWS]
+        mat = np.zeros((len(i), ROW), np.uint8)
+        mat[:, :RUN] = strings[i, o]
+        h = np.zeros(len(i), _U)
+        for x, k in zip(mat.view("<u8").T, _C[4:]):
+            h ^= (x * k) >> _U(31)
+            h += x * k
+        place = (_mix(h) % _U(places)).astype(np.int64)
+        by = np.argsort(place, kind="stable")
+        one = Suffixes(s.doc[i], s.key[i], s.pos[i] + o, np.ones(len(i), np.uint8), (s.g[i] - o).astype(np.uint8), mat)
+        first = np.flatnonzero(np.append(True, place[by][1:] != place[by][:-1]))
+        for a, b in zip(first, [*first[1:], len(by)]):
+            yield int(place[by[a]]), one.take(by[a:b])
 
 
 def fold(s: Suffixes):
@@ -509,21 +538,21 @@ def _packer(splitters: np.ndarray, places: int):
     return run
 
 
-def _sorter(last: bool):
-    """Sorts and compares a bucket. ``last``: nothing is passed on."""
+def _sorter(places: int):
+    """Sorts and compares a bucket, and passes on the strings of dealt grams
+    to ``places`` (0: nothing is passed on)."""
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
         unzip, zip_ = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        bucket = table.column("bucket")[0].as_py()
         blobs = table.column("blob")
         s = Suffixes.join([Suffixes.unpack(b.as_py(), unzip) for b in blobs])
         dealt = bool(table.column("dealt")[0].as_py())
-        runs, leads = compare(s)
+        runs, met = matches(s)
         out = [_run_rows(runs)]
-        if dealt and not last:
-            out.append(_blob_rows([(bucket, True, s.take(np.flatnonzero(leads)).pack(zip_))]))
+        if dealt and places:
+            out.append(_blob_rows([(place, True, x.pack(zip_)) for place, x in singles(s, met, places)]))
         return pa.Table.from_batches(out, schema=_SCHEMA)
     return run
 
@@ -587,19 +616,17 @@ def repeated_runs(base: DataFrame, n: int, size: int, chunks: int, bucket_bytes:
     # Runs that a chunk has already settled travel as rows of their own groups.
     key = F.when(F.col("bucket") >= 0, F.col("bucket") * 2 + F.col("dealt").cast("long")) \
         .otherwise(-1 - F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)))
-    found = packed.withColumn("key", key).groupBy("key").applyInArrow(_bucket_or_runs(False), PACKED)
-    if len(splitters) > 1 and bool((splitters[1:] == splitters[:-1]).all(axis=1).any()):
+    found = packed.withColumn("key", key).groupBy("key").applyInArrow(_bucket_or_runs(PLACES * buckets), PACKED)
+    if _first_slot(splitters):  # a gram is dealt out
         found = stored(found)
-        first = base.sparkSession.createDataFrame(_first_slot(splitters), "slot long, home long")
-        again = found.where(F.col("bucket") >= 0).join(F.broadcast(first), F.col("bucket") == F.col("slot"))
-        again = again.withColumn("key", F.col("home")).drop("slot", "home")
-        found = found.unionByName(again.groupBy("key").applyInArrow(_bucket_or_runs(True), PACKED))
+        again = found.where(F.col("bucket") >= 0).withColumn("key", F.col("bucket"))
+        found = found.unionByName(again.groupBy("key").applyInArrow(_bucket_or_runs(0), PACKED))
     return found.where(F.col("bucket") < 0).select(
         _chunk_of("doc_id", "text_key", chunks).alias("_chunk"), "doc_id", "text_key", "span")
 
 
-def _bucket_or_runs(last: bool):
-    sort = _sorter(last)
+def _bucket_or_runs(places: int):
+    sort = _sorter(places)
 
     def run(table: pa.Table) -> pa.Table:
         names = _SCHEMA.names
