@@ -120,6 +120,17 @@ def test_deep_paths_and_smoothing(spark):
     assert got[6].template.endswith("**") or "*" in got[6].template
 
 
+def test_branches_past_the_sixth_segment_are_told_apart(spark):
+    rows = [(i, f"http://h.example/a/b/c/d/e/f/{'spam' if i % 2 else 'news'}/x/{i}") for i in range(200)] \
+        + [(900, "http://h.example/a/b/c/d/e/f/lone/1/2/3")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "_page long, y int")
+    got = {g.page_id: g for g in U.judge(pages, labels, []).collect()}
+    assert len(got) == 201
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(200))
+    assert got[0].template != got[1].template
+
+
 def call(turn, cid, name="read", args='{"text":"x","words":1,"lines":2}', after=None, conv=1):
     return (conv, turn, cid, name, args, after)
 

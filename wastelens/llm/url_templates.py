@@ -15,8 +15,10 @@ below a host and the template so far, a segment becomes ``*`` if
   standard errors of the parent's share, and its pages go on as deep as the parent's do on average
   (within ``DEPTH_GAP`` segments).
 
-So branches that behave alike merge, and those that stand out keep their name. Segments past
-``LEVELS`` are one ``**``. A template is rejected if its smoothed share of distrusted labels is at least
+So branches that behave alike merge, and those that stand out keep their name. Paths are
+followed to their end: a pattern leaves the level loop when it is the only one left below its template,
+as then nothing is to be told apart. Past ``NAMED`` segments an only child is written ``*`` too, which merges
+nothing. A template is rejected if its smoothed share of distrusted labels is at least
 ``REJECT``: ``PRIOR`` pseudo-labels pull it to the host's share, which is pulled to the overall one likewise.
 
 All of it is aggregates and joins on (host, template) tables: a host with a third of all pages is
@@ -37,7 +39,7 @@ MANY = 20
 RARE = 0.02
 Z = 2.0
 DEPTH_GAP = 0.5
-LEVELS = 6
+NAMED = 6
 PRIOR = 10.0
 REJECT = 0.5
 KEY = ["host", "pattern"]
@@ -64,10 +66,9 @@ def pattern_of(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "#")
 
 
-def _segments(pattern: Column) -> Column:
-    """Up to LEVELS segments; what follows them is one more, ``**``."""
-    all_of = F.filter(F.split(pattern, "/"), lambda s: s != "")
-    return F.concat(F.slice(all_of, 1, LEVELS), F.when(F.size(all_of) > LEVELS, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+def _shown(segment: Column, level: Column) -> Column:
+    """An only child's segment (from 0) as its template shows it."""
+    return F.when(level < NAMED, segment).otherwise("*")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -75,28 +76,44 @@ def templates(pages: DataFrame) -> DataFrame:
     pattern; y 1 for a distrusted page, 0 for a trusted one, null without a label."""
     rows = stored(pages.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"), F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("bad"))
-        .withColumn("segments", _segments(F.col("pattern"))).withColumn("template", F.lit("")))
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(deepest):
+        .withColumn("segments", F.filter(F.split("pattern", "/"), lambda s: s != "")).withColumn("template", F.lit("")))
+    level, done = 0, []
+    while True:
+        done.append(rows.where(F.size("segments") <= level))
+        rows = rows.where(F.size("segments") > level)
+        if rows.isEmpty():
+            break
         here = rows.withColumn("segment", F.get("segments", F.lit(level))) \
             .withColumn("more", (F.size("segments") - level) * F.col("n"))
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad", "more")]
-        child = here.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(*sums)
+        child = here.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("patterns"), *sums)
         parent = child.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("children"), *[F.sum(c).alias("p_" + c) for c in ("n", "labelled", "bad", "more")])
+            F.count(F.lit(1)).alias("children"), F.sum("patterns").alias("p_patterns"),
+            *[F.sum(c).alias("p_" + c) for c in ("n", "labelled", "bad", "more")])
         rate = F.col("p_bad") / F.greatest(F.col("p_labelled"), F.lit(1))
         own = F.col("bad") / F.greatest(F.col("labelled"), F.lit(1))
         error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("labelled"), F.lit(1)))
         variable = (F.col("children") > MANY) & (F.col("n") < RARE * F.col("p_n"))
         alike = (F.col("children") > 1) & ((F.col("labelled") == 0) | (F.abs(own - rate) <= Z * error)) \
             & (F.abs(F.col("more") / F.col("n") - F.col("p_more") / F.col("p_n")) <= DEPTH_GAP)
+        only = _shown(F.col("segment"), F.lit(level))
         named = child.join(parent, ["host", "template"]).select(
-            "host", "template", "segment", F.when(variable | alike, "*").otherwise(F.col("segment")).alias("shown"))
-        rows = stored(here.drop("more").join(named, ["host", "template", "segment"], "left").withColumn(
-            "template", F.when(F.col("shown").isNull(), F.col("template")).otherwise(
-                F.concat("template", F.lit("/"), "shown"))).drop("segment", "shown"))
-    return rows.select(*KEY, F.concat("template", F.when(F.col("pattern").endswith("/"), "/").otherwise("")).alias("template"),
-                       "n", "labelled", "bad")
+            "host", "template", "segment", (F.col("p_patterns") == 1).alias("alone"),
+            F.when(variable | alike, "*").when(F.col("children") == 1, only).otherwise(F.col("segment")).alias("shown"))
+        # What follows in a pattern that is alone has only children, too.
+        tail = F.transform(F.slice("segments", level + 2, F.size("segments")),
+                           lambda s, i: F.concat(F.lit("/"), _shown(s, i + level + 1)))
+        rows = stored(here.drop("more").join(named, ["host", "template", "segment"]).withColumn(
+            "template", F.concat("template", F.lit("/"), "shown", F.when(F.col("alone"), F.array_join(tail, "")).otherwise("")))
+            .drop("segment", "shown"))
+        done.append(rows.where("alone").drop("alone"))
+        rows = rows.where("not alone").drop("alone")
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(*KEY, F.concat("template", F.when(F.col("pattern").endswith("/"), "/").otherwise("")).alias("template"),
+                      "n", "labelled", "bad")
 
 
 def purity(rows: DataFrame) -> DataFrame:
