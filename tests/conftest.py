@@ -7,7 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from wastelens.session import get_session  # noqa: E402
 
-SF001 = "/root/testdata/sf0.001"
+
+@pytest.fixture(scope="session")
+def sf001():
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -7,8 +7,6 @@ from wastelens.operators import duplicates as DU
 from wastelens.operators.ordered import global_lag, lag_name
 from wastelens.sources.tables import ROW_KEY, flag_dense_view
 
-from conftest import SF001
-
 
 def _f1(spark):
     rows = [(1, dt.datetime(2024, 1, 1), "ACME, Inc.", 10.00), (2, dt.datetime(2024, 1, 2), "acme inc", 10.001),
@@ -53,8 +51,8 @@ def test_flags_keep_rows_f11(spark):
     assert {r.legacy_copies for r in DU.flags_fanout(d, ["k"]).collect()} == {2}
 
 
-def test_global_lag_equals_window(spark):
-    d = flag_dense_view(spark, SF001)
+def test_global_lag_equals_window(spark, sf001):
+    d = flag_dense_view(spark, sf001)
     order = ["date", *ROW_KEY]
     g = global_lag(d, order, ["vendor", "date"], k=2, chunks=5)
     w = Window.orderBy(*order)

@@ -1,7 +1,5 @@
 import __spark_entry__ as E
 
-from conftest import SF001
-
 
 def test_entry_runs(spark):
     df = E.entry(spark)
@@ -15,6 +13,6 @@ def test_every_query_has_callable():
     assert len(q) >= 50
 
 
-def test_some_queries_run_at_sf0001(spark):
+def test_some_queries_run_at_sf0001(spark, sf001):
     for name in ["by_day", "report_week", "subscription_like", "stream_day_totals", "row_digest"]:
-        assert E.queries()[name](spark, SF001).count() >= 0
+        assert E.queries()[name](spark, sf001).count() >= 0

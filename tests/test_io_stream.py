@@ -12,19 +12,17 @@ from wastelens.sources import sinks as SK
 from wastelens.sources.tables import ROW_KEY, waste_view
 from wastelens.streaming import jobs as J
 
-from conftest import SF001
 
-
-def test_disjoint_exports_union_to_whole(spark):
-    w = waste_view(spark, SF001, ["timestamp_local", "total_cost"] + ROW_KEY)
+def test_disjoint_exports_union_to_whole(spark, sf001):
+    w = waste_view(spark, sf001, ["timestamp_local", "total_cost"] + ROW_KEY)
     a = SK.export_range(w, "1990-01-01", "1997-12-31")[0]
     b = SK.export_range(w, "1998-01-01", "2030-12-31")[0]
     assert a.count() + b.count() == w.count()
     assert a.join(b, ["timestamp_local", *ROW_KEY]).count() == 0
 
 
-def test_export_writes_only_when_rows(spark):
-    w = waste_view(spark, SF001, ["timestamp_local", "total_cost"] + ROW_KEY)
+def test_export_writes_only_when_rows(spark, sf001):
+    w = waste_view(spark, sf001, ["timestamp_local", "total_cost"] + ROW_KEY)
     d = tempfile.mkdtemp(prefix="wl-export-")
     _, path = SK.export_range(w, "1980-01-01", "1980-12-31", d + "/none")
     assert path is None and not os.path.exists(d + "/none")
@@ -32,8 +30,8 @@ def test_export_writes_only_when_rows(spark):
     assert path and spark.read.option("header", True).csv(path).count() == rows.count() > 0
 
 
-def test_round_trip_digests_verify(spark):
-    out = E.queries()["log_round_trip"](spark, SF001)
+def test_round_trip_digests_verify(spark, sf001):
+    out = E.queries()["log_round_trip"](spark, sf001)
     assert out.count() > 0 and out.where(~F.col("digest_ok")).count() == 0
 
 
@@ -48,9 +46,9 @@ def test_missing_files_get_defaults(spark):
     assert RD.load_master(spark, d + "/none").count() == 0
 
 
-def test_stream_equals_batch_on_closed_days(spark):
-    got = {r.day: (r.day_cost, r.entries) for r in E.queries()["stream_day_totals"](spark, SF001).collect()}
-    ev = spark.read.parquet(f"{SF001}/events.parquet")
+def test_stream_equals_batch_on_closed_days(spark, sf001):
+    got = {r.day: (r.day_cost, r.entries) for r in E.queries()["stream_day_totals"](spark, sf001).collect()}
+    ev = spark.read.parquet(f"{sf001}/events.parquet")
     mx = ev.agg(F.max("ts")).first()[0]
     closed = (ev.withColumn("day", F.to_date("ts"))
               .where(F.col("day") <= F.lit((mx - dt.timedelta(days=1)).date() - dt.timedelta(days=1)))
@@ -126,8 +124,8 @@ def test_parquet_errors_are_not_an_empty_log(spark):
     assert RD.load_master(spark, root + "/none", fmt="parquet").count() == 0
 
 
-def test_stream_chain_links_per_key(spark):
-    out = E.queries()["stream_chain"](spark, SF001)
+def test_stream_chain_links_per_key(spark, sf001):
+    out = E.queries()["stream_chain"](spark, sf001)
     per = out.groupBy("chain").agg(F.sum((F.col("prev_hash") == "").cast("int")).alias("g"),
                                    F.count("*").alias("n"))
     assert per.where("g != 1").count() == 0
