@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wastelens.llm.alignment import op12_alignment
 from wastelens.llm.decontaminate import op7_decontaminate
 from wastelens.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from wastelens.llm.packing import op6_packing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_tool_calls": op10_tool_calls,
     "op11_token_counts": op11_token_counts,
+    "op12_alignment": op12_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
