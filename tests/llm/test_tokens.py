@@ -117,7 +117,7 @@ def test_what_is_remembered_is_bounded_and_changes_nothing(monkeypatch, word_fil
     m = C.PairMerger()
     text = " ".join(f"word{k % 7}" for k in range(40))
     assert m.batch(pa.array([text, text]))[1].tolist() == [len(word_file.encode(text, add_special_tokens=False).ids)] * 2
-    assert len(m.counts) <= 3
+    assert len(m.words.new) <= 3 and len(m.words.old) <= 3 and len(m.pieces.new) <= 3
 
 
 def test_count_rows(spark, make_docs, word_file):
