@@ -32,6 +32,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from wastelens.session import ensure_checkpoint_dir
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k", "piece_bpe_32k"
 LANE = 64  # stretches of one place of the state vector
 AT_ONCE = 3 << 20  # bytes of texts aligned together; a longer text is alone
-REMEMBERED = 1 << 18  # stretches a process keeps
+REMEMBERED = 1 << 18  # stretches a process keeps, or twice as many
 LONG = 64  # bytes of a stretch that is kept
 COMMON = 1 << 18  # pairs that may be broadcast
 
@@ -76,28 +77,42 @@ class TwoTokenizers:
         self.parts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and sp.encode("\n")[:1] == [self.blank]
         self.size_a = np.array(list(map(len, self.bytes_a)), np.int64)
         self.size_b = np.array(list(map(len, self.bytes_b)), np.int64)
-        self.seen: dict[bytes, tuple[bytes, bytes, bool]] = {}
-
-    def encode(self, stretch: bytes) -> tuple[bytes, bytes, bool]:
-        """A's and B's ids as 32-bit numbers, and whether both spell the stretch."""
-        text = stretch.decode("utf-8", "replace")
-        a = self.a.encode_ordinary(text)
+        self.spelled_b = np.frombuffer(b"".join(self.bytes_b), np.uint8)
+        self.new: dict[bytes, tuple[bytes, bytes, bool]] = {}
+        self.old: dict[bytes, tuple[bytes, bytes, bool]] = {}
+
+    def encode(self, stretches: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
+        """A's and B's ids of each as 32-bit numbers, and whether both spell it."""
+        texts = [s.decode("utf-8", "replace") for s in stretches]
+        a = list(map(self.a.encode_ordinary, texts))
         # B puts a blank in front: it is the stretch's own, or none before a line feed.
-        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == stretch == b"".join(map(self.bytes_b.__getitem__, b))
-        return np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same
+        b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        b = [ids if t[0] == " " else ids[1:] for t, ids in zip(texts, b)]
+        flat, at = zip(*((np.fromiter(chain.from_iterable(x), np.int32), running([len(ids) for ids in x])) for x in (a, b)))
+        # What the pieces spell, beside the stretches. A's bytes are the text's by construction.
+        raw = np.frombuffer(b"".join(stretches), np.uint8)
+        own, spelled = running([len(s) for s in stretches]), ragged(self.spelled_b, running(self.size_b), flat[1].astype(np.int64))
+        ends_a, ends_b = running(self.size_a[flat[0]])[at[0]], running(self.size_b[flat[1]])[at[1]]
+        good = (np.diff(ends_a) == np.diff(own)) & (np.diff(ends_b) == np.diff(own))
+        if len(spelled) == len(raw) and good.all():
+            good &= np.diff(running(spelled != raw)[own]) == 0
+        else:
+            good &= [bool(g) and spelled[x:y].tobytes() == s for g, x, y, s in zip(good, ends_b, ends_b[1:], stretches)]
+        good &= [t.isascii() or t.encode() == s for t, s in zip(texts, stretches)]
+        ids = [x.tobytes() for x in flat]
+        at = [(4 * x).tolist() for x in at]
+        return [(ids[0][i:j], ids[1][k:m], g) for i, j, k, m, g in zip(at[0], at[0][1:], at[1], at[1][1:], good.tolist())]
 
     def ids(self, stretches: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
-        out, seen = [], self.seen
-        if len(seen) >= REMEMBERED:
-            seen.clear()
-        for s in stretches:
-            got = seen.get(s)
-            if got is None:
-                got = self.encode(s)
-                if len(s) <= LONG:
-                    seen[s] = got
-            out.append(got)
+        """:meth:`encode`, with the last ``REMEMBERED`` to twice as many kept."""
+        old, new = self.old, self.new
+        out = [new.get(s) or old.get(s) for s in stretches]
+        missing = [k for k, got in enumerate(out) if got is None]
+        for k, got in zip(missing, self.encode([stretches[k] for k in missing]) if missing else ()):
+            out[k] = got
+        if len(new) + len(out) > REMEMBERED:
+            self.old, self.new = new, {}
+        self.new.update((s, got) for s, got in zip(stretches, out) if len(s) <= LONG)
         return out
 
 
@@ -113,7 +128,9 @@ def stretch_starts(raw: np.ndarray, texts: np.ndarray, parts: bool = True) -> np
     before = ((b1 > 32) & (b1 < 127)) | ((b1 > 127) & (
         ((b2 > 0xC2) & (b2 < 0xE0)) | ((b3 > 0xE3) & (b3 < 0xF0) & (b2 > 127)) | ((b4 > 0xEF) & (b3 > 127) & (b2 > 127))))
     after = ((after > 32) & (after < 127)) | ((after > 0xC2) & (after < 0xE1)) | (after > 0xE3)
-    return np.union1d(texts, p[before & after])
+    starts = np.zeros(len(raw), bool)
+    starts[texts] = starts[p[before & after]] = True
+    return np.flatnonzero(starts)
 
 
 def running(x) -> np.ndarray:
@@ -177,8 +194,9 @@ class Aligner:
         found = self.two.ids(coded.dictionary.to_pylist())
         flat, first = [], []
         for side in (0, 1):
-            flat.append(np.frombuffer(b"".join(f[side] for f in found), np.int32))
-            first.append(running([len(f[side]) // 4 for f in found]))
+            parts = [f[side] for f in found]
+            flat.append(np.frombuffer(b"".join(parts), np.int32))
+            first.append(running(list(map(len, parts))) // 4)
         good = np.array([f[2] for f in found], bool)
         # Texts that both vocabularies spell; of the others no token is used.
         bounds = np.searchsorted(starts, begin)
@@ -209,7 +227,9 @@ class Aligner:
         for k, d in zip(doc.tolist(), self._digests(token, cut_a, cut_b, edge_a + edge_b)):
             digest[k] = d
         key = owner << 32 | (token[0][links_a].astype(np.int64) * self.ids_b + token[1][links_b])
-        key, times = np.unique(key, return_counts=True)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+        key, times = key[first], np.diff(np.append(first, len(key)))
         offsets = np.searchsorted(key >> 32, np.arange(n + 1))
         return out, digest, (offsets, (key & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32))
 
