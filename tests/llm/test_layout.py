@@ -136,6 +136,58 @@ def test_few_lengths_without_an_exact_fill(n):
     assert sum(m for _, m in plan) <= 1.5 * n + 3
 
 
+def fewest(sizes, capacity):
+    """Bins that the pieces need, by trying all ways."""
+    best = len(sizes)
+
+    def put(rest, bins):
+        nonlocal best
+        if len(bins) >= best and rest:
+            return
+        if not rest:
+            best = min(best, len(bins))
+            return
+        for k in {b: i for i, b in enumerate(bins)}.values():
+            if bins[k] >= rest[0]:
+                put(rest[1:], bins[:k] + [bins[k] - rest[0]] + bins[k + 1:])
+        put(rest[1:], bins + [capacity - rest[0]])
+    put(sorted(sizes, reverse=True), [])
+    return best
+
+
+def test_plans_of_tiny_cases_are_optimal_or_one_more():
+    r, more = random.Random(8), 0
+    for _ in range(150):
+        sizes = [r.randint(1, 12) for _ in range(r.randint(1, 9))]
+        counts = {n: sizes.count(n) for n in sizes}
+        used = sum(m for _, m in K.solve(counts, 12))
+        assert 0 <= used - fewest(sizes, 12) <= 1
+        more += used > fewest(sizes, 12)
+    assert more <= 3
+
+
+def test_the_configuration_program_decides_at_every_size(monkeypatch):
+    ran, real = [], K.fractional
+
+    def spy(*a):
+        ran.append(real(*a))
+        return ran[-1]
+    monkeypatch.setattr(K, "fractional", spy)
+    K.solve({700: 3, 600: 2})
+    r = random.Random(5)
+    counts = {n: 500 + r.randrange(500) for n in r.sample(range(1, 2048), 60)}
+    plan = K.solve(counts)
+    check_plan(counts, plan, 2048)
+    assert len(ran) == 2
+    chosen, bound = ran[1][0], ran[1][-1]
+    lengths = sorted(counts)
+    # Most sequences are as the program chose them, and no way needs far fewer.
+    assert sum(m for _, m in plan) <= 1.05 * max(bound, sum(n for ln, n in counts.items() if ln > 1024))
+    final = {tuple(sorted(c.items())): m for c, m in plan}
+    kept = sum(min(m, final.get(tuple((lengths[i], k) for i, k in key), 0)) for key, m in chosen.items())
+    assert kept > 0.5 * sum(m for _, m in plan)
+
+
 def test_best_configurations_keep_what_fits_beside_waste():
     lengths = np.array([451, 542, 1054])
     taken = K.knapsack(lengths, lengths.astype(float), 2048)[1].tolist()

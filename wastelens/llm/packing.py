@@ -10,15 +10,17 @@ On it the driver solves the configuration program
 where a configuration c is a multiset of lengths that fits into a sequence.
 Multiplicative weights price each length, a knapsack dynamic program finds the
 best configurations at these prices, with or without waste, they are added
-fractionally and the prices of covered lengths fall. The sum is rounded down;
-what is left, and where few pieces share a length that is most, is taken in whole
-steps and by best fit, longest first. Configurations with their
+fractionally and the prices of covered lengths fall. The sum is rounded down, again and again
+while that takes anything worth while; what rounding leaves, and where few pieces share a length that is most, is taken in whole
+steps at the last prices and by best fit, longest first. Configurations with their
 multiplicities, not sequences, are what the driver holds: their number does
 not grow with the input.
 
 Spark then deals the pieces of each length out to the configurations' places
 by rank. Ranks are counted within (length, partition) and shifted by the
-counts before them, so a length that a third of all pieces share is no hot key.
+counts before them; a configuration takes a range of a length's ranks, and ranges and pieces are
+joined by length and block of ranks, so a length that a third of all pieces share is no hot key
+and a piece is compared with the few ranges of its block.
 
 Null texts count as empty (one token: id 0). Repeated ids are rows like any
 other. An empty table gives an empty result.
@@ -43,7 +45,8 @@ DEFAULT_TOKENIZER = "byte_bpe_50k"
 NEAR = 0.005  # configurations this near to the best price count as best
 RATE = 0.5
 ROUND = 60  # steps of a round
-MET = 1.0005  # a plan this near to the volume bound is not improved
+WORTH = 0.2  # part of what is left that a round must take for another to follow
+BLOCK = 256  # ranks of a length that are joined together
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -161,7 +164,7 @@ def column(j: int, lengths: list[int], taken: list[int], capacity: int) -> tuple
 
 def fractional(lengths: np.ndarray, total: np.ndarray, capacity: int, steps: int):
     """Configurations (as sorted (index, count) pairs) with whole multiplicities that hold
-    no length more often than ``total``; the last prices; and a lower bound on sequences.
+    no length more often than ``total``; what they leave; the last prices; and a lower bound on sequences.
 
     A step runs the knapsack program at the prices, takes of the best configuration through
     each length those within ``NEAR`` of the best price, and adds them up to each
@@ -185,27 +188,34 @@ def fractional(lengths: np.ndarray, total: np.ndarray, capacity: int, steps: int
                 bound = max(bound, float((total * price).sum() / best[capacity]))
             near = (rest > 0) & (best[capacity - lengths] + price >= (1 - NEAR) * best[capacity])
             open_, taken = rest.astype(float), taken.tolist()
+            least = (1 - NEAR) * best[capacity]
             for j in np.flatnonzero(near)[::-1].tolist():
                 config = column(j, as_list, taken, capacity)[0]
-                m = min(open_[i] / k for i, k in config.items())
-                if m > 0:
+                # A length of which nothing is open leaves the configuration, if that stays near.
+                while open_[j] > 0:
+                    kept = {i: k for i, k in config.items() if open_[i] > 0}
+                    if len(kept) < len(config) and sum(price[i] * k for i, k in kept.items()) < least:
+                        break
+                    config, m = kept, min(open_[i] / k for i, k in kept.items())
                     key = tuple(sorted(config.items()))
                     x[key] = x.get(key, 0.0) + m
                     for i, k in config.items():
-                        open_[i] = max(open_[i] - k * m, 0.0)
+                        open_[i] = open_[i] - k * m if open_[i] > k * m * (1 + 1e-9) else 0.0
             share = np.where(rest > 0, 1 - open_ / np.maximum(rest, 1), 0.0)
             covered += share
             log_price -= RATE / (1 + t) ** 0.5 * share
-        most, took = covered.max(initial=0.0), False
-        for key, v in x.items():
-            if (m := int(v / most + 1e-9)) > 0:
-                m = min([m, *(int(rest[i]) // k for i, k in key)])
-            if m > 0:
-                plan[key], took = plan.get(key, 0) + m, True
+        # The steps' sum holds each piece ``held`` times on average. Its share of a configuration is rounded
+        # down, the largest first, as far as its lengths still have pieces.
+        took, had = 0, int(rest.sum())
+        held = float((covered * lengths * rest).sum() / max((lengths * rest).sum(), 1)) or 1.0
+        for key, v in sorted(x.items(), key=lambda c: -c[1]):
+            if (m := min([int(v / held), *(int(rest[i]) // k for i, k in key)])) > 0:
+                plan[key] = plan.get(key, 0) + m
                 for i, k in key:
                     rest[i] -= k * m
-        if not took:
-            price = np.exp(np.maximum(log_price, -40))
+                    took += k * m
+        if took <= WORTH * had:
+            price = np.exp(np.clip(np.nan_to_num(log_price, nan=-40.0), -40, 0))
             return plan, rest, price, bound
 
 
@@ -265,11 +275,9 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 200, pa
           small: int = 0) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: count} with multiplicities that hold every piece once.
 
-    Two ways at every size, and the one with fewer sequences counts: whole steps from the
-    start, priced by length (many lengths with few pieces each, where a fractional
-    solution has no whole part), and ``fractional`` first, whose rounding remainder the
-    whole steps take at its prices. The second is left out if the first meets the
-    volume bound. Whole steps end at ``small`` pieces; ``best_fit`` places what they leave.
+    One way at every size: the fractional program, rounded down, without the configurations that waste
+    much more than others; the remainder in whole steps at the program's
+    last prices, which end at ``small`` pieces; ``best_fit`` for what they leave.
     """
     left = {ln: n for ln, n in counts.items() if n > 0}
     plan: list[tuple[dict[int, int], int]] = []
@@ -280,16 +288,22 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 200, pa
     lengths = np.array(sorted(left), np.int64)
     total = np.array([left[ln] for ln in lengths], np.int64)
     as_list = lengths.tolist()
-    # Long lengths, which are hard to place late, cost a little more.
-    by_length = lengths * (1 + 0.1 * lengths / capacity)
-    used, own, tail = whole_steps(lengths, total, total, by_length, capacity, steps, part, small)
-    if used > MET * (lengths * total).sum() / capacity + 1:
-        first, rest, price, _ = fractional(lengths, total, capacity, ROUND)
-        more, second, end = whole_steps(lengths, np.maximum(rest, 1), rest, price, capacity, steps, part, small)
-        if more + sum(first.values()) < used:
-            own, tail = second, end
-            for key, m in first.items():
-                own[key] = own.get(key, 0) + m
+    chosen, left_over, price, bound = fractional(lengths, total, capacity, ROUND)
+    waste = {k: capacity - sum(as_list[i] * n for i, n in k) for k in chosen}
+    # On average sequences waste this, by the solution itself, and this at least, by the lower bound.
+    average = sum(waste[k] * m for k, m in chosen.items()) / max(sum(chosen.values()), 1)
+    found = []
+    for spare in (average, capacity - float((lengths * total).sum()) / bound):
+        # Configurations that waste over twice as much go back.
+        own, rest = {k: m for k, m in chosen.items() if waste[k] <= 2 * spare + 0.5}, left_over.copy()
+        for key in chosen.keys() - own.keys():
+            for i, n in key:
+                rest[i] += n * chosen[key]
+        used, more, tail = whole_steps(lengths, np.maximum(rest, 1), rest, price, capacity, steps, part, small)
+        for key, m in more.items():
+            own[key] = own.get(key, 0) + m
+        found.append((sum(own.values()) + used - sum(more.values()), own, tail))
+    _, own, tail = min(found, key=lambda f: f[0])
     return plan + [({as_list[i]: k for i, k in c}, m) for c, m in own.items()] + tail
 
 
@@ -365,9 +379,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOK
     ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("row"))) \
         .join(before.drop("n"), ["length", "part"]) \
         .withColumn("rank", F.col("before") + F.col("nth") - 1)
-    # The table of places is bounded by configurations times lengths in each.
-    table = F.broadcast(table.withColumnRenamed("length", "_length"))
-    inside = (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    block = F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor((F.col("hi") - 1) / BLOCK)))
+    table = table.withColumnRenamed("length", "_length").withColumn("_block", block)
+    inside = (F.col("length") == F.col("_length")) & (F.floor(F.col("rank") / BLOCK) == F.col("_block")) \
+        & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     k = F.col("rank") - F.col("lo")
     return ranked.join(table, inside).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
