@@ -13,9 +13,13 @@ from wastelens.llm import tool_calls as C
 from wastelens.llm import url_templates as U
 
 
-def shingles(t):
+def shingles(t, width=5):
     w = re.findall(r"[^\W_]+", (t or "").lower())
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)}
+
+
+def width_of(item):
+    return min(len(re.findall(r"[^\W_]+", item or "")), 5)
 
 
 def words(r, n):
@@ -24,7 +28,8 @@ def words(r, n):
 
 def test_every_containment_is_found(spark, make_docs):
     r = random.Random(1)
-    items = [(i, " ".join(words(r, r.randint(5, 90)))) for i in range(40)] + [(50, "too short"), (51, None), (None, "a b c d e f g h"), (52, "")]
+    items = [(i, " ".join(words(r, r.randint(5, 90)))) for i in range(40)] + [(50, "too short"), (51, None), (None, "a b c d e f g h"), (52, ""),
+                                                                               (53, "w17"), (54, "w1 w2 w3"), (55, "W9, w8 w7-w6"), (56, " !?")]
     docs = [(i, " ".join(words(r, r.randint(0, 200)))) for i in range(60)]
     for k in range(120):  # items inside documents, cut, split up or changed a little
         own = items[k % 40][1].split()
@@ -32,23 +37,41 @@ def test_every_containment_is_found(spark, make_docs):
             own[r.randrange(len(own))] = "changed"
         at = r.randrange(len(own))
         text = words(r, 30) + own[:at] + (words(r, 20) if r.random() < .4 else []) + own[at:] + words(r, 3000 if k == 5 else 30)
+        text += [[], ["w1", "w2", "w3"], ["w9", "w8", "w7", "w6"], ["w9", "w8", "x", "w7", "w6"], ["too", "Short"]][k % 5]
         docs.append((100 + k, " ".join(text).upper() if k % 2 else ",  ".join(text)))
     docs += [(900, None), (901, ""), (902, items[3][1] + " " + items[3][1]), (902, items[3][1] + " " + items[3][1]), (None, items[4][1])]
     item_df = spark.createDataFrame(items, "item_id long, text string")
     got = D.contaminated(make_docs(docs, item_id=5, h=1, n=2), item_df).collect()
     want = set()
     for d, t in docs:
-        have = shingles(t)
+        every = {width: shingles(t, width) for width in range(1, 6)}
         for i, u in items:
-            s = shingles(u)
+            s = shingles(u, width_of(u)) if width_of(u) else set()
+            have = every.get(width_of(u), set())
             if s and i is not None and len(s & have) >= 0.8 * len(s) - 1e-9:
                 want.add((d, i, len(s & have), len(s)))
     assert sorted(map(str, [(x.doc_id, x.item_id, x.n_shared, x.n_item) for x in got])) == sorted(map(str, want))
-    assert len(want) > 50 and any(n > 40 for *_, n in want)
+    assert len(want) > 50 and any(n > 40 for *_, n in want) and {50, 53, 54, 55} <= {i for _, i, *_ in want}
     assert D.contaminated(make_docs([]), item_df).count() == 0
     assert D.contaminated(make_docs(docs), item_df.limit(0)).count() == 0
 
 
+def test_the_sketch_decides_which_pairs_are_counted(spark, make_docs, monkeypatch):
+    item = " ".join(f"i{k}" for k in range(44))
+    docs = [(1, item), (2, " ".join(item.split()[:30])), (3, "nothing of it at all here"), (4, " ".join(f"i{k}" for k in range(44) if k % 6))]
+    seen, real = [], D.stored
+
+    def spy(df):
+        seen.append(real(df))
+        return seen[-1]
+    monkeypatch.setattr(D, "stored", spy)
+    got = D.contaminated(make_docs(docs), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(g.doc_id, g.item_id) for g in got] == [(1, 7)]
+    sketch, candidates = seen[0].where("in_sketch"), {r.doc_id for r in seen[1].collect()}
+    # Documents 2 and 4 share entries of the sketch, but too few shingles; 3 is never looked at again.
+    assert sketch.count() < 40 and {1, 2} <= candidates and 3 not in candidates
+
+
 def test_sketches_hold_one_more_than_may_be_missing(spark):
     sizes = [1, 2, 3, 4, 5, 9, 16, 31, 55]
     df = spark.createDataFrame([(n, h * 7919) for n in sizes for h in range(n)], "item_id long, h long")

@@ -1,7 +1,8 @@
 """Benchmark decontamination: short test items inside long documents.
 
 Shingles are five words (runs of letters and digits, lower case). A document holds an item
-if it has at least ``THRESHOLD`` of the item's different shingles, wherever they stand.
+if it has at least ``THRESHOLD`` of the item's different shingles, wherever they stand. An item of one to
+four words is one shingle of its own width, which a document has or has not.
 
 The search is a containment search by MinHash with the items partitioned by size, as a
 short item in a long document has next to no Jaccard similarity:
@@ -11,13 +12,15 @@ short item in a long document has next to no Jaccard similarity:
    be missing, and one more. A document that holds enough of the item has one of
    them at least, however long it is: no match is lost.
 2. Each document's shingles are looked up in a bit table of fixed size made from the
-   items' hashes; the few that pass are stored, whatever the number of items.
-3. Documents that share a sketch entry with an item are candidates; for these the shared
-   shingles are counted exactly against all of the item's.
-
-Items with fewer than five words have no shingle and match nothing; null texts are
-empty; items of a null id are left out; documents of one id with different texts are told
-apart by ``text_key``; with an empty table on either side the result is empty.
+   sketches' hashes, and the few that pass are joined with the sketches: a document that
+   shares an entry with an item is a candidate for it. Most documents have none.
+3. For candidate pairs alone the shared shingles are counted against all of the item's.
+
+Items without a word match nothing; null texts are empty; items of a null id are left out; documents of
+one id with different texts are told apart by ``text_key``, rows that repeat both give their
+pairs once; items alike in text are each found (there are no ties to break); a very long text is one
+array of word codes of its task; with an empty table on either side the result is empty. Columns
+beside id and text are not read.
 """
 
 from __future__ import annotations
@@ -53,9 +56,10 @@ def shingles(codes: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     return h.view(np.int64), text
 
 
-def _shingle_batches(shared):
+def _shingle_batches(shared, widths: list[int] | None = None):
     """(…, codes) -> (…, h): a row for each different shingle of a text that the bit
-    table knows (all of them without a table)."""
+    table knows, of each of ``widths``. Without a table: all of them, and of a text of fewer than
+    ``WIDTH`` words the one that is the whole text."""
 
     def run(batches):
         table = None if shared is None else np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
@@ -64,11 +68,13 @@ def _shingle_batches(shared):
             off = codes.offsets.to_numpy().astype(np.int64)
             values, found = codes.values.to_numpy(), []
             for at in range(0, b.num_rows, DOCS_AT_ONCE):
-                h, text = shingles(values, off[at:at + DOCS_AT_ONCE + 1])
-                if table is not None:
-                    known = table[h & ((1 << BITS) - 1)]
-                    h, text = h[known], text[known]
-                found.append((h, text + at))
+                part = off[at:at + DOCS_AT_ONCE + 1]
+                for width in [WIDTH, *range(1, WIDTH)] if widths is None else widths:
+                    h, text = shingles(values, part, width)
+                    known = np.diff(part)[text] == width if widths is None and width < WIDTH else slice(None)
+                    if table is not None:
+                        known = table[h & ((1 << BITS) - 1)]
+                    found.append((h[known], text[known] + at))
             h, text = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
             order = np.lexsort((h, text))
             h, text = h[order], text[order]
@@ -80,6 +86,14 @@ def _shingle_batches(shared):
     return run
 
 
+def _bit_table(spark, hashes: DataFrame):
+    """Broadcast table of fixed size: which of the lowest ``BITS`` bits occur among the hashes ``h``."""
+    marks = hashes.select(F.col("h").bitwiseAND((1 << BITS) - 1).alias("b")).distinct().toArrow().column("b").to_numpy()
+    table = np.zeros(1 << BITS, bool)
+    table[marks] = True
+    return spark.sparkContext.broadcast(np.packbits(table).tobytes())
+
+
 def sketches(shingled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(item_id, h, n, in_sketch) from (item_id, h): the sketch by partitions of size."""
     n = shingled.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
@@ -94,24 +108,27 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """(doc_id, text_key, item_id, n_shared, n_item, containment): documents that hold an item."""
     spark = docs.sparkSession
     prepare(spark)
-    listed = items.where(F.col(item_col).isNotNull()).select(
+    words = items.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("item_id"), word_codes(F.lower(text_of(item_text)), SPLIT).alias("codes"))
-    listed = stored(sketches(listed.mapInArrow(_shingle_batches(None), "item_id long, h long").distinct(), threshold))
-    # Bounded: at most 2 ** BITS different positions.
-    marks = listed.select(F.col("h").bitwiseAND((1 << BITS) - 1).alias("b")).distinct().toArrow().column("b").to_numpy()
-    table = np.zeros(1 << BITS, bool)
-    table[marks] = True
-    shared = spark.sparkContext.broadcast(np.packbits(table).tobytes())
+    listed = stored(sketches(words.mapInArrow(_shingle_batches(None), "item_id long, h long").distinct(), threshold))
+    # Widths that occur: at most WIDTH of them.
+    widths = sorted(r[0] for r in words.select(F.least(F.size("codes"), F.lit(WIDTH))).distinct().collect() if r[0] > 0)
     text = text_of(text_col)
-    seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
-                       word_codes(F.lower(text), SPLIT).alias("codes")) \
-        .mapInArrow(_shingle_batches(shared), "doc_id long, text_key long, h long")
-    hits = stored(seen.join(listed, "h").select("doc_id", "text_key", "item_id", "h", "n", "in_sketch").distinct())
-    return hits.groupBy("doc_id", "text_key", "item_id").agg(
-        F.count(F.lit(1)).alias("n_shared"), F.max("n").alias("n_item"), F.max("in_sketch").alias("candidate")) \
-        .where(F.col("candidate") & (F.col("n_shared") >= F.col("n_item") * threshold - 1e-9)) \
-        .select("doc_id", "text_key", "item_id", "n_shared", "n_item",
-                (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
+                        word_codes(F.lower(text), SPLIT).alias("codes"))
+    key = ["doc_id", "text_key"]
+    sketch = listed.where("in_sketch").select("item_id", "h", "n")
+    found = coded.mapInArrow(_shingle_batches(_bit_table(spark, sketch), widths), "doc_id long, text_key long, h long")
+    candidates = stored(found.join(sketch, "h").select(*key, "item_id", "n").distinct())
+    # Exact counts: the documents that have candidates, their shingles that any item has.
+    pair = candidates.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    held = coded.join(pair.select("_doc", "_key").distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left_semi")
+    known = held.mapInArrow(_shingle_batches(_bit_table(spark, listed), widths), "doc_id long, text_key long, h long").distinct()
+    shared = known.join(pair, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))) \
+        .join(listed.select("item_id", "h"), ["item_id", "h"], "left_semi")
+    return shared.groupBy(*key, "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.max("n").alias("n_item")) \
+        .where(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9) \
+        .select(*key, "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
