@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wastelens.functions.dates import column_date, parse_timestamp
+
 __all__ = [
-    "col_of", "slug", "nonneg_int", "vendor_norm", "round_half_even", "amount_bucket",
+    "col_of", "column_date", "ambiguous", "safe_digest", "slug", "nonneg_int", "vendor_norm", "round_half_even", "amount_bucket",
     "round4", "parse_number", "parse_timestamp", "floor_days", "week_key", "period_key",
     "period_label", "money_text", "row_digest", "text_of", "float_text", "sum0", "safe_sum",
 ]
@@ -93,18 +95,6 @@ def number_of(df, name: str) -> Column:
     return parse_number(name)
 
 
-#: Forms of dates besides ISO, month before day where both could be meant.
-DATE_FORMS = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yyyy/M/d H:mm",
-              "yyyy/M/d H:mm:ss", "M-d-yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd"]
-
-
-def parse_timestamp(c) -> Column:
-    """Per-value timestamp parse of ISO text and of ``DATE_FORMS``; bad text becomes null."""
-    t = F.trim(col_of(c).cast("string"))
-    iso = F.when(~t.rlike("^[0-9]{5,}$"), F.try_to_timestamp(t))  # bare digits are yyyyMMdd, not a year
-    return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMS])
-
-
 def floor_days(later, earlier) -> Column:
     """Whole days of elapsed time, floored (N13); null if either side is null.
 
@@ -163,13 +153,19 @@ def float_text(c) -> Column:
     ``12345678.9``) for 1e-4 <= |x| < 1e16 and 0, else ``1e+16`` style.
     Digests must not depend on ``1.23456789E7`` style text. Digits come from
     the JVM's conversion, which on Java 17 can add a 17th digit for some
-    values of 1e16 and above."""
+    values of 1e16 and above. The JVM's own text is the same for 1e-3 <= |x| < 1e7
+    and 0, where most amounts lie."""
     c = col_of(c)
+    t = c.cast("string")
+    same = ((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7)) | (c == 0)
+    return F.when(same, t).otherwise(_far_float_text(c, t))
+
+
+def _far_float_text(c: Column, t: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"),
                                               "0+$", ""), r"\.$", ".0")
     inrange = (F.abs(c) < 1e16) & ((F.abs(c) >= 1e-4) | (c == 0))
     # Outside that range: Spark's 1.25E20 / 1.0E-5 as 1.25e+20 / 1e-05.
-    t = c.cast("string")
     sci = r"^(-?[0-9]+(?:\.[0-9]+)?)E(-?)([0-9]+)$"
     mant = F.regexp_replace(F.regexp_replace(F.regexp_extract(t, sci, 1), r"(\.[0-9]*?)0+$", "$1"),
                             r"\.$", "")
@@ -197,6 +193,28 @@ def row_digest(cols, dtypes: dict | None = None) -> Column:
                                      for c in cols]), 256)
 
 
+def ambiguous(cols, dtypes: dict | None = None) -> Column:
+    """Whether a field holds the separator of :func:`row_digest`: other fields
+    then give the same text (``a|b``, ``c`` and ``a``, ``b|c``), and the digest proves nothing."""
+    dtypes = dtypes or {}
+    parts = [text_of(c, dtypes.get(c) if isinstance(c, str) else None).contains("|") for c in cols]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
+
+
+def safe_digest(cols, dtypes: dict | None = None) -> Column:
+    """SHA-256 hex of the fields, each led by its number of bytes and ``:`` (``-`` for null):
+    different rows never give the same text."""
+    dtypes = dtypes or {}
+
+    def part(c):
+        t = text_of(c, dtypes.get(c) if isinstance(c, str) else None)
+        return F.when(col_of(c).isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t))
+    return F.sha2(F.concat(*[part(c) for c in cols]), 256)
+
+
 def safe_sum(c) -> Column:
     """Sum of a column coerced to numbers, bad values and nulls as 0."""
     return F.coalesce(F.sum(F.coalesce(parse_number(c), F.lit(0.0))), F.lit(0.0))

@@ -132,9 +132,7 @@ def report_input(df: DataFrame) -> DataFrame:
     if "date" not in df.columns:
         raise ValueError("a report needs a column named date")
     cols = set(df.columns)
-    dtype = dict(df.dtypes)["date"]
-    date = F.col("date") if dtype in ("timestamp", "timestamp_ntz") else S.parse_timestamp("date")
-    out = df.withColumn("date", date)
+    out = df.withColumn("date", S.column_date(df, "date"))
     out = out.withColumn("cost", F.coalesce(S.number_of(df, "cost"), F.lit(0.0))
                          if "cost" in cols else F.lit(0.0))
     for flag in ("ai_anomaly", "subscription_like"):

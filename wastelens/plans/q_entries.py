@@ -53,6 +53,19 @@ def q_categorize_part_rules(spark, sf_dir):
                                                     "ai_category_source")
 
 
+# Two hundred rules of a few word endings each: a later rule counts only where no earlier one does.
+LONG_RULES = [(f"rule {k:03d}", [f"{a}{b} " for b in "aeinorst"]) for k, a in enumerate(
+    [x + y for x in "zqxjkvbpgwfymcdlhrsntioae" for y in "zxjkvbpg"])]
+
+
+@query("categorize_long_rules", f"""
+SELECT doc_id, {_rules_sql(LONG_RULES, DOC_TEXT)} AS rule_cat FROM documents""")
+def q_categorize_long_rules(spark, sf_dir):
+    """M2 with 1600 keywords, found by one automaton."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("vendor"), F.col("text").alias("description"))
+    return C.categorize_rules(d, LONG_RULES).select("doc_id", "rule_cat")
+
+
 @query("categorize_model")
 def q_categorize_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("vendor"),
@@ -208,3 +221,41 @@ def q_delete_dim(spark, sf_dir):
     gone = table(spark, sf_dir, "part").where(F.col("p_name").contains("bolt")) \
         .select(F.col("p_name").alias("name"))
     return dims.delete(catalog(spark, sf_dir), gone, "name")
+
+
+# A change log over the catalog, in the order of p_partkey: names repeat, so a name is edited,
+# deleted and added again in turn. Updates set the price, or only the unit.
+def change_log(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    kind = F.pmod("p_partkey", F.lit(5))
+    return p.select(
+        F.when(kind == 4, F.concat("p_name", F.lit(" NEW"))).otherwise(F.col("p_name")).alias("name"),
+        F.when(kind.isin(1, 4), F.lit("box")).when(kind == 3, F.lit("bag")).alias("unit"),
+        F.when(kind != 3, F.col("p_retailprice") + 10.0).alias("cost_per_unit"),
+        F.when(kind == 0, F.lit(dims.DELETE)).when(kind.isin(1, 4), F.lit(dims.UPSERT)).otherwise(F.lit(dims.UPDATE)).alias("op"),
+        F.col("p_partkey").alias("seq"))
+
+
+@query("change_log_dim", "WITH RECURSIVE " + DIMS_SQL + """,
+log AS (
+  SELECT p_name || CASE WHEN p_partkey % 5 = 4 THEN ' NEW' ELSE '' END AS name,
+         CASE p_partkey % 5 WHEN 1 THEN 'box' WHEN 4 THEN 'box' WHEN 3 THEN 'bag' END AS unit,
+         CASE WHEN p_partkey % 5 <> 3 THEN p_retailprice + 10.0 END AS cost_per_unit,
+         CASE p_partkey % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'upsert' WHEN 4 THEN 'upsert' ELSE 'update' END AS op, p_partkey AS seq
+  FROM part),
+steps AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS k FROM log),
+names AS (SELECT name FROM cat UNION SELECT name FROM log),
+state AS (
+  SELECT n.name, c.unit, c.cost_per_unit, c.name IS NOT NULL AS here, 0::BIGINT AS k FROM names n LEFT JOIN cat c ON n.name = c.name
+  UNION ALL
+  SELECT s.name,
+         CASE x.op WHEN 'upsert' THEN x.unit WHEN 'update' THEN coalesce(x.unit, s.unit) END,
+         CASE x.op WHEN 'upsert' THEN x.cost_per_unit WHEN 'update' THEN coalesce(x.cost_per_unit, s.cost_per_unit) END,
+         CASE x.op WHEN 'upsert' THEN true WHEN 'delete' THEN false ELSE s.here END, x.k
+  FROM state s JOIN steps x ON x.name = s.name AND x.k = s.k + 1)
+SELECT name, unit, cost_per_unit FROM state WHERE here
+QUALIFY row_number() OVER (PARTITION BY name ORDER BY k DESC) = 1
+  AND k = (SELECT count(*) FROM steps x WHERE x.name = state.name)""")
+def q_change_log_dim(spark, sf_dir):
+    """The catalog after an ordered log of edits, deletions and additions with repeated names."""
+    return dims.apply_changes(catalog(spark, sf_dir), change_log(spark, sf_dir), "name")
