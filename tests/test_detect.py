@@ -64,3 +64,16 @@ def test_global_lag_equals_window(spark, sf001):
                   | ~F.col("d2").eqNullSafe(F.col(lag_name("date", 2))))
     assert g.count() == d.count()
     assert bad.count() == 0
+
+
+def test_lags_over_any_number_of_chunks(spark, sf001, monkeypatch):
+    from wastelens.operators import ordered as O
+
+    d = flag_dense_view(spark, sf001)
+    want = {tuple(r) for r in DU.subscription_like(d, ROW_KEY).collect()}
+    near = {tuple(r) for r in DU.adjacent_duplicates(d, ROW_KEY).collect()}
+    monkeypatch.setattr(O, "MAX_CHUNKS", 2)
+    for size in (2, 97, 2000):
+        monkeypatch.setattr(O, "ROWS_A_CHUNK", size)
+        assert {tuple(r) for r in DU.subscription_like(d, ROW_KEY).collect()} == want
+    assert {tuple(r) for r in DU.adjacent_duplicates(d, ROW_KEY).collect()} == near

@@ -9,9 +9,9 @@ anomalies (so about ``contamination`` of the rows are flagged).
 Plan: samples are drawn with a seeded hash of the row key (the same rows on
 every run, independent of partitioning); one ``applyInPandas`` group per
 tree fits that tree; the node table (at most trees x 511 rows) is collected
-and shipped to a vectorised ``mapInPandas`` scorer; the offset is an exact
-percentile up to ``EXACT_PERCENTILE_ROWS`` rows, an approximate one (rank
-error about 1e-5) beyond.
+and shipped to a vectorised ``mapInArrow`` scorer. The offset is the exact quantile,
+found by histograms that close in on its rank (see :func:`order_statistics`), at
+every size by the same rule.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ N_TREES = 100
 SAMPLE = 256
 CONTAMINATION = 0.05
 SEED = 42
-PERCENTILE_ACCURACY = 100_000
+BINS = 2048  # of one histogram
+FEW = 4096  # values that are sorted at once
+BLOCK = 1024  # rows that walk the trees together
 _P = 1 << 30
 
 NODE_SCHEMA = T.StructType([
@@ -163,16 +165,23 @@ def _forest_arrays(nodes: pd.DataFrame):
 
 
 def _path_lengths(x: np.ndarray, arrays) -> np.ndarray:
-    """Mean path length of each row over all trees, all trees walked at once."""
+    """Mean path length of each row over all trees, all trees walked at once, in blocks of
+    rows whose state stays in the processor's caches."""
     n_trees, width, feat, thr, left, right, value, steps = arrays
-    n = len(x)
-    idx = np.repeat(np.arange(n_trees, dtype=np.int64) * width, n)
-    xs = [np.tile(x[:, j], n_trees) for j in range(x.shape[1])]
-    for _ in range(steps):
-        f = np.take(feat, idx)
-        v = xs[0] if len(xs) == 1 else np.choose(f, xs) if len(xs) > 2 else np.where(f == 0, xs[0], xs[1])
-        idx = np.where(v < np.take(thr, idx), np.take(left, idx), np.take(right, idx))
-    return np.take(value, idx).reshape(n_trees, n).mean(axis=0)
+    roots = np.arange(n_trees, dtype=np.int64)[:, None] * width
+    # Both ways out of a node side by side: one look-up a step.
+    ways = np.column_stack([right, left]).ravel()
+    out = np.empty(len(x))
+    for at in range(0, len(x), BLOCK):
+        xs = x[at:at + BLOCK]
+        rows = np.arange(len(xs)) * xs.shape[1]
+        flat = np.ascontiguousarray(xs).ravel()
+        idx = np.repeat(roots, len(xs), axis=1)
+        for _ in range(steps):
+            go_left = np.take(flat, np.take(feat, idx) + rows) < np.take(thr, idx)
+            idx = np.take(ways, 2 * idx + go_left)
+        out[at:at + BLOCK] = np.take(value, idx).mean(axis=0)
+    return out
 
 
 def score(df: DataFrame, nodes: pd.DataFrame, feats=("qty", "cost")) -> DataFrame:
@@ -202,10 +211,49 @@ def score(df: DataFrame, nodes: pd.DataFrame, feats=("qty", "cost")) -> DataFram
     return df.mapInArrow(run, schema)
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int]) -> list[float]:
+    """The exact values at ``ranks`` (from 0, ascending) of a column without nulls.
+
+    Each pass counts the values between two bounds in ``BINS`` equal bins with each bin's smallest and largest value,
+    and goes on inside the bin that holds the rank, until its values are one or so few that they can
+    be sorted. The driver sees a histogram or ``FEW`` values at a time, whatever the
+    number of rows; every pass keeps at most a part of the range, usually one in ``BINS``.
+    """
+    low, high, n = df.agg(F.min(col), F.max(col), F.count(col)).first()
+    out = []
+    for rank in ranks:
+        lo, hi, below, inside = low, high, 0, n
+        while lo < hi:
+            part = df.where((F.col(col) >= lo) & (F.col(col) <= hi)).select(F.col(col).alias("v"))
+            if inside <= FEW:
+                lo = hi = sorted(r["v"] for r in part.collect())[rank - below]
+                break
+            share = (F.col("v") - lo) / F.lit(hi - lo) if np.isfinite(hi - lo) else F.col("v") / 2 / F.lit(hi / 2 - lo / 2) - F.lit(lo / 2 / (hi / 2 - lo / 2))
+            bins = part.groupBy(F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("b")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            for b in sorted(bins.collect(), key=lambda r: r["b"]):
+                if rank < below + b["n"]:
+                    lo, hi, inside = b["lo"], b["hi"], b["n"]
+                    break
+                below += b["n"]
+        out.append(float(lo))
+    return out
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, n: int) -> float:
+    """The ``q`` quantile of ``n`` rows, between the two values around rank (n - 1) * q as usual."""
+    at = (n - 1) * q
+    k = math.floor(at)
+    a, b = order_statistics(df, col, [k, min(k + 1, n - 1)])
+    return a + (b - a) * (at - k)
+
+
 def flag_anomalies(df: DataFrame, key_cols, contamination: float = CONTAMINATION,
                    n_trees: int = N_TREES, sample: int = SAMPLE, seed: int = SEED):
     """M1: adds ``ai_score``, ``ai_anomaly``, ``ai_waste_flag``; returns (frame, meta).
 
+    Exactly the rows whose score lies below the ``contamination`` quantile are flagged:
+    that share of the rows, less such as tie with the first that is not.
     Missing and NaN qty/cost count as 0. Without qty and cost columns the frame is
     returned unchanged, as is an empty frame.
     """
@@ -217,11 +265,10 @@ def flag_anomalies(df: DataFrame, key_cols, contamination: float = CONTAMINATION
     if n == 0:
         return df, {"message": "the frame has no rows"}
     nodes = fit(d, key_cols, feats, n_trees, sample, seed, n)
-    # Scored once: written to the shared checkpoint folder, then read twice
-    # (offset, flags) without re-running the Python scorer.
+    # Scored once: written to the shared checkpoint folder, then read by the
+    # histograms and the flags without re-running the Python scorer.
     scored = cut_lineage(score(d, nodes, feats))
-    q = F.percentile_approx("_raw", F.lit(contamination), F.lit(PERCENTILE_ACCURACY))
-    offset = scored.agg(q.alias("o")).first()["o"]
+    offset = exact_quantile(scored, "_raw", contamination, n)
     out = (scored.withColumn("ai_score", F.col("_raw") - F.lit(offset)).drop("_raw")
            .withColumn("ai_anomaly", F.col("ai_score") < 0)
            .withColumn("ai_waste_flag", F.when(F.col("ai_anomaly"), schemas.ANOMALY_LABEL)
