@@ -84,19 +84,3 @@ LOG_SCHEMA = T.StructType([T.StructField(c, _LOG_TYPES.get(c, T.StringType()), T
 
 # All-text form, used to read CSV logs before typed coercion and for digests.
 LOG_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in LOG_COLUMNS])
-
-MATERIALS_SCHEMA = T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("unit", T.StringType()),
-    T.StructField("cost_per_unit", T.StringType())])
-
-PRICES_SCHEMA = T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("mock_price", T.StringType())])
-
-SOP_SCHEMA = T.StructType([
-    T.StructField("reason", T.StringType()), T.StructField("sop_url", T.StringType())])
-
-ANALYSIS_SCHEMA = T.StructType([
-    T.StructField("date", T.TimestampType()), T.StructField("suite", T.StringType()),
-    T.StructField("material", T.StringType()), T.StructField("vendor", T.StringType()),
-    T.StructField("qty", T.DoubleType()), T.StructField("cost", T.DoubleType()),
-    T.StructField("description", T.StringType())])
