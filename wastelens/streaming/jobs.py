@@ -4,7 +4,7 @@ The batch operators are reused as-is where they are stateless (enrichment,
 entry alerts). Day totals use a tumbling one-day event-time window with a
 watermark, so state is dropped once a day is closed and late rows past the
 watermark are ignored. The running audit chain keeps the last digest per
-chain key in keyed state.
+chain key, and the rows that wait for their turn, in keyed state.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from wastelens import schemas
 from wastelens.operators import entries as EN
@@ -81,37 +81,82 @@ CHAIN_OUT = T.StructType([
     T.StructField("chain", T.StringType()), T.StructField("id", T.StringType()),
     T.StructField("ts", T.TimestampType()), T.StructField("payload", T.StringType()),
     T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
-CHAIN_STATE = T.StructType([T.StructField("last_hash", T.StringType())])
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def chain_stream(df: DataFrame, chain_col: str, id_col: str, ts_col: str,
-                 payload_cols) -> DataFrame:
-    """T4: running hash chain per key; the last digest of each key is the
-    only state. A key's rows of one micro-batch are linked in (ts, id) order and
-    held together, so the key should be fine enough (a place and a day, say) and
-    ``max_files_per_trigger`` bounds the batch."""
+class ChainLinker(StatefulProcessor):
+    """Links a key's rows in (ts, id) order, in whatever order they come.
+
+    Rows wait in a list state until the watermark has passed the end of their stretch of event time
+    (``step_ms``); a timer at that end then links all that waited for it. What waits is bounded by
+    the watermark's delay and a step; besides, a key keeps one digest. Rows behind the watermark are dropped,
+    as in any event-time aggregate.
+    """
+
+    def __init__(self, step_ms: int):
+        self.step_ms = step_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "hash string")
+        self.waiting = handle.getListState("waiting", "micros long, id string, payload string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        closed = timerValues.getCurrentWatermarkInMs()
+        new, ends = [], set()
+        for pdf in rows:
+            micros = pdf["micros"].to_numpy()
+            for m, i, p in zip(micros.tolist(), pdf["id"], pdf["payload"]):
+                end = (m // 1000 // self.step_ms + 1) * self.step_ms
+                if end > closed:
+                    new.append((m, i, p))
+                    ends.add(end)
+        if new:
+            self.waiting.appendList(new)
+            for end in ends - set(self.handle.listTimers()):
+                self.handle.registerTimer(end)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        rows = list(self.waiting.get())
+        due = sorted((r for r in rows if r[0] < end), key=lambda r: (r[0], len(r[1]), r[1]))
+        if not due:
+            return iter([])
+        later = [tuple(r) for r in rows if r[0] >= end]
+        self.waiting.put(later) if later else self.waiting.clear()
+        prev = self.last.get()[0] if self.last.exists() else ""
+        prevs, hashes = [], []
+        for _, _, payload in due:
+            prevs.append(prev)
+            prev = hashlib.sha256(f"{payload}|{prev}".encode()).hexdigest()
+            hashes.append(prev)
+        self.last.update((prev,))
+        yield pd.DataFrame({"chain": key[0], "id": [r[1] for r in due], "ts": pd.to_datetime([r[0] for r in due], unit="us"),
+                            "payload": [r[2] for r in due], "prev_hash": prevs, "hash": hashes})
+
+    def close(self) -> None:
+        pass
+
+
+def chain_stream(df: DataFrame, chain_cols, id_col: str, ts_col: str, payload_cols,
+                 watermark: str = "1 day", step: str = "1 hour") -> DataFrame:
+    """T4: running hash chain per key, in event order.
+
+    Rows of a key are linked in (ts, id) order (ids by length, then text, so whole numbers sort as such) once the
+    watermark closes their stretch of event time of length ``step``; rows of later stretches still wait.
+    State is kept in RocksDB. ``chain_cols`` should make keys fine enough that one key's rows of
+    ``watermark`` and a ``step`` fit a task.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    step_ms = int(spark.range(1).select(F.unix_millis(F.timestamp_millis(F.lit(0)) + F.expr(f"INTERVAL {step}"))).first()[0])
     payload = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload_cols])
-    d = event_time(df, ts_col).select(F.col(chain_col).cast("string").alias("chain"),
-                                      F.col(id_col).cast("string").alias("id"),
-                                      F.col(ts_col).alias("ts"), payload.alias("payload"))
-
-    def link(key, pdfs, state):
-        prev = state.get[0] if state.exists else ""
-        whole = list(pdfs)  # the key's rows of this micro-batch, in Arrow batches
-        if whole:
-            pdf = pd.concat(whole).sort_values(["ts", "id"], kind="mergesort").reset_index(drop=True)
-            prevs, hashes = [], []
-            for p in pdf["payload"]:
-                h = hashlib.sha256((p + "|" + prev).encode("utf-8")).hexdigest()
-                prevs.append(prev)
-                hashes.append(h)
-                prev = h
-            state.update((prev,))
-            yield pd.DataFrame({"chain": pdf["chain"], "id": pdf["id"], "ts": pdf["ts"],
-                                "payload": pdf["payload"], "prev_hash": prevs, "hash": hashes})
-
-    return d.groupBy("chain").applyInPandasWithState(
-        link, CHAIN_OUT, CHAIN_STATE, "append", GroupStateTimeout.NoTimeout)
+    chain = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ([chain_cols] if isinstance(chain_cols, str) else chain_cols)])
+    d = event_time(df, ts_col).withWatermark(ts_col, watermark).select(
+        F.col(ts_col).alias("ts"), chain.alias("chain"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
+        F.unix_micros(ts_col).alias("micros"), payload.alias("payload")).where("ts IS NOT NULL")
+    return d.groupBy("chain").transformWithStateInPandas(ChainLinker(step_ms), CHAIN_OUT, "append", "EventTime")
 
 
 def run_available_now(sdf: DataFrame, mode: str = "append", root: str | None = None,
@@ -120,9 +165,9 @@ def run_available_now(sdf: DataFrame, mode: str = "append", root: str | None = N
     the shared checkpoint folder; return the sink's rows as a batch frame.
     The checkpoint makes the file output exactly-once across restarts.
 
-    In update mode each micro-batch holds the changed rows only: they replace the
-    stored rows of the same ``keys``. Every batch writes a new version folder
-    named by its id, from the version before, so a repeated batch gives the same.
+    In update mode each micro-batch holds the changed rows only: the sink is partitioned by ``keys`` and
+    a batch overwrites just the partitions of its own keys, so a batch that touches one of a thousand days writes one
+    day, and a repeated batch gives the same. Keys should be few (days, not rows).
     """
     spark = sdf.sparkSession
     root = root or ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
@@ -135,22 +180,18 @@ def run_available_now(sdf: DataFrame, mode: str = "append", root: str | None = N
     if mode == "update" and not keys:
         raise ValueError("update mode needs the keys that a changed row replaces")
 
-    def versions() -> list[int]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(out + "/v*/_SUCCESS")
-        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
-
     def sink(batch, epoch):
-        old = [v for v in versions() if v < epoch] if mode == "update" else []
-        if old:
-            kept = batch.sparkSession.read.format(fmt).load(f"{out}/v{old[-1]}")
-            batch = kept.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
-        batch.write.mode("overwrite").format(fmt).save(f"{out}/v{epoch}")
+        w = batch.write.mode("overwrite").format(fmt)
+        if mode == "update":
+            w = w.partitionBy(*keys).option("partitionOverwriteMode", "dynamic")
+        w.save(out)
     q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", chk)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(sdf.schema).format(fmt).load(f"{out}/v{versions()[-1]}") if versions() \
-        else spark.createDataFrame([], sdf.schema)
+    p = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], sdf.schema)
+    return spark.read.schema(sdf.schema).format(fmt).load(out).select(*sdf.columns)
 
 
 __all__ = ["file_stream", "event_time", "enrich_stream", "entry_alert_stream", "day_totals",
