@@ -56,14 +56,18 @@ def shingles(codes: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     return h.view(np.int64), text
 
 
-def _shingle_batches(shared, widths: list[int] | None = None):
+def _shingle_batches(shared, widths: list[int] | None = None, keys=None):
     """(…, codes) -> (…, h): a row for each different shingle of a text that the bit
     table knows, of each of ``widths``. Without a table: all of them, and of a text of fewer than
-    ``WIDTH`` words the one that is the whole text."""
+    ``WIDTH`` words the one that is the whole text. With ``keys``, a bit table too, texts whose
+    ``text_key`` it doesn't know are passed over."""
 
     def run(batches):
         table = None if shared is None else np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        wanted = None if keys is None else np.unpackbits(np.frombuffer(keys.value, np.uint8)).astype(bool)
         for b in batches:
+            if wanted is not None:
+                b = b.filter(pa.array(wanted[b.column("text_key").to_numpy() & ((1 << BITS) - 1)]))
             codes = b.column(b.num_columns - 1)
             off = codes.offsets.to_numpy().astype(np.int64)
             values, found = codes.values.to_numpy(), []
@@ -86,9 +90,9 @@ def _shingle_batches(shared, widths: list[int] | None = None):
     return run
 
 
-def _bit_table(spark, hashes: DataFrame):
-    """Broadcast table of fixed size: which of the lowest ``BITS`` bits occur among the hashes ``h``."""
-    marks = hashes.select(F.col("h").bitwiseAND((1 << BITS) - 1).alias("b")).distinct().toArrow().column("b").to_numpy()
+def _bit_table(spark, hashes: DataFrame, name: str = "h"):
+    """Broadcast table of fixed size: which of the lowest ``BITS`` bits occur among the hashes ``name``."""
+    marks = hashes.select(F.col(name).bitwiseAND((1 << BITS) - 1).alias("b")).distinct().toArrow().column("b").to_numpy()
     table = np.zeros(1 << BITS, bool)
     table[marks] = True
     return spark.sparkContext.broadcast(np.packbits(table).tobytes())
@@ -120,10 +124,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     sketch = listed.where("in_sketch").select("item_id", "h", "n")
     found = coded.mapInArrow(_shingle_batches(_bit_table(spark, sketch), widths), "doc_id long, text_key long, h long")
     candidates = stored(found.join(sketch, "h").select(*key, "item_id", "n").distinct())
-    # Exact counts: the documents that have candidates, their shingles that any item has.
+    # Exact counts: the shingles of documents with candidates that any item has. Texts stay where they are read;
+    # the few that only share bits with a candidate's key find no partner in the join.
+    known = coded.mapInArrow(_shingle_batches(_bit_table(spark, listed), widths, _bit_table(spark, candidates, "text_key")),
+                             "doc_id long, text_key long, h long").distinct()
     pair = candidates.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    held = coded.join(pair.select("_doc", "_key").distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left_semi")
-    known = held.mapInArrow(_shingle_batches(_bit_table(spark, listed), widths), "doc_id long, text_key long, h long").distinct()
     shared = known.join(pair, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))) \
         .join(listed.select("item_id", "h"), ["item_id", "h"], "left_semi")
     return shared.groupBy(*key, "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.max("n").alias("n_item")) \
