@@ -16,6 +16,7 @@ from wastelens.session import cut_lineage, ship_package
 
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000,
            "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+FIT_BYTES = 1 << 20  # longer texts are scored, but no classifier is fitted on them
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -73,13 +74,15 @@ def bounded_sample(df: DataFrame, key: str, bound: int, salt: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int,
-                    salt: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` with a column ``_y``: at most ``bound`` labelled ids for each class.
+                    salt: str, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = FIT_BYTES) -> DataFrame:
+    """One row of ``docs`` for each sampled id, with a column ``_y``: at most ``bound`` labelled ids for each class.
 
     ``labels`` may repeat an id; its largest label counts. Rows with a null id
     or label, and ids for which ``learn`` (an expression over ``id_col``) is
     not true, are never used. The sampled ids are at most twice ``bound``, so
-    they are broadcast.
+    they are broadcast. Of an id's rows the one whose text has the smallest hash is used, and none of more
+    than ``most_bytes``, so what is fitted on is at most ``2 * bound`` rows and ``most_bytes`` each, however
+    many rows an id has and however long texts are.
     """
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
              .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1)))
@@ -87,7 +90,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     parts = [bounded_sample(known.where(F.col("_y") == y).select("_id").distinct(), "_id", bound, salt)
              .withColumn("_y", F.lit(y)) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).groupBy("_id").agg(F.max("_y").alias("_y"))
-    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "inner").drop("_id")
+    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "inner") \
+        .where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= most_bytes)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns], "_y")
+    return rows.groupBy("_id").agg(F.min_by(row, F.struct(F.xxhash64(text_col), F.col(text_col))).alias("_row")).select("_row.*")
 
 
 def every_fifth(y: np.ndarray) -> np.ndarray:
