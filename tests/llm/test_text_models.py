@@ -158,3 +158,15 @@ def test_quality_rules_match_brute_force(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(x.kept != x.base_failed for x in R.judge(df, none).collect())
     assert R.judge(make_docs([]), lab).count() == 0
+
+
+def test_a_hot_id_sends_one_row_of_bounded_size(spark, make_docs):
+    from wastelens.llm.common import labelled_sample
+
+    docs = make_docs([(1, f"text {k}") for k in range(400)] + [(k, f"own {k}") for k in range(2, 60)] + [(2, "long " * 1000), (70, None)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)] + [(70, 0), (1, 0)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", F.lit(True), 40, "s", most_bytes=3000).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 60 and {1, 2, 70} <= {r.doc_id for r in got}
+    assert next(r for r in got if r.doc_id == 1)["_y"] == 1 and next(r for r in got if r.doc_id == 2).text == "own 2"
+    again = labelled_sample(docs.repartition(7), labels, "toxic", F.lit(True), 40, "s", most_bytes=3000).collect()
+    assert {(r.doc_id, r.text) for r in again} == {(r.doc_id, r.text) for r in got}
