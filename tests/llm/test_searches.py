@@ -204,6 +204,23 @@ def test_long_chains_and_empty_tables(spark):
     assert link(spark, [], []) == []
 
 
+def test_identifiers_are_hash_joined_and_long_chains_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "SLICE", 3)
+    n = 40
+    calls = spark.createDataFrame([(1, k * 2, f"c{k}", "t", "{}", f"c{k - 1}") for k in range(n)] + [(None, 5, "x", "t", "{}", None)],
+                                  "conv_id long, turn long, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, k * 2 + 1, f"c{k}", "r") for k in range(n)] + [(1, None, "c0", "late"), (None, None, None, None)],
+                                    "conv_id long, turn long, call_id string, content string")
+    out = C.link_calls(calls, results, {"t": {}})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 4
+    rows = sorted(((r.position, r.kind, r.call_id) for r in out.where("conv_id = 1").collect()))
+    assert [p for p, *_ in rows] == list(range(2 * n + 1))
+    assert [c for _, k, c in rows if k == "call"] == [f"c{k}" for k in range(n)]
+    lone = out.where("conv_id is null").collect()
+    assert sorted(r.position for r in lone) == [0, 1]
+
+
 def test_sql_of_conversations(spark, tmp_path):
     rows = [(1, 0, "system", "be\nnice"), (1, 1, "user", 'say "hi" ' * 30), (1, 2, "assistant", "é\t"), (1, 3, "user", "a\nb"),
             (1, 4, "assistant", ""), (2, 0, "user", "x " * 60), (2, 1, "user", "y"), (3, 0, "assistant", "alone"), (4, 5, "tool", "t")]
