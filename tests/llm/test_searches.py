@@ -79,6 +79,27 @@ def test_sketches_hold_one_more_than_may_be_missing(spark):
         assert k >= min(n, n - -(-n * 8 // 10) + 1)
 
 
+def test_deep_shared_chains_take_few_rounds(spark, monkeypatch):
+    chain = [f"s{k}x" for k in range(300)]
+    urls = ["/".join(chain) + "/left/end", "/".join(chain) + "/right/end/more"] + ["/".join(chain[:k]) for k in range(1, 300, 7)]
+    pages = spark.createDataFrame([("h", "/" + u, None) for u in urls], "host string, pattern string, y int")
+    jobs, real = [], U.stored
+
+    def spy(df):
+        jobs.append(1)
+        return real(df)
+    monkeypatch.setattr(U, "stored", spy)
+    got = {r.pattern: r.template for r in U.templates(pages).collect()}
+    assert len(jobs) <= 6
+    head = chain[:U.NAMED]
+    for u in urls[2:]:
+        n = u.count("/") + 1
+        assert got["/" + u] == "/" + "/".join(head[:n] + ["*"] * (n - U.NAMED))
+    for u, end in zip(urls, (["end"], ["end", "more"])):
+        t = got["/" + u].split("/")[1:]
+        assert t[:300] == head + ["*"] * 294 and t[301:] == ["*"] * len(end)
+
+
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 

@@ -16,8 +16,10 @@ below a host and the template so far, a segment becomes ``*`` if
   (within ``DEPTH_GAP`` segments).
 
 So branches that behave alike merge, and those that stand out keep their name. Paths are
-followed to their end: a pattern leaves the level loop when it is the only one left below its template,
-as then nothing is to be told apart. Past ``NAMED`` segments an only child is written ``*`` too, which merges
+followed to their end. Segments that all patterns below a template share, as far as each goes, are passed over
+at once, up to the first where two differ; so the rounds are as many as branchings stand above one another,
+however deep paths are (a crawler trap of thousands of segments, or patterns that each go on a segment
+further, take one). Past ``NAMED`` segments an only child is written ``*`` too, which merges
 nothing. A template is rejected if its smoothed share of distrusted labels is at least
 ``REJECT``: ``PRIOR`` pseudo-labels pull it to the host's share, which is pulled to the overall one likewise.
 
@@ -71,44 +73,54 @@ def _shown(segment: Column, level: Column) -> Column:
     return F.when(level < NAMED, segment).otherwise("*")
 
 
+def shared_passed(rows: DataFrame) -> DataFrame:
+    """``rows`` (host, template, level, rest) moved on over the segments that the patterns of a (host,
+    template) share: each agrees with the longest one as far as it goes itself, up to the first place where one does not."""
+    group = ["host", "template"]
+    longest = rows.groupBy(*group).agg(F.max_by("rest", F.struct(F.size("rest"), "pattern")).alias("longest"))
+    first = F.array_position(F.zip_with("rest", "longest", lambda a, b: a.eqNullSafe(b)), False)
+    rows = rows.join(longest, group).withColumn("agree", F.when(first == 0, F.size("rest")).otherwise(first - 1).cast("int")).drop("longest")
+    fork = rows.where("agree < size(rest)").groupBy(*group).agg(F.min("agree").alias("fork"))
+    rows = rows.join(fork, group, "left").withColumn("passed", F.least(F.coalesce("fork", F.size("rest")), F.size("rest")))
+    names = F.transform(F.slice("rest", 1, F.col("passed")), lambda s, i: F.concat(F.lit("/"), _shown(s, i + F.col("level"))))
+    return rows.withColumns({"template": F.concat("template", F.array_join(names, "")), "level": F.col("level") + F.col("passed"),
+                             "rest": F.slice("rest", F.col("passed") + 1, F.size("rest"))}).drop("agree", "fork", "passed")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, pattern, template, n, labelled, bad) from (host, pattern, y), one row for each
     pattern; y 1 for a distrusted page, 0 for a trusted one, null without a label."""
     rows = stored(pages.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"), F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("bad"))
-        .withColumn("segments", F.filter(F.split("pattern", "/"), lambda s: s != "")).withColumn("template", F.lit("")))
-    level, done = 0, []
+        .withColumn("rest", F.filter(F.split("pattern", "/"), lambda s: s != ""))
+        .withColumns({"template": F.lit(""), "level": F.lit(0)}))
+    done = [rows.where("size(rest) = 0")]
     while True:
-        done.append(rows.where(F.size("segments") <= level))
-        rows = rows.where(F.size("segments") > level)
+        rows = rows.where("size(rest) > 0")
         if rows.isEmpty():
             break
-        here = rows.withColumn("segment", F.get("segments", F.lit(level))) \
-            .withColumn("more", (F.size("segments") - level) * F.col("n"))
+        rows = stored(shared_passed(rows))
+        done.append(rows.where("size(rest) = 0"))
+        here = rows.where("size(rest) > 0").withColumn("segment", F.get("rest", F.lit(0))) \
+            .withColumn("more", F.size("rest") * F.col("n"))
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad", "more")]
-        child = here.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("patterns"), *sums)
+        child = here.groupBy("host", "template", "segment").agg(F.first("level").alias("level"), *sums)
         parent = child.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("children"), F.sum("patterns").alias("p_patterns"),
-            *[F.sum(c).alias("p_" + c) for c in ("n", "labelled", "bad", "more")])
+            F.count(F.lit(1)).alias("children"), *[F.sum(c).alias("p_" + c) for c in ("n", "labelled", "bad", "more")])
         rate = F.col("p_bad") / F.greatest(F.col("p_labelled"), F.lit(1))
         own = F.col("bad") / F.greatest(F.col("labelled"), F.lit(1))
         error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("labelled"), F.lit(1)))
         variable = (F.col("children") > MANY) & (F.col("n") < RARE * F.col("p_n"))
         alike = (F.col("children") > 1) & ((F.col("labelled") == 0) | (F.abs(own - rate) <= Z * error)) \
             & (F.abs(F.col("more") / F.col("n") - F.col("p_more") / F.col("p_n")) <= DEPTH_GAP)
-        only = _shown(F.col("segment"), F.lit(level))
+        only = _shown(F.col("segment"), F.col("level"))
         named = child.join(parent, ["host", "template"]).select(
-            "host", "template", "segment", (F.col("p_patterns") == 1).alias("alone"),
+            "host", "template", "segment",
             F.when(variable | alike, "*").when(F.col("children") == 1, only).otherwise(F.col("segment")).alias("shown"))
-        # What follows in a pattern that is alone has only children, too.
-        tail = F.transform(F.slice("segments", level + 2, F.size("segments")),
-                           lambda s, i: F.concat(F.lit("/"), _shown(s, i + level + 1)))
-        rows = stored(here.drop("more").join(named, ["host", "template", "segment"]).withColumn(
-            "template", F.concat("template", F.lit("/"), "shown", F.when(F.col("alone"), F.array_join(tail, "")).otherwise("")))
-            .drop("segment", "shown"))
-        done.append(rows.where("alone").drop("alone"))
-        rows = rows.where("not alone").drop("alone")
-        level += 1
+        rows = stored(here.drop("more").join(named, ["host", "template", "segment"]).withColumns({
+            "template": F.concat("template", F.lit("/"), "shown"), "level": F.col("level") + 1,
+            "rest": F.slice("rest", 2, F.size("rest"))}).drop("segment", "shown"))
+        done.append(rows.where("size(rest) = 0"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
