@@ -221,3 +221,29 @@ def test_strings_of_a_dealt_gram_are_spread_in_the_second_round():
         add(X._sorter(0)(pa.Table.from_batches([X._blob_rows(rows)])))
     want = brute(docs)
     assert {d: sum(b - a for a, b in X.merge(spans.get(d, ()))) for d, _ in docs} == {d: w[1] for d, w in want.items()}
+
+
+def test_searches_in_small_parts_give_the_same_links(monkeypatch):
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2 ** 63, 40).astype(np.uint64)
+    one = np.uint64(1)
+    code = np.unique(base[r.integers(0, 40, 900)] ^ (one << r.integers(0, 64, 900).astype(np.uint64)) ^ (one << r.integers(0, 64, 900).astype(np.uint64)))
+    key = (code % np.uint64(3)).astype(np.int64)
+
+    def groups(u, v):
+        up = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+        for a, b in zip(u.tolist(), v.tolist()):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+        return {frozenset(x for x in up if top(x) == t) for t in {top(x) for x in up}}
+    want = groups(*S.linked(key, code, 3))
+    brute = [(a, b) for own in (code[key == k] for k in range(3)) for i, a in enumerate(own) for b in own[i + 1:] if int(a ^ b).bit_count() <= 3]
+    assert want == groups(*(np.array(x, np.uint64) for x in zip(*brute)))
+    for most in (1, 50, 3000):
+        monkeypatch.setattr(S, "FRONTIER", most)
+        assert groups(*S.linked(key, code, 3)) == want

@@ -48,6 +48,7 @@ FAN = 8
 BROADCAST_ROWS = 50_000
 DOCS_AT_ONCE = 500
 ROWS_AT_ONCE = 100_000
+FRONTIER = 1 << 18  # pairs of a query and a node that a search holds at a time
 
 # Byte -> its 8 bits as the 8 byte lanes of one 64-bit word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -188,24 +189,32 @@ def linked(key: np.ndarray, code: np.ndarray, max_bits: int) -> tuple[np.ndarray
         last = [np.arange(n)]
         for e in ends:
             last.append(last[-1][e - 1])
-        step = max(1, ROWS_AT_ONCE // 4)
-        for lo in range(0, n, step):
-            query = np.arange(lo, min(n, lo + step))
-            node = np.repeat(np.arange(len(first)), size)[query]
-            diff = np.zeros(len(query), np.int64)  # below one key, the top's shared bits agree
-            for depth in range(len(levels) - 1, 0, -1):
-                begin, end = levels[depth][0][node], ends[depth - 1][node]
-                count = end - begin
-                child = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                q, parent, acc = np.repeat(query, count), np.repeat(node, count), np.repeat(diff, count)
-                later = last[depth - 1][child] > q
-                child, q, parent, acc = child[later], q[later], parent[later], acc[later]
-                _, value, shared = levels[depth - 1]
-                fresh = shared[child] & ~levels[depth][2][parent]
-                acc = acc + np.bitwise_count((code[q] ^ value[child]) & fresh)
-                near = acc <= max_bits
-                query, node, diff = q[near], child[near], acc[near]
-            forest.join(query, node)
+        # What is still to be searched: (depth, queries, their nodes, bits that differ so far). A part whose
+        # children would be more than FRONTIER is cut, the rest waits, so memory does not grow with the nodes.
+        top = len(levels) - 1
+        todo = [(top, np.arange(n), np.repeat(np.arange(len(first)), size), np.zeros(n, np.int64))]  # the top's shared bits agree
+        while todo:
+            depth, query, node, diff = todo.pop()
+            if not len(query):
+                continue
+            if depth == 0:
+                forest.join(query, node)
+                continue
+            begin, end = levels[depth][0][node], ends[depth - 1][node]
+            count = end - begin
+            fit = max(1, int(np.searchsorted(np.cumsum(count), FRONTIER, side="right")))
+            if fit < len(query):
+                todo.append((depth, query[fit:], node[fit:], diff[fit:]))
+                query, node, diff, begin, count = query[:fit], node[:fit], diff[:fit], begin[:fit], count[:fit]
+            child = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            q, parent, acc = np.repeat(query, count), np.repeat(node, count), np.repeat(diff, count)
+            later = last[depth - 1][child] > q
+            child, q, parent, acc = child[later], q[later], parent[later], acc[later]
+            _, value, shared = levels[depth - 1]
+            fresh = shared[child] & ~levels[depth][2][parent]
+            acc = acc + np.bitwise_count((code[q] ^ value[child]) & fresh)
+            near = acc <= max_bits
+            todo.append((depth - 1, q[near], child[near], acc[near]))
     moved = np.flatnonzero(forest.root != np.arange(n))
     return code[moved], code[forest.root[moved]]
 
