@@ -170,3 +170,49 @@ def test_a_hot_id_sends_one_row_of_bounded_size(spark, make_docs):
     assert next(r for r in got if r.doc_id == 1)["_y"] == 1 and next(r for r in got if r.doc_id == 2).text == "own 2"
     again = labelled_sample(docs.repartition(7), labels, "toxic", F.lit(True), 40, "s", most_bytes=3000).collect()
     assert {(r.doc_id, r.text) for r in again} == {(r.doc_id, r.text) for r in got}
+
+
+def test_toxicity_equals_a_plain_forward_pass(labelled):
+    df, lab, _ = labelled
+    c = X.fit(df, lab)
+    m = c.model
+    rows = df.select("doc_id", F.col("text").alias("t"), X.word_ids(F.coalesce("text", F.lit(""))).alias("ids")).collect()
+    got = Counter((r.doc_id, r.t, round(r._score, 6)) for r in X.score(df.withColumn("t", F.col("text")), c, ["doc_id", "t"]).collect())
+    want = Counter()
+    for r in rows:
+        half = len(r.ids) // 2
+        vec = m.vectors[m.row[np.array(r.ids[:half])]] + m.vectors[m.row[np.array(r.ids[half:])]]
+        n = half - max(X.WIDTHS)  # words; the rest are pads
+        best = []
+        for f in m.filters:
+            width = len(f)
+            windows = [sum(vec[i + j] @ f[j] for j in range(width)) for i in range(n + 1)]
+            best.append(np.max(windows, axis=0))
+        z = np.maximum(np.concatenate(best) + m.bias, 0) @ m.weight + m.shift
+        want[(r.doc_id, r.t, round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 6))] += 1
+    near = sum((got & want).values())
+    assert near >= sum(want.values()) - 2 and sum(got.values()) == sum(want.values())  # the sixth place may round apart
+
+
+def test_quality_equals_a_plain_forward_pass(spark, make_docs):
+    docs, labels = junk_corpus(80)
+    long = "LA!! ba " * 20_000
+    df = make_docs(docs + [(500, None), (501, ""), (502, "la la la"), (503, long), (3, docs[3][1]), (3, docs[3][1])])
+    m = M.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r._score for r in M.score(df, m, ["doc_id"]).collect()}
+    for i, t in [*docs[:12], (500, ""), (501, ""), (502, "la la la"), (503, long)]:
+        words = t.split()
+        total, n = np.zeros(2), 0
+        seen = {}
+        for k, w in enumerate(words):
+            if w not in seen:
+                seen[w] = M.word_features(pa.array([w]))[0]
+            total += m.table[seen[w]].astype(float).sum(axis=0)
+            n += len(seen[w])
+            if k and words[k - 1] == w:
+                total += m.table[M.AGAIN]
+                n += 1
+        z = total / max(n, 1) + m.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(m.slope * (z[1] - z[0]) + m.shift, -30, 30)))) < 1e-5
+    assert M.score(df, m, ["doc_id"]).where("doc_id = 3").select("_score").distinct().count() == 1
+    assert M.score(make_docs([]), m, ["doc_id"]).count() == 0

@@ -10,7 +10,10 @@ labelled share of the classes. Vectors start at zero, so unseen n-grams add noth
 
 For scoring, vectors times output layer are one small table; each different word of a batch
 is hashed once. Null and empty texts have no vector: their score is that of a mean of zero. Without
-labels of both classes every score is the share of the class (0.5 without any).
+labels of both classes every score is the share of the class (0.5 without any). Rows that repeat an id
+or a text are scored each by itself and alike, equal scores fall on the same side of a threshold, an
+empty table gives an empty result, and a very long text is averaged whole. Other columns pass
+through untouched.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ A task keeps a forest of the links it finds and gives out one link for each
 fingerprint at most, so a dense group of near copies does not give all pairs.
 
 Null texts count as empty; null ids link like others but never name a component;
-an empty table gives an empty result.
+an empty table gives an empty result. Rows that repeat an id or a text are rows like any other; ties (equal
+ids of a component, equal ranks of equal codes) give the same ids either way. Very long texts are hashed whole.
 """
 
 from __future__ import annotations
