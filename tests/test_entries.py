@@ -82,3 +82,14 @@ def test_enrichment_strips_all_white_space(spark):
     sop = spark.createDataFrame([("r", "u")], "reason string, sop_url string")
     r = EN.enrich_entries(e, m, None, sop, use_mock=False).first()
     assert (r.suite, r.employee_id, r.batch_lot, r.notes, r.total_cost) == ("QC", "e", "L", "n", 3.0)
+
+
+def test_totals_come_in_order_with_a_fixed_tie(spark):
+    rows = [("s2", "n", "A", "r1", 5, 1.0), ("s1", "d", "B", "r2", 5, 9.0), ("s1", "n", "C", "r1", 7, 2.0), ("s3", "d", "A", "r3", 1, 9.0)]
+    d = spark.createDataFrame(rows * 3, "suite string, shift string, material string, reason string, quantity long, total_cost double").repartition(5)
+    assert [(r.shift, r.quantity) for r in D.by_shift(d).collect()] == [("n", 36), ("d", 18)]
+    assert [(r.material, r.quantity) for r in D.by_material(d).collect()] == [("C", 21), ("A", 18), ("B", 15)]
+    assert [r.reason for r in D.by_reason(d).collect()] == ["r1", "r2", "r3"]
+    assert [r.suite for r in D.by_suite_cost(d).collect()] == ["s1", "s3", "s2"]
+    assert [r.suite for r in D.by_suite_qty(d).collect()] == ["s1", "s2", "s3"]
+    assert [r.value for r in D.overall_material(d, "total_cost").collect()] == [30.0, 27.0, 6.0]

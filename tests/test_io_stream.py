@@ -131,3 +131,48 @@ def test_stream_chain_links_per_key(spark, sf001):
     assert per.where("g != 1").count() == 0
     known = out.select("chain", F.col("hash").alias("prev_hash"))
     assert out.where("prev_hash != ''").join(known, ["chain", "prev_hash"], "left_anti").count() == 0
+
+
+def test_chain_links_rows_that_come_out_of_order(spark):
+    import hashlib
+    root = tempfile.mkdtemp(prefix="wl-chain-")
+    t0 = dt.datetime(2024, 1, 1)
+
+    def put(rows):
+        spark.createDataFrame([(k, t0 + dt.timedelta(minutes=m), i) for k, m, i in rows], "k string, ts timestamp, id string") \
+            .coalesce(1).write.mode("append").parquet(root + "/in")
+
+    def run():
+        s = J.file_stream(spark, root + "/in", max_files_per_trigger=1)
+        out = J.run_available_now(J.chain_stream(s, "k", "id", "ts", ["id"], watermark="3 hours", step="1 hour"), root=root + "/q")
+        return sorted(((r.chain, r.ts, len(r.id), r.id, r.prev_hash, r.hash) for r in out.collect()))
+
+    put([("a", 100, "4"), ("a", 30, "2"), ("b", 20, "1")])
+    put([("a", 10, "1"), ("a", 100, "10"), ("a", 70, "3")])  # earlier ones come later
+    assert run() == []  # nothing is closed yet
+    put([("a", 400, "99")])  # the watermark reaches 220 minutes
+    put([("a", 40, "dropped"), ("a", 230, "5")])  # behind the watermark; before it
+    put([("b", 900, "98")])
+    got = run()
+    assert [(r[0], r[3]) for r in got] == [("a", "1"), ("a", "2"), ("a", "3"), ("a", "4"), ("a", "10"), ("a", "5"), ("a", "99"), ("b", "1")]
+    prev = {}
+    for chain, _, _, i, p, h in got:
+        assert p == prev.get(chain, "") and h == hashlib.sha256(f"{i}|{p}".encode()).hexdigest()
+        prev[chain] = h
+
+
+def test_an_update_writes_only_the_days_it_touches(spark):
+    root = tempfile.mkdtemp(prefix="wl-touch-")
+    _days(spark, root + "/in", [(d, 1.0) for d in range(1, 21)])
+
+    def run():
+        s = J.file_stream(spark, root + "/in", max_files_per_trigger=1)
+        out = J.run_available_now(J.day_totals(s, watermark="40 days"), mode="update", root=root + "/q", keys=["day"])
+        files = {(d, f) for d, _, names in os.walk(root + "/q/out") for f in names if f.startswith("part-")}
+        return {r.day.day: (r.day_cost, r.entries) for r in out.collect()}, files
+    first, before = run()
+    assert first == {d: (1.0, 1) for d in range(1, 21)}
+    _days(spark, root + "/in", [(7, 5.0)])
+    second, after = run()
+    assert second == {**first, 7: (6.0, 2)}
+    assert {os.path.basename(d) for d, _ in before ^ after} == {"day=2024-01-07"}
