@@ -247,3 +247,23 @@ def test_searches_in_small_parts_give_the_same_links(monkeypatch):
     for most in (1, 50, 3000):
         monkeypatch.setattr(S, "FRONTIER", most)
         assert groups(*S.linked(key, code, 3)) == want
+
+
+def test_rows_that_repeat_id_and_text_are_worked_on_once(spark, make_docs, monkeypatch):
+    r = random.Random(2)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(120))
+    rows = [(5, f"own {shared} tail")] * 40 + [(None, shared)] * 30 + [(1, "x " + shared), (9, shared + " z"), (5, "another " + shared), (7, "short")]
+    df = make_docs(rows, extra=1)
+    wide = {str(sorted(map(tuple, X.repeat_digests(df).collect()), key=str))}, {str(sorted(map(str, X.remove_repeats(df).collect())))}
+    parts, real = [], X.copies_apart
+
+    def spy(base):
+        parts.append(real(base))
+        return parts[-1]
+    monkeypatch.setattr(X, "copies_apart", spy)
+    for copies, few in ((20, 100), (20, 0), (35, 100)):
+        monkeypatch.setattr(X, "COPIES", copies)
+        monkeypatch.setattr(X, "FEW_HOT", few)
+        assert {str(sorted(map(tuple, X.repeat_digests(df).collect()), key=str))} == wide[0]
+        assert {str(sorted(map(str, X.remove_repeats(df).collect())))} == wide[1]
+    assert [p[0].count() for p in parts[::2]] == [6, 6, 35]

@@ -62,6 +62,8 @@ WINDOWS = 1 << 18  # strings compared together
 SAMPLE_DOCS = 2000
 KEYS_A_DOC = 64
 ROWS_A_CHUNK = 50_000
+COPIES = 1000  # rows of one id and text from which they are worked on once
+FEW_HOT = 100_000  # such ids and texts that are broadcast
 PLACES = 4  # places of the second round for each bucket of the first
 
 _U = np.uint64
@@ -592,9 +594,25 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         [F.struct(F.col(id_col), *others).alias("_row")] if others else []))
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """``_plain`` rows with ``_chunk``; number of rows; bytes of text; number of chunks."""
-    base = _plain(docs, id_col, text_col)
+def copies_apart(base: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows to work on, with ``_rep``, and the copies (if any) of ids and texts that more than ``COPIES`` rows
+    repeat: of these one row each, marked ``_rep``, is worked on, and every copy gets its result
+    by a join, so that they don't all meet in one chunk."""
+    hot = stored(base.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES)
+                 .select(F.col("_id").alias("_hot"), F.col("_key").alias("_hot_key")))
+    n = hot.count()
+    if n == 0:
+        return base.withColumn("_rep", F.lit(False)), None
+    # One row in COPIES at most; past a bounded number the planner joins by shuffle.
+    hot = F.broadcast(hot) if n <= FEW_HOT else hot
+    same = F.col("_id").eqNullSafe(F.col("_hot")) & (F.col("_key") == F.col("_hot_key"))
+    copies = base.join(hot, same, "left_semi")
+    one = copies.groupBy("_id", "_key").agg(F.first("_bytes").alias("_bytes")).withColumn("_rep", F.lit(True))
+    return base.join(hot, same, "left_anti").withColumn("_rep", F.lit(False)).unionByName(one, allowMissingColumns=True), copies
+
+
+def chunked(base: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int, int]:
+    """``base`` with ``_chunk``; number of rows; bytes of text; number of chunks."""
     n, size = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_bytes")), F.lit(0))).first()
     chunks = max(1, -(-size // chunk_bytes), -(-n // ROWS_A_CHUNK))
     return base.withColumn("_chunk", _chunk_of("_id", "_key", chunks)), n, size, chunks
@@ -703,12 +721,15 @@ def _finisher(write):
     return run
 
 
+KEYS = ["_id", "_key", "_rep"]
+
+
 def _digests(table: pa.Table, texts) -> pa.Table:
     rows = [(len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_pieces(t, runs)).hexdigest())
             for t, runs in texts]
     cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.table([table.column("_id").cast(pa.int64()), *[pa.array(c, pa.int64()) for c in cols[:3]],
-                     pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return pa.table([*[table.column(c) for c in KEYS], *[pa.array(c, pa.int64()) for c in cols[:3]],
+                     pa.array(cols[3], pa.string())], [*KEYS, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _removed(table: pa.Table, texts) -> pa.Table:
@@ -717,20 +738,34 @@ def _removed(table: pa.Table, texts) -> pa.Table:
         runs = whole_characters(t, runs)
         kept.append(kept_pieces(t, runs).decode("utf-8", "replace"))
         removed.append(sum(b - a for a, b in runs))
-    return pa.table([table.column("_row"), pa.array(kept, pa.string()), pa.array(removed, pa.int64())], ["row", "kept", "removed"])
-
-
-def _finish(docs: DataFrame, id_col: str, text_col: str, write, schema, chunk_bytes=None, bucket_bytes=None) -> DataFrame:
-    base, n, size, chunks = chunked(docs, id_col, text_col, chunk_bytes or CHUNK_BYTES)
-    runs = repeated_runs(base, n, size, chunks, bucket_bytes or BUCKET_BYTES)
-    return base.groupBy("_chunk").cogroup(runs.groupBy("_chunk")).applyInArrow(_finisher(write), schema)
+    return pa.table([*[table.column(c) for c in KEYS], table.column("_row"), pa.array(kept, pa.string()), pa.array(removed, pa.int64())],
+                    [*KEYS, "row", "kept", "removed"])
+
+
+def _finish(base: DataFrame, write, fields: list[T.StructField], own: list[str], chunk_bytes=None, bucket_bytes=None) -> DataFrame:
+    """What ``write`` makes of each row of ``base``: ``own``, its own columns, and ``fields``, which its text decides."""
+    work, copies = copies_apart(base)
+    work, n, size, chunks = chunked(work, chunk_bytes or CHUNK_BYTES)
+    runs = repeated_runs(work, n, size, chunks, bucket_bytes or BUCKET_BYTES)
+    keys = [T.StructField("_id", T.LongType()), T.StructField("_key", T.LongType()), T.StructField("_rep", T.BooleanType())]
+    rows = [T.StructField("row", base.schema["_row"].dataType)] if own == ["row"] else []
+    out = work.groupBy("_chunk").cogroup(runs.groupBy("_chunk")).applyInArrow(_finisher(write), T.StructType([*keys, *rows, *fields]))
+    names = [f.name for f in fields]
+    result = out.where("not _rep").select(*own, *names)
+    if copies is None:
+        return result
+    once = out.where("_rep").select(F.col("_id").alias("_of"), F.col("_key").alias("_of_key"), *names)
+    mine = copies.select("_id", "_key", *([F.col("_row").alias("row")] if rows else []))
+    return result.unionByName(mine.join(once, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_of_key")))
+                              .select(*own, *names))
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None,
                    bucket_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    return _finish(docs.select(id_col, text_col), id_col, text_col, _digests,
-                   "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", chunk_bytes, bucket_bytes)
+    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    return _finish(_plain(docs.select(id_col, text_col), id_col, text_col), _digests, [*fields, T.StructField("kept_sha256", T.StringType())],
+                   ["_id"], chunk_bytes, bucket_bytes).withColumnRenamed("_id", "doc_id")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -738,10 +773,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that is left, and the number of bytes that went. Runs are cut to whole characters."""
     if set(docs.columns) == {id_col, text_col}:
         docs = docs.withColumn("_none", F.lit(None).cast("int"))
-    row = _plain(docs, id_col, text_col).schema["_row"]
-    schema = T.StructType([T.StructField("row", row.dataType, row.nullable), T.StructField("kept", T.StringType()),
-                           T.StructField("removed", T.LongType())])
-    return _finish(docs, id_col, text_col, _removed, schema)
+    fields = [T.StructField("kept", T.StringType()), T.StructField("removed", T.LongType())]
+    return _finish(_plain(docs, id_col, text_col), _removed, fields, ["row"])
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
