@@ -88,8 +88,9 @@ class ChainLinker(StatefulProcessor):
     """Links a key's rows in (ts, id) order, in whatever order they come.
 
     Rows wait in a list state until the watermark has passed the end of their stretch of event time
-    (``step_ms``); a timer at that end then links all that waited for it. What waits is bounded by
-    the watermark's delay and a step; besides, a key keeps one digest. Rows behind the watermark are dropped,
+    (``step_ms``); the first timer that fires then links all rows of closed stretches, the others of the
+    same batch see that it is done. What waits is bounded by
+    the watermark's delay and a step; besides, a key keeps one digest and one time. Rows behind the watermark are dropped,
     as in any event-time aggregate.
     """
 
@@ -99,6 +100,7 @@ class ChainLinker(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "hash string")
+        self.done = handle.getValueState("done", "until long")
         self.waiting = handle.getListState("waiting", "micros long, id string, payload string")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -118,7 +120,12 @@ class ChainLinker(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        if self.done.exists() and self.done.get()[0] >= end:
+            return iter([])
+        until = max(end, timerValues.getCurrentWatermarkInMs() // self.step_ms * self.step_ms)
+        self.done.update((until,))
+        end = until * 1000
         rows = list(self.waiting.get())
         due = sorted((r for r in rows if r[0] < end), key=lambda r: (r[0], len(r[1]), r[1]))
         if not due:
