@@ -62,6 +62,17 @@ def test_run_gives_the_packed_pieces(spark, corpus):
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 100
 
 
+def test_a_row_repeated_often_is_one_document(spark, corpus, make_docs):
+    folder, _ = corpus
+    text = "words of one row that many rows repeat and nothing else holds them " * 3
+    docs = make_docs([(7, text)] * 1500 + [(8, text), (9, None), (None, None)])
+    kept = P.drop_near_duplicates(spark, docs, folder)
+    assert sorted((r.doc_id, (r.text or "")[:7]) for r in kept.collect()) == [(7, "words o"), (9, "")]
+    cut = P.drop_repeated_passages(spark, docs, folder)
+    assert cut.where("doc_id = 7").count() == 1500 and cut.where("doc_id = 8").count() == 0  # all of it stands in 7
+    assert {r.text for r in cut.where("doc_id = 7").select("text").distinct().collect()} == {text}
+
+
 def test_stages_on_an_empty_table(spark, corpus, make_docs):
     folder, _ = corpus
     empty = make_docs([])
@@ -73,5 +84,5 @@ def test_entry_adds_the_queries():
     import __spark_entry__ as E
 
     names = set(E.queries())
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert set(E.oracle_sql()) <= names and "pipeline" not in E.oracle_sql()

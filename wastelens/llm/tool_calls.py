@@ -12,9 +12,9 @@ names and a result after its call:
   with the logarithm of the longest chain, and a chain that is still open after as many rounds as any
   chain could need is a cycle. An ``after`` that names no call counts as none.
 * ``position``: gapless from 0 in a conversation, by (depth, turn, calls before results, call id, JSON). It is
-  counted in slices of the order and shifted by the slices before, these counted in ranges of depths, so a
-  conversation with a third of all events, chained or not, is no single task. (Events of a conversation
-  without a turn are one slice.)
+  counted in slices of the order and shifted by the slices before, so of a conversation with
+  a third of all events one task sees the sizes of slices only. (A chain has a slice a depth; events of a
+  conversation without a turn are one slice.)
 * ``errors``: what in the arguments breaks the tool's schema, in the order of names.
 * ``json``: canonical JSON of the event: keys in order, no blanks.
 
@@ -48,7 +48,7 @@ def depths(calls: DataFrame) -> DataFrame:
             break
         # Calls whose chain is settled need no lookup.
         there = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        todo = state.where(F.col("up").isNotNull()).join(there.hint("shuffle_hash"), ["conv_id", "up"])
+        todo = state.where(F.col("up").isNotNull()).join(there, ["conv_id", "up"])
         state = stored(state.where(F.col("up").isNull()).unionByName(todo.select(
             *KEYS, F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))))
     return state.select(*KEYS, F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
@@ -91,7 +91,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict, others: DataFr
     depth = depths(heads)
 
     linked = calls.join(answers.select(*KEYS, F.lit(True).alias("answered")).hint("shuffle_hash"), KEYS, "left") \
-        .join(depth.hint("shuffle_hash"), KEYS, "left")
+        .join(depth, KEYS, "left")
     args = F.try_parse_json("arguments")
     call_status = F.when(~F.col("is_first"), "repeated").when(
         F.col("call_id").isNotNull() & F.col("conv_id").isNotNull() & F.col("depth").isNull(), "cycle").when(
@@ -102,11 +102,11 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict, others: DataFr
         F.to_json(F.struct(F.col("args").alias("arguments"), F.col("call_id").alias("id"), F.col("name"),
                            F.lit("tool_call").alias("type"))).alias("json"))
 
-    known = heads.select(*KEYS, F.lit(True).alias("called")).join(depth.hint("shuffle_hash"), KEYS)
+    known = heads.select(*KEYS, F.lit(True).alias("called")).join(depth, KEYS)
     turns = answers.select(*KEYS, F.col("answer.turn").alias("answer_turn"))
     res = results.select(*KEYS, F.col("turn").cast("long").alias("turn"), "content")
     res = res.withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS, "turn").orderBy("content"))) \
-        .join(known.hint("shuffle_hash"), KEYS, "left").join(turns.hint("shuffle_hash"), KEYS, "left")
+        .join(known.hint("shuffle_hash"), KEYS, "left").join(turns, KEYS, "left")
     head = (F.col("turn") == F.col("answer_turn")) & (F.col("nth") == 1)
     result_rows = res.select(
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id", "depth",
@@ -130,14 +130,9 @@ def numbered(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("slice", F.struct("place", F.floor(F.col("turn") / SLICE).alias("turns")))
     inner = Window.partitionBy("conv_id", "slice").orderBy("turn", "kind", "call_id", "json")
     rows = rows.withColumn("nth", F.row_number().over(inner))
-    # A long chain has a slice a depth: slices are summed up inside ranges of depths, and ranges in a conversation.
-    sizes = rows.groupBy("conv_id", "slice").agg(F.count(F.lit(1)).alias("size")) \
-        .withColumn("range", F.floor(F.col("slice.place") / SLICE))
-    in_range = F.sum("size").over(Window.partitionBy("conv_id", "range").orderBy("slice")) - F.col("size")
-    ranges = sizes.groupBy(F.col("conv_id").alias("_c"), F.col("range").alias("_range")).agg(F.sum("size").alias("_size"))
-    ranges = ranges.withColumn("_before", F.sum("_size").over(Window.partitionBy("_c").orderBy("_range")) - F.col("_size"))
-    sizes = sizes.withColumn("inside", in_range).join(ranges, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("range") == F.col("_range"))) \
-        .select(F.col("conv_id").alias("_conv"), F.col("slice").alias("_slice"), (F.col("inside") + F.col("_before")).alias("before"))
+    sizes = rows.groupBy("conv_id", "slice").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("conv_id").orderBy("slice")) - F.col("size")
+    sizes = sizes.select(F.col("conv_id").alias("_conv"), F.col("slice").alias("_slice"), before.alias("before"))
     return rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("slice").eqNullSafe(F.col("_slice")))).select(
         "conv_id", (F.col("before") + F.col("nth") - 1).alias("position"), "turn", "kind", "call_id", "depth", "status",
         F.array_join("errors", "; ").alias("errors"), "json")
