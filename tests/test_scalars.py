@@ -114,3 +114,29 @@ def test_floor_days_of_negative_gaps(spark):
 def test_number_of_by_type(spark):
     df = spark.sql("select 1.5 a, cast('NaN' as double) b, '2e1' c, cast(3 as bigint) d")
     assert tuple(df.select(*[S.number_of(df, c) for c in "abcd"]).first()) == (1.5, None, 20.0, 3.0)
+
+
+def test_digest_code_is_short_enough_to_be_compiled(spark, sf001):
+    """The JVM compiles no method of more than 8000 bytes; longer ones run many times slower."""
+    import contextlib
+    import io
+    import re
+
+    from wastelens.operators import audit as AU
+    from wastelens.plans.q_entries import enriched
+
+    adaptive, out = spark.conf.get("spark.sql.adaptive.enabled"), io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(out):
+            AU.with_digest(enriched(spark, sf001)).select("id", "hash").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_strip_of_edges(spark):
+    rows = [("a b", "a b"), (" a", "a"), ("a ", "a"), ("\x1fa~　", "a~"), ("é", "é"), ("", ""), (None, None), (" ", ""), ("~", "~"), ("é ", "é")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert df.where(~S.strip("t").eqNullSafe(F.col("want"))).count() == 0
