@@ -216,3 +216,29 @@ def test_quality_equals_a_plain_forward_pass(spark, make_docs):
         assert abs(got[i] - 1 / (1 + np.exp(-np.clip(m.slope * (z[1] - z[0]) + m.shift, -30, 30)))) < 1e-5
     assert M.score(df, m, ["doc_id"]).where("doc_id = 3").select("_score").distinct().count() == 1
     assert M.score(make_docs([]), m, ["doc_id"]).count() == 0
+
+
+def test_toxicity_learns_from_every_label(spark, make_docs, monkeypatch):
+    """As many labelled documents as no sample of 2500 a class would hold, by several learners; what only texts of one
+    id, of over a MiB, or of the last ids show is learned."""
+    r = random.Random(4)
+    docs, labels = [], []
+    for i in range(9000):
+        bad = i % 2
+        words = prose(r, 12).split() + (["zorr" if i < 8800 else "quax"] if bad else [])
+        r.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, bad))
+    docs += [(9000 + k, "vexx " + "la " * 360_000) for k in range(4)] + [(9010, f"{prose(r, 8)} wubb") for _ in range(200)]
+    labels += [(9000 + k, 1) for k in range(4)] + [(9010, 1)]
+    df, lab = make_docs(docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(X, "train", lambda rows, share, f=X.train: seen.append(rows.count()) or f(rows, share))
+    rows = X.learned_rows(df, lab, F.lit(True), "toxic", "doc_id", "text", "lang")
+    assert rows.count() == len(docs)
+    c = X.fit(df, lab)
+    assert seen == [rows.where("not _held").count()] and 0.75 * len(docs) < seen[0] < 0.85 * len(docs)
+    odd = make_docs([(1, "ba zorr be bi"), (2, "ba quax be bi"), (3, "ba wubb be bi"), (4, "ba be bi bo")])
+    got = {x.doc_id: x._score for x in X.score(odd, c, ["doc_id"]).collect()}
+    assert got[1] > 0.9 and got[2] > 0.5 and got[3] > 0.5 > got[4]
+    assert X.fit(df.repartition(3), lab).model.shift == pytest.approx(c.model.shift, abs=0.5)
