@@ -242,3 +242,19 @@ def test_the_flagged_share_is_exact(spark):
     scores = sorted(x.ai_score for x in out.select("ai_score").collect())
     flagged = out.where("ai_anomaly").count()
     assert flagged == sum(s < 0 for s in scores) and 100 - scores.count(scores[100]) <= flagged <= 100
+
+
+def test_csv_log_is_written_compressed_and_read_back(spark, sf001, tmp_path):
+    from wastelens.operators import audit as AU
+    from wastelens.plans.q_entries import enriched
+    from wastelens.sources import readers as RD
+    from wastelens.sources import sinks as SK
+
+    rows, path = AU.with_digest(enriched(spark, sf001)), str(tmp_path / "log")
+    SK.append_log(rows, path, fmt="csv", partitioned=False)
+    SK.append_log(rows, path, fmt="csv", partitioned=False)
+    log = RD.load_master(spark, path, typed=False)
+    size = sum(f.stat().st_size for f in (tmp_path / "log").glob("part-*"))
+    text = log.selectExpr("sum(length(concat_ws(',', *))) AS n").first()["n"]
+    assert log.count() == 2 * rows.count() and log.where(AU.digest(log) != log["hash"]).count() == 0
+    assert size < 0.5 * text
