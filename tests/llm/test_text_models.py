@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wastelens.llm import quality_model as M
 from wastelens.llm import quality_rules as R
 from wastelens.llm import toxicity as X
+from wastelens.llm.common import may_hold
 
 SYL = "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu".split()
 
@@ -242,3 +243,21 @@ def test_toxicity_learns_from_every_label(spark, make_docs, monkeypatch):
     got = {x.doc_id: x._score for x in X.score(odd, c, ["doc_id"]).collect()}
     assert got[1] > 0.9 and got[2] > 0.5 and got[3] > 0.5 > got[4]
     assert X.fit(df.repartition(3), lab).model.shift == pytest.approx(c.model.shift, abs=0.5)
+
+
+def test_labelled_texts_are_joined_alike_at_every_size(spark, make_docs, monkeypatch):
+    """Few labels are not broadcast either, and texts of ids without a label are not exchanged; every labelled row comes."""
+    df = make_docs([(i % 4000, f"text {i}") for i in range(8000)] + [(None, "none"), (-7, None)])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(0, 4000, 10)] + [(0, 1), (None, 1), (4, None), (-7, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(X, "stored", lambda d: seen.append(d) or d)
+    rows = X.learned_rows(df, lab, F.lit(True), "toxic", "doc_id", "text", "lang")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1 and "bitmap" in plan
+    assert rows.count() == 801 and rows.where("_y = 1").count() == 2  # id 0, by its largest label
+    keys = lab.where("toxic is not null and doc_id is not null").select("doc_id").distinct()
+    some = may_hold(df, keys, "doc_id")
+    assert some.join(keys, "doc_id").count() == 801 and some.count() < 1600
+    assert may_hold(df, keys.where("false"), "doc_id").count() == 0
+    short = X.learned_rows(df, lab.withColumn("doc_id", F.col("doc_id").cast("int")), F.lit(True), "toxic", "doc_id", "text", "lang")
+    assert short.count() == 801

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wastelens.llm.common import hash_share, prepare, read, stored, text_of, words_of
+from wastelens.llm.common import hash_share, may_hold, prepare, read, stored, text_of, words_of
 
 BUCKETS = 1 << 17  # of words, and as many of stems
 STEM = 4
@@ -327,12 +327,16 @@ class Classifier:
 def learned_rows(docs: DataFrame, labels: DataFrame, learn: Column, label: str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``_y``, ``_held`` (a fifth of the ids), ``lang`` and ``_words`` of every row whose id has a label that may be used.
 
-    Of an id's labels the largest counts. Stored once, as each round of training reads it.
+    Of an id's labels the largest counts. Stored once, as each round of training reads it. Ids without a label are passed over
+    by a bit table, so that few texts but the labelled ones are exchanged, and the join is the same at every size.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")) \
         .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1)).where(learn).groupBy("_id").agg(F.max("_y").alias("_y"))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), F.col(lang_col).cast("string").alias("lang")) \
-        .where(F.col("_id").isNotNull()).where(learn).join(known, "_id")
+        .where(F.col("_id").isNotNull()).where(learn)
+    if labels.schema[id_col].dataType == docs.schema[id_col].dataType:  # else equal ids may hash differently
+        rows = may_hold(rows, known, "_id")
+    rows = rows.join(known.hint("merge"), "_id")
     mix = F.xxhash64("_id", "_text")  # the order of learning, whatever the order of ids
     rows = rows.select("_y", (hash_share(F.col("_id"), "toxicity held") < 0.2).alias("_held"), "lang", "_text", mix.alias("_mix"))
     return stored(rows.sortWithinPartitions("_mix", "_text").select("_y", "_held", "lang", word_ids(F.col("_text")).alias("_words")))
