@@ -66,3 +66,25 @@ def test_presets_f12():
     except ValueError:
         return
     raise AssertionError("expected ValueError")
+
+
+def test_sums_before_the_roll_up_do_not_grow_with_pairs(spark):
+    """Every pair of 20 materials and 30 vendors: the first aggregate has a row for each item and piece, not for each pair
+    and day; all grains are as a plain aggregate gives them."""
+    day = dt.date(2023, 12, 20)
+    rows = [(dt.datetime.combine(day + dt.timedelta(days=i % 50), dt.time()), float(i % 977), f"m{i % 20:02}" if i % 11 else None,
+             f"v{i // 20 % 30:02}", i % 7 == 0) for i in range(6000)]
+    d = R.report_input(spark.createDataFrame(rows, "date timestamp_ntz, cost double, material string, vendor string, ai_anomaly boolean"))
+    days = d.select(F.to_date("date").alias("day")).distinct()
+    pieces = days.select(R.S.week_key(F.col("day")), F.trunc("day", "month")).distinct().count()
+    assert pieces < 14 and R.piece_table(d).count() <= pieces * (21 + 30)
+    for grain in R.GRAINS:
+        key = R.S.period_key(grain, F.col("date"))
+        want = {r[0]: tuple(r)[1:] for r in d.groupBy(key).agg(F.sum("cost"), F.count("cost"), F.sum(F.col("ai_anomaly").cast("long"))).collect()}
+        got = R.period_table(d, grain, prepared=True).collect()
+        assert {r.period: (r.total_cost, r.events, r.anomalies) for r in got if r.events} == want
+        for item, col in (("material", "top_materials"), ("vendor", "top_vendors")):
+            sums = {}
+            for r in d.where(F.col(item).isNotNull()).groupBy(key.alias("p"), item).agg(F.sum("cost").alias("c")).collect():
+                sums.setdefault(r.p, []).append((-r.c, r[item]))
+            assert {r.period: r[col] for r in got if r.events} == {p: ", ".join(x for _, x in sorted(v)[:5]) for p, v in sums.items()}

@@ -1,9 +1,9 @@
 """Period reports: week / month / quarter / year tables, labels and text
 (A13, A14, R1-R7, W7, W8).
 
-Plan shape: raw rows are aggregated once to (day, material, vendor); all grains
-and kinds of sums roll up from that table, in one pass and without storing it. All
-later steps (top-5 ranking, gap filling, label, text) run on tables with one row
+Plan shape: raw rows are aggregated once to (piece, kind, item), a piece being what a week
+and a month share, so the sums are few however many pairs of material and vendor a day has;
+all grains roll up from that table, in one pass and without storing it. All later steps (top-5 ranking, gap filling, label, text) run on tables with one row
 per period or per (period, item), so a hot period or item never lands in one
 task with raw rows; the ranking keeps the first rows of each group before it
 shuffles.
@@ -26,27 +26,33 @@ def _check(grain: str):
         raise ValueError(f"Unknown period '{grain}'. Valid: {GRAINS}")
 
 
-def day_table(df: DataFrame) -> DataFrame:
-    """Sums per (day, material, vendor) of a frame prepared by :func:`report_input`;
-    absent item columns are left out."""
-    items = [F.col(c).cast("string").alias(c) for c in ("material", "vendor") if c in df.columns]
-    return df.groupBy(F.to_date("date").alias("day"), *items).agg(
+def piece_table(df: DataFrame) -> DataFrame:
+    """Sums per (day, kind, item) of a frame prepared by :func:`report_input`: the kinds are the item columns
+    (null items too), or ``total`` if there are none; ``day`` is the first of the days that lie in the same week and month."""
+    kinds = [F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("item")) for c in ("material", "vendor") if c in df.columns]
+    kinds = kinds or [F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("item"))]
+    date = F.to_date("date")
+    piece = F.greatest(F.date_sub(S.week_key(date), 6), F.trunc(date, "month"))
+    rows = df.select(piece.alias("day"), F.explode(F.array(*kinds)).alias("k"), "cost", "ai_anomaly", "subscription_like")
+    return rows.groupBy("day", F.col("k.kind").alias("kind"), F.col("k.item").alias("item")).agg(
         F.sum("cost").alias("cost"), F.count("cost").alias("events"),
         F.sum(F.col("ai_anomaly").cast("bigint")).alias("anomalies"),
         F.sum(F.col("subscription_like").cast("bigint")).alias("subs"))
 
 
-def _grains_table(days: DataFrame, grains, top_k: int) -> DataFrame:
+def _grains_table(df: DataFrame, grains, top_k: int) -> DataFrame:
     """Report rows of several grains in one pipeline, with a ``grain`` column.
 
-    Each row of ``days`` counts once for the total and once for each item, in
-    each grain; these are summed to (grain, period, kind, item), ranked within
+    Each row of :func:`piece_table` counts once for its item, and those of one kind once for the
+    total, in each grain; these are summed to (grain, period, kind, item), ranked within
     (grain, period, kind), gathered by one aggregate, and gaps are filled from each
     period to the next one.
     """
-    kinds = [F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("item"))]
-    kinds += [F.struct(F.lit(c).alias("kind"), F.col(c).alias("item")) for c in ("material", "vendor") if c in days.columns]
-    d = days.withColumn("k", F.explode(F.array(*kinds))).where((F.col("k.kind") == "total") | F.col("k.item").isNotNull())
+    # Each row of ``df`` is in the pieces of each kind, so one kind's make the total.
+    lead = next((c for c in ("material", "vendor") if c in df.columns), "total")
+    total = F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("item"))
+    own = F.when(F.col("item").isNotNull(), F.struct("kind", "item"))
+    d = piece_table(df).withColumn("k", F.explode(F.array_compact(F.array(F.when(F.col("kind") == lead, total), own)))).drop("kind", "item")
     d = d.withColumn("grain", F.explode(F.array(*[F.lit(g) for g in grains])))
     g, day = F.col("grain"), F.col("day")
     key = (F.when(g == "Weekly", S.week_key(day)).when(g == "Monthly", F.trunc(day, "month"))
@@ -87,7 +93,7 @@ def period_table(df: DataFrame, grain: str, top_k: int = 5, prepared: bool = Fal
     from the first to the last period, empty periods with 0 and ""."""
     _check(grain)
     d = df if prepared else report_input(df)
-    return _grains_table(day_table(d), [grain], top_k).drop("grain")
+    return _grains_table(d, [grain], top_k).drop("grain")
 
 
 def with_text(table: DataFrame, grain, legacy_week_label: bool = False) -> DataFrame:
@@ -129,9 +135,9 @@ def summarize_period(df: DataFrame, grain: str, top_k: int = 5,
 def all_reports(df: DataFrame, top_k: int = 5, legacy_week_label: bool = False) -> DataFrame:
     """The four grains in one table with a ``grain`` column.
 
-    One scan and one aggregate by day serve all grains.
+    One scan and one aggregate of its rows serve all grains.
     """
-    t = _grains_table(day_table(report_input(df)), GRAINS, top_k)
+    t = _grains_table(report_input(df), GRAINS, top_k)
     return with_text(t, "grain", legacy_week_label)
 
 
