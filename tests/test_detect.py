@@ -77,3 +77,42 @@ def test_lags_over_any_number_of_chunks(spark, sf001, monkeypatch):
         monkeypatch.setattr(O, "ROWS_A_CHUNK", size)
         assert {tuple(r) for r in DU.subscription_like(d, ROW_KEY).collect()} == want
     assert {tuple(r) for r in DU.adjacent_duplicates(d, ROW_KEY).collect()} == near
+
+
+def test_lags_over_many_chunks_take_one_exchange_of_the_table(spark, sf001, monkeypatch):
+    from wastelens.operators import ordered as O
+
+    d = flag_dense_view(spark, sf001)
+    order = ["date", *ROW_KEY]
+    w = Window.orderBy(*order)
+    ref = {tuple(r) for r in d.select(*order, F.lag("vendor", 1).over(w), F.lag("vendor", 2).over(w)).collect()}
+    monkeypatch.setattr(O, "ROWS_A_CHUNK", 10)  # some 600 chunks, which used to be numbered, stored and exchanged again
+    monkeypatch.setattr(O, "global_position", None)
+    g = global_lag(d, order, ["vendor"], k=2)
+    assert {tuple(r) for r in g.select(*order, lag_name("vendor", 1), lag_name("vendor", 2)).collect()} == ref
+
+
+def test_rows_go_to_the_chunk_of_their_bounds(spark):
+    from wastelens.operators.ordered import with_chunk
+
+    rows = [(dt.datetime(2024, 1, d), k) for d in range(1, 8) for k in range(7)]
+    d = spark.createDataFrame(rows, "date timestamp_ntz, k long")
+    for n in (1, 2, 3, 7, 8, 20):
+        bounds = sorted(rows)[::len(rows) // n][:n]
+        got = {(r.date, r.k): r._chunk for r in with_chunk(d, ["date", "k"], bounds).collect()}
+        assert got == {r: sum(b <= r for b in bounds) for r in rows}
+
+
+def test_both_flags_equal_the_single_detectors(spark, sf001, monkeypatch):
+    from wastelens.operators import ordered as O
+
+    null = F.lit(None)
+    d = flag_dense_view(spark, sf001).withColumns({
+        "date": F.when(F.col("l_linenumber") == 3, null).otherwise(F.col("date")),
+        "cost": F.when(F.col("l_linenumber") == 2, null).otherwise(F.col("cost"))})
+    monkeypatch.setattr(O, "ROWS_A_CHUNK", 50)
+    both = DU.duplicates_and_subs(d, ROW_KEY)
+    cols = both.columns
+    want = DU.adjacent_duplicates(DU.flags_in_place(d, ROW_KEY), ROW_KEY).select(*cols)
+    assert both.exceptAll(want).count() == want.exceptAll(both).count() == 0
+    assert both.where("dup_candidate").count() and both.where("subscription_like").count()

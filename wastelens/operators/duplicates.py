@@ -30,15 +30,16 @@ def _with_dated(df: DataFrame, fn, flags: dict) -> DataFrame:
     return dated.unionByName(undated.select(*dated.columns))
 
 
-def adjacent_duplicates(df: DataFrame, key_cols: list[str], chunks: int | None = None) -> DataFrame:
+def adjacent_duplicates(df: DataFrame, key_cols: list[str], chunks: int | None = None, like: DataFrame | None = None) -> DataFrame:
     """``dup_candidate`` when the row equals the previous row of the whole
     frame (ordered by date, then key) in normalised vendor and amount bucket,
-    and lies within 3 whole days of it."""
+    and lies within 3 whole days of it. ``like``: see :func:`global_lag`."""
     d = _prepare(df)
+    like = like if like is None else _prepare(like).where(F.col("date").isNotNull())
 
     def fn(x):
         order = ["date", *key_cols]
-        g = global_lag(x, order, ["vendor_norm", "amount_bucket", "date"], 1, chunks)
+        g = global_lag(x, order, ["vendor_norm", "amount_bucket", "date"], 1, chunks, like)
         same = ((F.col("vendor_norm") == F.col(lag_name("vendor_norm", 1)))
                 & (F.col("amount_bucket") == F.col(lag_name("amount_bucket", 1)))
                 & (F.abs(S.floor_days("date", lag_name("date", 1))) <= DUP_DAYS))
@@ -112,10 +113,10 @@ def duplicates_and_subs(df: DataFrame, key_cols: list[str], chunks: int | None =
     dup_candidate, subscription_like (plus the key columns).
 
     Both detectors keep every row and column, so they are chained; no join
-    back is needed.
+    back is needed. The second takes its bounds and carry from ``df`` itself.
     """
     s = subscription_like(df, key_cols, chunks).drop(*_HELPERS)
-    a = adjacent_duplicates(s, key_cols, chunks)
+    a = adjacent_duplicates(s, key_cols, chunks, df)
     return a.select("date", "vendor", "cost", "description", *key_cols, "dup_candidate",
                     "subscription_like")
 
