@@ -261,3 +261,26 @@ def test_labelled_texts_are_joined_alike_at_every_size(spark, make_docs, monkeyp
     assert may_hold(df, keys.where("false"), "doc_id").count() == 0
     short = X.learned_rows(df, lab.withColumn("doc_id", F.col("doc_id").cast("int")), F.lit(True), "toxic", "doc_id", "text", "lang")
     assert short.count() == 801
+
+
+def test_toxicity_stores_few_rows_in_few_files(spark):
+    from pyspark.sql import functions as F
+
+    from wastelens.llm import toxicity
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"),
+                                    F.lit("en").alias("lang"))
+    labels = spark.range(0, 3000, 2).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).alias("toxic"))
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        toxicity.prepare(spark)
+        rows = toxicity.learned_rows(docs, labels, F.lit(True), "toxic", "doc_id", "text", "lang")
+        assert rows.count() == 1500
+        assert rows.rdd.getNumPartitions() <= 2  # one for every 1024 rows; 40 before
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -48,6 +48,7 @@ UNITS = 1 << 32
 STEPS = 100
 DROP = 0.3  # of the vectors in a training step
 BATCH = 32
+ROWS_A_FILE = 1024
 SPLIT = r"[^\p{L}\p{N}]+"
 PAD = 2 * BUCKETS
 CHUNK = 1 << 18  # words looked at together
@@ -324,6 +325,15 @@ class Classifier:
     by_lang: dict[str, float]
 
 
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in no more partitions than one for every ``ROWS_A_FILE`` of them.
+
+    For what is stored: an executor starts a process for each file that it creates on a local or mounted disk,
+    which at its start counts with all of the executor's memory, so many small files are dear.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
 def learned_rows(docs: DataFrame, labels: DataFrame, learn: Column, label: str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``_y``, ``_held`` (a fifth of the ids), ``lang`` and ``_words`` of every row whose id has a label that may be used.
 
@@ -336,7 +346,8 @@ def learned_rows(docs: DataFrame, labels: DataFrame, learn: Column, label: str,
         .where(F.col("_id").isNotNull()).where(learn)
     if labels.schema[id_col].dataType == docs.schema[id_col].dataType:  # else equal ids may hash differently
         rows = may_hold(rows, known, "_id")
-    rows = rows.join(known.hint("merge"), "_id")
+    n = rows.count()
+    rows = in_few_files(rows.join(known.hint("merge"), "_id"), n)
     mix = F.xxhash64("_id", "_text")  # the order of learning, whatever the order of ids
     rows = rows.select("_y", (hash_share(F.col("_id"), "toxicity held") < 0.2).alias("_held"), "lang", "_text", mix.alias("_mix"))
     return stored(rows.sortWithinPartitions("_mix", "_text").select("_y", "_held", "lang", word_ids(F.col("_text")).alias("_words")))
@@ -347,7 +358,7 @@ def thresholds(rows: DataFrame, model: Model) -> tuple[float, dict[str, float]]:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     scored = rows.select("_y", "lang", "_words").mapInArrow(_score_batches(shared), "_y int, lang string, _score double")
     cell = F.floor(F.ln(F.col("_score") / (1 - F.col("_score"))) * STEPS)
-    cells = stored(scored.groupBy("lang", "_y", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")))
+    cells = stored(in_few_files(scored.groupBy("lang", "_y", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")), rows.count()))
 
     def best(found):
         c, y, n = (found.column(x).to_numpy() for x in ("cell", "_y", "n"))
